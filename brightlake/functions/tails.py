@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 EPS, TINY, STEPS = 1e-15, 1e-300, 5000
 
@@ -116,26 +116,26 @@ def _rows(fn, *columns: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _rows(chi2_tail, x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _rows(t_two_sided, t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _rows(f_tail, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def k2_statistic(n: pd.Series, g1: pd.Series, g2: pd.Series) -> pd.Series:
     return _rows(k2, n, g1, g2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kolmogorov_p(x: pd.Series) -> pd.Series:
     return _rows(kolmogorov_tail, x)

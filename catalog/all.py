@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries register."""
 
-from catalog import clean, impute, encode, profile  # noqa: F401
+from catalog import clean, encode, impute, profile, series  # noqa: F401
