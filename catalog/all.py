@@ -1,3 +1,3 @@
 """Import every catalog module so that its queries register."""
 
-from catalog import charts, clean, encode, impute, join, kpi, profile, relate, series  # noqa: F401
+from catalog import charts, clean, density, encode, impute, join, kpi, models, profile, relate, series  # noqa: F401

@@ -53,11 +53,18 @@ def _(spark, sf):
 
 @register(
     "f4_high_corr_pairs",
-    "SELECT * FROM (SELECT 'l_quantity' AS var1, 'l_extendedprice' AS var2, corr(l_quantity, l_extendedprice) AS correlation FROM lineitem) WHERE abs(correlation) >= 0.7",
+    "WITH w AS (SELECT *, l_extendedprice * (1 - l_discount) AS net, -l_quantity * l_quantity AS q2 FROM lineitem) SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS correlation FROM w" for a, b in combinations(["l_quantity", "l_extendedprice", "net", "q2"], 2)
+    )
+    + ") WHERE abs(correlation) >= 0.7",
     dec="correlation",
 )
 def _(spark, sf):
-    return op.high_corr_pairs(line(spark, sf), 0.7)
+    df = table(spark, sf, "lineitem").selectExpr(
+        "l_quantity", "l_extendedprice", "l_extendedprice * (1 - l_discount) AS net", "-l_quantity * l_quantity AS q2"
+    )
+    return op.high_corr_pairs(df, 0.7)
 
 
 @register(
@@ -111,7 +118,8 @@ def t_two_sided(t, v):
 
 def chi2_tail(c, v):
     # substituting x = u^2 keeps the density smooth at zero
-    d = f"2 * {{x}} * (CASE WHEN {{x}} = 0 THEN 0 ELSE exp(({v} / 2 - 1) * 2 * ln({{x}}) - {{x}} * {{x}} / 2 - {v} / 2 * ln(2) - lgamma({v} / 2)) END)"
+    u = "greatest({x}, 1e-12)"
+    d = f"2 * exp(({v} - 1) * ln({u}) - {{x}} * {{x}} / 2 - {v} / 2 * ln(2) - lgamma({v} / 2))"
     return f"1 - {integral(d, '0.0', f'sqrt({c})')}"
 
 
