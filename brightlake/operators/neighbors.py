@@ -31,7 +31,7 @@ def impute_knn(
     out = base
     for c in names:
         target = axes[feats.index(c)]
-        holes = materialize(base.where(F.col(target).isNull()).select(*axes).distinct().withColumn("qid", F.xxhash64(*axes)))
+        holes = materialize(base.where(F.col(target).isNull()).select(*axes).distinct().withColumn("qid", F.monotonically_increasing_id()))
         if holes.limit(1).count() == 0:
             continue
         donors = base.where(F.col(target).isNotNull()).select(*axes, F.col(target).alias("value"))
@@ -65,7 +65,7 @@ def smote(
         need = high - n
         if need <= 0:
             continue
-        mine = materialize(rows.where(col(target) == label).withColumn("qid", hash_order(key, seed)))
+        mine = materialize(rows.where(col(target) == label).withColumn("qid", F.monotonically_increasing_id()))
         if n == 1:
             continue
         numbered = mine.select("qid", *feats)
@@ -75,13 +75,14 @@ def smote(
         ends = numbered.select(F.col("qid").alias("value"), *[col(c).alias(f"_n_{c}") for c in feats])
         neighbours = ranked.select("qid", "rank", "value").join(ends, "value").drop("value")
         times, rest = divmod(need, n)
-        whole = mine.select("qid", *feats, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_c")) if times else None
+        named = [*key, "qid", *feats]
+        whole = mine.select(*named, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_c")) if times else None
         quota = df.sparkSession.createDataFrame([(1, rest)], "_all int, take long")
-        part = lowest_by_hash(mine.withColumn("_all", F.lit(1)), quota, ["_all"], ["qid"], seed).select("qid", *feats, F.lit(0).alias("_c"))
+        part = lowest_by_hash(mine.withColumn("_all", F.lit(1)), quota, ["_all"], key, seed).select(*named, F.lit(0).alias("_c"))
         seeds = part if whole is None else whole.unionByName(part)
-        u = F.pmod(F.xxhash64("qid", "_c", F.lit(seed)), F.lit(1_000_003))
+        u = F.pmod(hash_order([*key, "_c"], seed), F.lit(1_000_003))
         pick = seeds.withColumn("rank", (u % min(k, n - 1) + 1).cast("int"))
-        step = F.pmod(F.xxhash64("qid", "_c", F.lit(seed + 1)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        step = F.pmod(hash_order([*key, "_c"], seed + 1), F.lit(1_000_003)) / F.lit(1_000_003.0)
         made = pick.join(neighbours, ["qid", "rank"]).select(
             *[(col(c) + step * (F.col(f"_n_{c}") - col(c))).alias(c) for c in feats],
             F.lit(label).cast(df.schema[target].dataType).alias(target),
@@ -98,8 +99,8 @@ def k_distances(
     names = list(columns or numeric_columns(df))
     axes = [f"_f_{c}" for c in names]
     points = scaled_columns(df, names, scaler).select(*axes)
-    distinct = points.groupBy(*axes).agg(F.count(F.lit(1)).alias("n")).withColumn("qid", F.xxhash64(*axes))
-    distinct = materialize(distinct)
+    distinct = points.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
+    distinct = materialize(distinct.withColumn("qid", F.monotonically_increasing_id()))
     near = k_nearest(distinct.select("qid", *axes), points.withColumn("value", F.lit(0.0)), axes, k, block=block)
     last = near.groupBy("qid").agg(F.max("distance").alias("distance"))
     return distinct.join(last, "qid").groupBy("distance").agg(F.sum("n").alias("n"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brightlake.operators import insights as ins
 from brightlake.operators import kpi as op
-from catalog.base import register, table
+from catalog.base import ORACLES, register, table
 from catalog.frames import ORDERS_SQL, SALES_SQL, orders_view, sales
 
 O = f"WITH s AS {ORDERS_SQL}, m AS (SELECT max(order_date) AS now FROM s) "
@@ -424,6 +424,37 @@ def _(spark, sf):
     return ins.trend_strength(table(spark, sf, "lineitem"), "l_shipdate", ["l_quantity", "l_orderkey"])
 
 
-@register("n32_business_insights_topics")
+def on_sales(name):
+    return ORACLES[name].replace(ORDERS_SQL, SALES_SQL)
+
+
+def topic(sql, rule, subject, metric, value, threshold, name, where="TRUE"):
+    return f"""SELECT '{rule}' AS rule, CAST({subject} AS VARCHAR) AS subject, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, CAST({threshold} AS DOUBLE) AS threshold,
+     'info' AS severity, '{name}' AS topic FROM ({sql}) WHERE {where}"""
+
+
+PEAK = S + """ SELECT (SELECT dayname(order_date) AS d FROM s GROUP BY dayname(order_date), isodow(order_date) ORDER BY count(*) DESC, isodow(order_date) LIMIT 1) || ' night' AS x,
+ (SELECT count(*) AS n FROM s GROUP BY isodow(order_date) ORDER BY n DESC LIMIT 1) AS n"""
+SEASON = ORACLES["n28_season_ratio"].replace("o_orderdate", "order_date").replace("FROM orders", f"FROM {SALES_SQL}").replace("l_orderkey = order_date", "l_orderkey = o_orderkey")
+
+
+@register(
+    "n32_business_insights_topics",
+    " UNION ALL ".join(
+        [
+            topic(ORACLES["n20_monthly_sales_change"], "monthly_sales_change", "band", "change_percentage", "change_percentage", 5, "sales", "band IS NOT NULL"),
+            topic(ORACLES["n26_monthly_aov_change"], "monthly_aov_change", "band", "change_percentage", "change_percentage", 10, "sales", "band IS NOT NULL"),
+            topic(on_sales("n23_repeat_rate"), "repeat_rate", "'users'", "repeat_rate", "repeat_rate", "NULL", "customer"),
+            topic(on_sales("n24_new_customer_share"), "new_customer_share", "band", "new_percentage", "new_percentage", 30, "customer", "band IS NOT NULL"),
+            topic(ORACLES["n21_top_category_shift"], "top_category", "recent_top_category", "top_percentage", "top_percentage", "NULL", "product"),
+            topic(ORACLES["n22_category_growth"], "category_growth", "category", "change_percentage", "change_percentage", 30, "product"),
+            topic(ORACLES["n25_price_band_share"].replace("o_totalprice", "total_price").replace("FROM orders", f"FROM {SALES_SQL}"), "price_band", "band", "percentage", "percentage", 25, "product", "flag IS NOT NULL"),
+            topic(PEAK, "peak_time", "x", "weekday_orders", "n", "NULL", "time"),
+            topic(SEASON, "season_ratio", "top_season", "ratio", "ratio", 1.5, "time", "is_seasonal"),
+            topic(ORACLES["n30_best_sellers"] + " ORDER BY revenue DESC LIMIT 1", "best_seller", "product_id", "revenue", "revenue", "NULL", "product"),
+        ]
+    ),
+    dec="value:4 threshold",
+)
 def _(spark, sf):
     return ins.business_insights(sales(spark, sf))

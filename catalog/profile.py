@@ -286,7 +286,15 @@ def _(spark, sf):
     return op.text_stats(table(spark, sf, "documents"), "text")
 
 
-@register("e20_word_frequencies")
+# a word is a whole run of word characters made of Latin or Hangul letters only
+STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
+
+
+@register(
+    "e20_word_frequencies",
+    f"""SELECT word, count(*) AS frequency FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS word FROM documents)
+    WHERE regexp_full_match(word, '[a-zA-Z가-힣]+') AND word NOT IN ({STOP}) GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 30""",
+)
 def _(spark, sf):
     return op.word_frequencies(table(spark, sf, "documents"), "text", top_n=30)
 

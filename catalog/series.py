@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from brightlake.operators import anomaly as an
 from brightlake.operators import forecast as fc
 from brightlake.operators import series as op
-from catalog.base import register, table
+from catalog.base import ORACLES, register, table
 from catalog.frames import DAILY_SQL, HOURLY_SQL, daily, hourly
 
 K = ["k"]
@@ -193,9 +193,15 @@ def _(spark, sf):
     return op.kpss_statistic(hourly(spark, sf), K, None, T, V)
 
 
-@register("j12_stationarity_verdict")
+@register(
+    "j12_stationarity_verdict",
+    f"""SELECT a.k, adf_statistic, adf_stationary, kpss_statistic, kpss_stationary, CASE WHEN adf_stationary AND kpss_stationary THEN 'stationary'
+    WHEN adf_stationary THEN 'trend_stationary' WHEN kpss_stationary THEN 'difference_may_be_needed' ELSE 'non_stationary' END AS verdict
+    FROM ({ORACLES['j10_adf_statistic']}) a JOIN ({ORACLES['j11_kpss_auto_bandwidth']}) b ON a.k = b.k""",
+    dec="adf_statistic:5 kpss_statistic",
+)
 def _(spark, sf):
-    return op.stationarity_verdict(hourly(spark, sf), K, 1, T, V)
+    return op.stationarity_verdict(hourly(spark, sf), K, 0, T, V)
 
 
 @register("j13_difference", HOURLY + f"SELECT * FROM (SELECT k, t, v - lag(v, 24) OVER {W} AS v FROM s) WHERE v IS NOT NULL", dec="v:5")
