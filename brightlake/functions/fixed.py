@@ -20,16 +20,16 @@ DATE_PATTERNS = [
     r"\d{4}년\s*\d{1,2}월\s*\d{1,2}일",
 ]
 
-# Formats tried in turn when date text is parsed.
+# Date formats with the shape of text each one is tried on.
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "yyyyMMdd",
-    "MM/dd/yyyy",
-    "MM-dd-yyyy",
-    "yyyy년 M월 d일",
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MM-dd-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("yyyy년 M월 d일", r"^\d{4}년 \d{1,2}월 \d{1,2}일$"),
 ]
 
 # Thresholds of the insight rules.

@@ -23,6 +23,7 @@ from brightlake.functions.columns import (
     unpivot,
 )
 from brightlake.plans.running import quantile_row
+from brightlake.session import stored
 
 
 # ---- names -------------------------------------------------------------------------------------
@@ -49,9 +50,14 @@ def _has_word(name: str, words: Sequence[str]) -> bool:
 # ---- types -------------------------------------------------------------------------------------
 
 def date_of_text(text: Column) -> Column:
-    """Timestamp of date text in any of the known formats, null if none fits."""
-    trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in fixed.DATE_FORMATS]).cast("timestamp_ntz")
+    """Timestamp of date text in any of the known formats, null if none fits.
+
+    The shape of the text picks the format, so text that is no date costs no failed parse.
+    """
+    trimmed, ladder = F.trim(text), F
+    for form, shape in fixed.DATE_FORMATS:
+        ladder = ladder.when(trimmed.rlike(shape), F.try_to_timestamp(trimmed, F.lit(form)))
+    return ladder.otherwise(F.lit(None)).cast("timestamp_ntz")
 
 
 def number_of_text(text: Column) -> Column:
@@ -293,7 +299,8 @@ def preprocess(
     if normalize_columns:
         df = normalize_names(df)
     if remove_duplicates:
-        df = drop_duplicate_rows(df)
+        # several passes follow; without the copy each would repeat the full-row shuffle
+        df = stored(drop_duplicate_rows(df), "deduplicated")
     if convert_dates and string_columns(df):
         dates = [r["column"] for r in detect_date_columns(df).where("is_date").collect()]
         df = df.withColumns({c: date_of_text(col(c)) for c in dates})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from brightlake.functions.columns import col, num, numeric_columns, string_columns
 from brightlake.plans.running import quantile_row, running_totals
 from brightlake.plans.sampling import lowest_by_hash
+from brightlake.session import materialize
 
 
 # ---- scaling -----------------------------------------------------------------------------------
@@ -76,7 +77,7 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, max_categories:
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """(column, code): rank of each distinct value in sorted order, from 0."""
-    values = df.where(col(column).isNotNull()).select(col(column)).distinct().withColumn("_one", F.lit(1))
+    values = materialize(df.where(col(column).isNotNull()).select(col(column)).distinct().withColumn("_one", F.lit(1)))
     coded = running_totals(values, [], column, ["_one"])
     return coded.select(col(column), F.col("_one_before").cast("int").alias("code"))
 

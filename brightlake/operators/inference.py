@@ -174,7 +174,7 @@ def normality_k2(df: DataFrame, columns: list[str] | None = None, alpha: float =
 
 def uniformity_ks(df: DataFrame, column: str, alpha: float = 0.05, small: int = SMALL_ROWS) -> DataFrame:
     """Kolmogorov-Smirnov distance to n evenly spaced points on [min, max], as a two-sample test."""
-    cells = running_totals(value_cells(df, [column]), ["column"], "value", ["n"], small=small)
+    cells = running_totals(value_cells(df, [column]), ["column"], "value", ["n"], rows=df.count(), small=small)
     ends = df.agg(F.min(num(column)).alias("lo"), F.max(num(column)).alias("hi"), F.count(num(column)).alias("n")).first()
     lo, hi, n = ends["lo"], ends["hi"], ends["n"]
     if not n or n < 2 or lo == hi:

@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from brightlake.functions.columns import col, is_numeric, num, numeric_columns, ratio
-from brightlake.operators.impute import medians
+from brightlake.operators.impute import medians, with_gaps
 from brightlake.plans.sampling import hash_order
 
 X, Y, TEST = "features", "label", "is_test"
@@ -26,13 +26,13 @@ def prepare_ml(
     key, so it needs no shuffle and a row stays on its side when the data grows.
     """
     names = [c for c in (columns or numeric_columns(df)) if c != target and c not in key]
-    middle = medians(df, names)
+    middle = medians(df, with_gaps(df, names))
     regression = is_numeric(df, target)
     label = num(target) if regression else col(target).cast("string")
     share = F.pmod(hash_order(key, seed), F.lit(1_000_000)) / F.lit(1_000_000.0)
     return df.where(col(target).isNotNull()).select(
         *[col(k) for k in key],
-        *[F.coalesce(num(c), F.lit(middle[c]).cast("double")).alias(c) for c in names],
+        *[F.coalesce(num(c), F.lit(middle.get(c)).cast("double")).alias(c) for c in names],
         label.alias(Y),
         (share < test_size).alias(TEST),
         F.lit("regression" if regression else "classification").alias("problem"),

@@ -74,7 +74,6 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     for i, c in enumerate(names):
         v, (_, lo, hi) = num(c), fences[c]
         aggs += [
-            F.count_distinct(v).alias(f"_d{i}"),
             F.struct(
                 F.count(v).alias("n"),
                 F.min(v).alias("lo"),
@@ -98,8 +97,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         entries.append(
             {
                 "column": F.lit(c),
-                "unique_count": F.col(f"_d{i}"),
-                "unique_percentage": percent(F.col(f"_d{i}"), rows),
+                "_rows": rows,
                 "missing_count": rows - s("n"),
                 "missing_percentage": percent(rows - s("n"), rows),
                 "min": s("lo"),
@@ -119,7 +117,12 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                 "upper_bound": F.when(~binary, number(fences[c][2])),
             }
         )
-    return stack_rows(df.agg(*aggs), entries)
+    # distinct counts come from value cells: counting them inside the aggregate above would send every
+    # row through it once per column
+    distinct = value_cells(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
+    d = F.coalesce(F.col("_d"), F.lit(0))
+    joined = stack_rows(df.agg(*aggs), entries).join(distinct, "column", "left")
+    return joined.withColumns({"unique_count": d, "unique_percentage": percent(d, F.col("_rows"))}).drop("_d", "_rows")
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -540,13 +543,13 @@ def text_columns(df: DataFrame, min_ratio: float = 0.5) -> DataFrame:
 def text_stats(df: DataFrame, column: str) -> DataFrame:
     """Lengths, word counts, empties and digits of a text column, over whole texts."""
     text = col(column)
-    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != F.lit("")))
+    words = F.regexp_count(text, F.lit(r"(?U)\S+"))
     measured = df.select(
         text.alias("_t"), F.when(text.isNotNull(), F.length(text)).alias("_len"), F.when(text.isNotNull(), words).alias("_w")
     )
     marks = quantile_row(measured, ["_len", "_w"], [0.5])
     t = F.col("_t")
-    digits = t.rlike(r"\d")
+    digits = t.rlike(r"(?U)\d")
     n = F.count(t)
     # distinct texts are counted by their SHA-256, so whole texts never enter the shuffle
     unique = F.count_distinct(F.unhex(F.sha2(t.cast("binary"), 256)))

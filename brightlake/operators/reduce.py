@@ -10,24 +10,47 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from brightlake.functions.columns import col, num, numeric_columns
 from brightlake.operators.encode import scale_parameters
-from brightlake.operators.impute import medians
+from brightlake.operators.impute import medians, with_gaps
 
 FEATURES = "features"
 
 
-def scaled_columns(df: DataFrame, columns: Sequence[str] | None = None, scaler: str = "standard") -> DataFrame:
-    """``df`` with its numeric columns median-filled and scaled under ``_f_<name>`` names."""
+@dataclass
+class Scaling:
+    """Medians for columns with gaps, and (centre, width) of every filled column."""
+
+    columns: list[str]
+    medians: dict[str, float | None]
+    params: dict[str, tuple[float, float]]
+
+
+def fit_scaling(df: DataFrame, columns: Sequence[str] | None = None, scaler: str = "standard") -> Scaling:
     names = list(columns or numeric_columns(df))
-    middle = medians(df, names)
-    filled = df.withColumns({f"_f_{c}": F.coalesce(num(c), F.lit(middle[c]).cast("double")) for c in names})
-    fit = scale_parameters(filled, [f"_f_{c}" for c in names], scaler)
-    return filled.withColumns({c: (F.col(c) - F.lit(a)) / F.lit(b) for c, (a, b) in fit.items()})
+    middle = medians(df, with_gaps(df, names))
+    filled = df.select(*[F.coalesce(num(c), F.lit(middle.get(c)).cast("double")).alias(c) for c in names])
+    return Scaling(names, middle, scale_parameters(filled, names, scaler))
 
 
-def feature_matrix(df: DataFrame, columns: Sequence[str] | None = None, scaler: str = "standard") -> DataFrame:
+def scaled_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, scaler: str = "standard", fit: Scaling | None = None
+) -> DataFrame:
+    """``df`` with its numeric columns median-filled and scaled under ``_f_<name>`` names."""
+    fit = fit or fit_scaling(df, columns, scaler)
+    new = {}
+    for c in fit.columns:
+        centre, width = fit.params.get(c, (0.0, 1.0))
+        filled = F.coalesce(num(c), F.lit(fit.medians.get(c)).cast("double"))
+        new[f"_f_{c}"] = (filled - F.lit(centre)) / F.lit(width)
+    return df.withColumns(new)
+
+
+def feature_matrix(
+    df: DataFrame, columns: Sequence[str] | None = None, scaler: str = "standard", fit: Scaling | None = None
+) -> DataFrame:
     """``df`` with a ``features`` vector of its filled and scaled numeric columns."""
-    names = [f"_f_{c}" for c in (columns or numeric_columns(df))]
-    wide = scaled_columns(df, columns, scaler)
+    fit = fit or fit_scaling(df, columns, scaler)
+    names = [f"_f_{c}" for c in fit.columns]
+    wide = scaled_columns(df, fit=fit)
     return VectorAssembler(inputCols=names, outputCol=FEATURES).transform(wide).drop(*names)
 
 
@@ -36,6 +59,7 @@ class Components:
     """Fitted components: small, feature-sized values on the driver."""
 
     features: list[str]
+    scaling: Scaling
     loadings: list[list[float]]  # one list per component, its largest entry positive
     ratios: list[float]
 
@@ -47,20 +71,22 @@ class Components:
 def fit_pca(df: DataFrame, n: int = 2, columns: Sequence[str] | None = None, scaler: str = "standard") -> Components:
     """Components of the scaled features; the covariance is one distributed aggregate."""
     names = list(columns or numeric_columns(df))
-    model = PCA(k=min(n, len(names)), inputCol=FEATURES, outputCol="_pc").fit(feature_matrix(df, names, scaler).select(FEATURES))
+    scaling = fit_scaling(df, names, scaler)
+    vectors = feature_matrix(df, fit=scaling).select(FEATURES)
+    model = PCA(k=min(n, len(names)), inputCol=FEATURES, outputCol="_pc").fit(vectors)
     table = model.pc.toArray()
     loadings = []
     for i in range(table.shape[1]):
         v = table[:, i]
         sign = 1.0 if v[abs(v).argmax()] >= 0 else -1.0
         loadings.append([float(x * sign) for x in v])
-    return Components(names, loadings, [float(x) for x in model.explainedVariance.toArray()])
+    return Components(names, scaling, loadings, [float(x) for x in model.explainedVariance.toArray()])
 
 
 def pca(df: DataFrame, n: int = 2, columns: Sequence[str] | None = None, scaler: str = "standard", fit: Components | None = None) -> DataFrame:
     """Scores PC1..PCn with the non-numeric columns passed through."""
     fit = fit or fit_pca(df, n, columns, scaler)
-    wide = scaled_columns(df, fit.features, scaler)
+    wide = scaled_columns(df, fit=fit.scaling)
     scores = [
         sum((F.col(f"_f_{c}") * F.lit(w) for c, w in zip(fit.features, loading)), F.lit(0.0)).alias(f"PC{i + 1}")
         for i, loading in enumerate(fit.loadings)
@@ -80,7 +106,7 @@ def loadings_table(df: DataFrame, fit: Components) -> DataFrame:
 def biplot_loadings(df: DataFrame, factor: float = 0.7, columns: Sequence[str] | None = None, scaler: str = "standard") -> DataFrame:
     """Loadings stretched to ``factor`` of the score range."""
     fit = fit_pca(df, 2, columns, scaler)
-    reach = pca(df, fit=fit, scaler=scaler).agg(
+    reach = pca(df, fit=fit).agg(
         F.greatest(*[F.max(F.abs(f"PC{i + 1}")) for i in range(fit.size)], F.lit(0.0)).alias("m")
     ).first()["m"]
     top = max(abs(w) for loading in fit.loadings for w in loading) or 1.0

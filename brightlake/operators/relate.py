@@ -21,6 +21,7 @@ from brightlake.functions.columns import (
     stack_rows,
 )
 from brightlake.plans.running import SMALL_ROWS, quantile_row, running_totals, value_cells
+from brightlake.session import materialize
 
 PAIRS_PER_JOB = 500
 
@@ -50,7 +51,8 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def average_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_ROWS) -> DataFrame:
     """(column, value, rank): average rank of every distinct value."""
-    cells = running_totals(value_cells(df, columns), ["column"], "value", ["n"], small=small)
+    bound = df.count() * len(columns)
+    cells = running_totals(value_cells(df, columns), ["column"], "value", ["n"], rows=bound, small=small)
     return cells.select("column", "value", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
@@ -61,7 +63,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], small: int = SMALL_ROW
     gaps = whole.agg(*[count_if(col(c).isNull()).alias(f"_c{i}") for i, c in enumerate(columns)]).first()
     groups = [tuple(columns)] if not any(gaps) else list(combinations(columns, 2))
     for names in groups:
-        ranked = whole.dropna()if len(groups) == 1 else whole.select(*[col(n) for n in names]).dropna()
+        ranked = whole.dropna() if len(groups) == 1 else whole.select(*[col(n) for n in names]).dropna()
         # equal rows collapse first; ranks of the distinct values are joined back on the value
         ranked = ranked.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("_n"))
         ranks = average_ranks(whole.select(*[col(n) for n in names]).dropna(), names, small)
@@ -109,9 +111,10 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str], small: int = SMALL_ROWS
         ).alias("_e")
     ).select("_e.*")
     cells = tall.where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(cells)
     ys = cells.groupBy("pair", "y").agg(F.lit(1).alias("one"))
     ys = running_totals(ys, ["pair"], "y", ["one"], small=small)
-    ranked = cells.join(ys.select("pair", "y", F.col("one_before").alias("r")), ["pair", "y"])
+    ranked = materialize(cells.join(ys.select("pair", "y", F.col("one_before").alias("r")), ["pair", "y"]))
     top = ranked.agg(F.max("r").alias("m")).first()["m"] or 0
     bits = max(1, int(top).bit_length())
     level = ranked.select(

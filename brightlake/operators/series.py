@@ -17,6 +17,7 @@ from brightlake.functions import fixed
 from brightlake.functions.columns import col, datetime_columns, num, ratio
 from brightlake.operators import impute
 from brightlake.operators.clean import date_of_text, detect_date_columns
+from brightlake.session import materialize
 
 TS, VALUE = "ts", "value"
 
@@ -271,16 +272,12 @@ def pct_change(series: DataFrame, key: Sequence[str], periods: int = 1, ts: str
 def autocovariance(series: DataFrame, key: Sequence[str], nlags: int, ts: str = TS, value: str = VALUE) -> DataFrame:
     """(key..., n, lag, c): sum of e_t e_{t-lag} over centred values; one sort, one aggregate."""
     known = series.where(num(value).isNotNull()).select(*cols(key), col(ts).alias(TS), num(value).alias("_x"))
-    e = known.withColumn("_e", F.col("_x") - F.avg("_x").over(whole(key)))
-    lagged = e.select(*cols(key), "_e", *[F.lag("_e", i).over(by_time(key, TS)).alias(f"_l{i}") for i in range(1, nlags + 1)])
-    sums = lagged.groupBy(*cols(key)).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(
-            F.sum(F.col("_e") * F.col("_e")),
-            *[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{i}")), F.lit(0.0)) for i in range(1, nlags + 1)],
-        ).alias("_c"),
-    )
-    return sums.select(*cols(key), "n", F.posexplode("_c").alias("lag", "c"))
+    e = known.select(*cols(key), TS, F.count(F.lit(1)).over(whole(key)).alias("n"), (F.col("_x") - F.avg("_x").over(whole(key))).alias("_e"))
+    # the last nlags + 1 values, newest first, against the newest one
+    recent = e.withColumn("_r", F.collect_list("_e").over(by_time(key, TS).rowsBetween(-nlags, 0)))
+    products = F.transform(F.reverse("_r"), lambda x: x * F.col("_e"))
+    tall = recent.select(*cols(key), "n", F.posexplode(products).alias("lag", "_c"))
+    return tall.groupBy(*cols(key), "n", "lag").agg(F.sum("_c").alias("c"))
 
 
 def acf(series: DataFrame, key: Sequence[str], nlags: int = 40, ts: str = TS, value: str = VALUE) -> DataFrame:
@@ -408,10 +405,11 @@ def kpss_statistic(
         *cols(key), F.sum("_e").over(by_time(key, TS).rowsBetween(Window.unboundedPreceding, 0)).alias("_s")
     )
     eta = partial.groupBy(*cols(key)).agg(F.sum(F.col("_s") * F.col("_s")).alias("_eta"))
-    cov = autocovariance(series, key, 60 if lags is None else lags, ts, value)
     n = F.col("n").cast("double")
     if lags is None:
-        # data-dependent bandwidth (Hobijn, Franses and Ooms 1998)
+        # data-dependent bandwidth (Hobijn, Franses and Ooms 1998), from the first n^(2/9) lags
+        longest = known.groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+        cov = autocovariance(series, key, int(longest ** (2.0 / 9.0)) + 1, ts, value)
         reach = F.floor(F.pow(n, F.lit(2.0 / 9.0)))
         near = (F.col("lag") >= 1) & (F.col("lag") <= reach)
         prod = F.col("c") / (n / 2)
@@ -422,10 +420,11 @@ def kpss_statistic(
         s = F.try_divide(F.col("_s1"), F.col("_s0"))
         third = F.lit(1.0 / 3.0)
         width = F.floor(F.lit(1.1447) * F.pow(s * s, third) * F.pow(n, third))
-        band = band.select(*cols(key), F.least(width, F.col("n") - 1).cast("long").alias("lags"))
-        cov = cov.join(band, list(key))
+        band = materialize(band.select(*cols(key), F.least(width, F.col("n") - 1).cast("long").alias("lags")))
+        widest = band.agg(F.max("lags").alias("m")).first()["m"] or 0
+        cov = autocovariance(series, key, widest, ts, value).join(band, list(key))
     else:
-        cov = cov.withColumn("lags", F.lit(lags).cast("long"))
+        cov = autocovariance(series, key, lags, ts, value).withColumn("lags", F.lit(lags).cast("long"))
     weight = F.when(F.col("lag") == 0, 1.0).when(
         F.col("lag") <= F.col("lags"), 2 * (1 - F.col("lag") / (F.col("lags") + 1))
     ).otherwise(0.0)

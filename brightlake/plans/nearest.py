@@ -52,6 +52,7 @@ def _compare(key: Sequence[str], qid: str, axes: list[str], value: str, k: int):
     def block(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = {qid: [], "distance": [], "value": []}
         if len(queries) and len(points):
+            points = points.sort_values(value, kind="stable")  # equal distances go to the smaller value
             p = points[axes].to_numpy(dtype=float)
             pv = points[value].to_numpy()
             known_p = (~np.isnan(p)).astype(float)
@@ -70,6 +71,10 @@ def _compare(key: Sequence[str], qid: str, axes: list[str], value: str, k: int):
                         gap = np.where(shared > 0, gap * len(axes) / shared, np.inf)
                 n = min(k, len(p))
                 best = np.argpartition(gap, n - 1, axis=1)[:, :n]
+                worst = np.take_along_axis(gap, best, axis=1).max(axis=1)
+                for r in np.flatnonzero((gap <= worst[:, None]).sum(axis=1) > n):
+                    tied = np.flatnonzero(gap[r] <= worst[r])
+                    best[r] = tied[np.argsort(gap[r, tied], kind="stable")[:n]]
                 dist = np.take_along_axis(gap, best, axis=1)
                 keep = np.isfinite(dist)
                 rows = np.repeat(part[qid].to_numpy(), keep.sum(axis=1))

@@ -51,3 +51,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    For wide frames that several passes read: unlike a checkpoint, the copy is columnar, so every
+    pass reads only its columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
