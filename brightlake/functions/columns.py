@@ -58,6 +58,17 @@ def missing(df: DataFrame, name: str) -> Column:
     return col(name).isNull()
 
 
+LONG_TEXT = 64
+
+
+def short_form(df: DataFrame, name: str) -> Column:
+    """Stand-in for a column where only equality matters: long text as its SHA-256, so whole texts
+    never enter a shuffle."""
+    if df.schema[name].dataType.typeName() != "string":
+        return col(name)
+    return F.when(F.length(col(name)) > LONG_TEXT, F.sha2(col(name).cast("binary"), 256)).otherwise(col(name))
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
@@ -106,6 +117,13 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.when(n > 1, F.try_divide(F.covar_pop(x, y), spread))
 
 
+def beside(left: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame to every row of ``left``, as a scalar subquery: no join.
+    Without that row its columns are null."""
+    one = row.select(F.struct("*").alias("_row")).scalar()
+    return left.withColumn("_row", one).select(*[col(c) for c in left.columns], "_row.*")
+
+
 def stack_rows(df: DataFrame, entries: Sequence[dict[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
     """One output row per entry and input row; all entries share the same field names."""
     structs = [F.struct(*[c.alias(k) for k, c in e.items()]) for e in entries]

@@ -11,6 +11,7 @@ from brightlake.functions.columns import col, count_if, num, percent
 from brightlake.operators.clean import date_of_text, top_values
 from brightlake.plans.running import quantiles
 from brightlake.plans.sampling import lowest_by_hash
+from brightlake.session import materialize
 
 OTHER = "other"
 
@@ -144,6 +145,7 @@ def pie_shares(
     """
     amount = F.coalesce(F.sum(num(values)), F.lit(0.0)) if values else F.count(F.lit(1)).cast("double")
     totals = df.where(col(column).isNotNull()).groupBy(col(column).alias("category")).agg(amount.alias("amount"))
+    totals = materialize(totals)
     whole = totals.agg(F.sum("amount").alias("t"), F.count(F.lit(1)).alias("n")).first()
     total, n = whole["t"] or 0.0, whole["n"]
     if top_n and n > top_n:

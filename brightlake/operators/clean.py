@@ -18,9 +18,9 @@ from brightlake.functions.columns import (
     numeric_columns,
     percent,
     ratio,
+    short_form,
     stack_rows,
     string_columns,
-    unpivot,
 )
 from brightlake.plans.running import quantile_row
 from brightlake.session import stored
@@ -150,7 +150,7 @@ def redundant_columns(df: DataFrame) -> DataFrame:
     """Columns with a single value, or with more than 90 % missing cells."""
     stats = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_distinct(F.when(~missing(df, c), col(c))).alias(f"_d{i}") for i, c in enumerate(df.columns)],
+        *[F.count_distinct(F.when(~missing(df, c), short_form(df, c))).alias(f"_d{i}") for i, c in enumerate(df.columns)],
         *[F.min(col(c)).cast("string").alias(f"_v{i}") for i, c in enumerate(df.columns)],
         *[count_if(missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)],
     )
@@ -175,7 +175,7 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """(row_count, duplicate_rows): rows beyond the first of each set of equal rows."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    copies = df.groupBy(*[short_form(df, c).alias(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -77,8 +77,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     found: dict[str, object] = {}
     for c in columns:
         counts = df.where(~missing(df, c)).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        best = counts.agg(F.max("n").alias("m")).first()["m"]
-        found[c] = None if best is None else counts.where(F.col("n") == best).agg(F.min("v").alias("v")).first()["v"]
+        found[c] = counts.agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("v")).first()["v"]
     return found
 
 

@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightlake.functions.columns import (
+    beside,
     col,
     num,
     numeric_columns,
@@ -17,6 +18,7 @@ from brightlake.functions.columns import (
 )
 from brightlake.functions.tails import chi2_p, f_p, k2_statistic, kolmogorov_p, t_p
 from brightlake.plans.running import SMALL_ROWS, quantile_row, quantiles, running_totals, value_cells
+from brightlake.session import materialize
 
 
 def _verdict(p: Column, alpha: float) -> Column:
@@ -62,7 +64,7 @@ def welch_ttest(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> D
 
 def anova(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
     """One row per group with its mean, and the F test over all of them (three groups or more)."""
-    groups = group_moments(df, group, value).where("n > 0")
+    groups = materialize(group_moments(df, group, value).where("n > 0"))  # one scan for three uses
     n, m, v = F.col("n").cast("double"), F.col("mean"), F.col("var")
     # between = sum n (mean - grand)^2, within = sum (n - 1) var
     grand = groups.agg((F.sum(n * m) / F.sum(n)).alias("g")).first()["g"]
@@ -79,12 +81,8 @@ def anova(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFra
         d1.alias("dof_between"),
         d2.alias("dof_within"),
     ).withColumn("p_value", f_p("f_statistic", "dof_between", "dof_within"))
-    return (
-        groups.select("group", "n", F.col("mean").alias("group_mean"), F.lit(1).alias("_k"))
-        .join(test.withColumn("_k", F.lit(1)), "_k")
-        .drop("_k")
-        .withColumn("conclusion", _verdict(F.col("p_value"), alpha))
-    )
+    named = groups.select("group", "n", F.col("mean").alias("group_mean"))
+    return beside(named, test).where("n_groups IS NOT NULL").withColumn("conclusion", _verdict(F.col("p_value"), alpha))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -110,11 +108,11 @@ def chi2_independence(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> Dat
         F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("_q"), F.sum("n").alias("_n")
     )
     size = rows.agg(
-        F.count(F.lit(1)).alias("_r"), F.min("r").alias("_r1"), F.max("r").alias("_r2"), F.min_by("a", "a").alias("_a1")
-    ).withColumn("_k", F.lit(1))
+        F.count(F.lit(1)).alias("_r"), F.min("r").alias("_r1"), F.max("r").alias("_r2")
+    )
     wide = cols.agg(
-        F.count(F.lit(1)).alias("_c"), F.min("c").alias("_c1"), F.max("c").alias("_c2"), F.min_by("b", "b").alias("_b1")
-    ).withColumn("_k", F.lit(1))
+        F.count(F.lit(1)).alias("_c"), F.min("c").alias("_c1"), F.max("c").alias("_c2")
+    )
     n, dof = F.col("_n"), (F.col("_r") - 1) * (F.col("_c") - 1)
     plain = n * (F.col("_q") - 1)
     # 2 x 2: |n11 n22 - n12 n21| = sqrt(plain * r1 r2 c1 c2 / n); each cell moves by at most 1/2
@@ -122,16 +120,11 @@ def chi2_independence(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> Dat
     cross = F.sqrt(F.greatest(plain, F.lit(0.0)) * margins / n)
     shift = F.greatest(cross - n / 2, F.lit(0.0))
     yates = F.try_divide(n * shift * shift, margins)
-    stats = (
-        total.withColumn("_k", F.lit(1))
-        .join(size, "_k")
-        .join(wide, "_k")
-        .select(
-            F.lit(a).alias("var1"),
-            F.lit(b).alias("var2"),
-            F.when(dof == 1, yates).otherwise(plain).alias("chi2"),
-            dof.cast("long").alias("dof"),
-        )
+    stats = beside(beside(total, size), wide).select(
+        F.lit(a).alias("var1"),
+        F.lit(b).alias("var2"),
+        F.when(dof == 1, yates).otherwise(plain).alias("chi2"),
+        dof.cast("long").alias("dof"),
     )
     return stats.withColumn(
         "p_value", F.when(F.col("dof") > 0, chi2_p("chi2", F.col("dof").cast("double"))).otherwise(1.0)
@@ -145,7 +138,7 @@ def normality_k2(df: DataFrame, columns: list[str] | None = None, alpha: float =
     names = list(columns or numeric_columns(df))
     marks = quantile_row(df, names, [0.5])
     row = df.agg(
-        F.lit(1).alias("_k"),
+        F.lit(1),
         *[
             F.struct(
                 F.count(num(c)).alias("n"),
@@ -210,7 +203,7 @@ def qq_points(df: DataFrame, column: str, points: int = 99) -> DataFrame:
     line = tall.agg(
         F.regr_slope("sample", "theoretical").alias("slope"), F.regr_intercept("sample", "theoretical").alias("intercept")
     )
-    return tall.withColumn("_k", F.lit(1)).join(line.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return beside(tall, line)
 
 
 def significance(df: DataFrame, category: str, number: str, alpha: float = 0.05) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightlake.functions import fixed
 from brightlake.functions.columns import (
+    beside,
     categorical_columns,
     col,
     count_if,
@@ -40,6 +41,7 @@ from brightlake.operators.kpi import (
     user_periods,
 )
 from brightlake.operators.relate import pearson_pairs
+from brightlake.session import stored
 
 
 def _periods(order: str):
@@ -137,10 +139,8 @@ def peak_weekday_daypart(df: DataFrame, date: str = DATE) -> DataFrame:
     day = hours.groupBy("_w").agg(F.sum("_n").alias("m")).agg(best("_w").alias("_w"), F.max("m").alias("weekday_orders"))
     part = hours.groupBy("_p").agg(F.sum("_n").alias("m")).agg(best("_p").alias("peak_daypart"), F.max("m").alias("daypart_orders"))
     names = F.array(*[F.lit(n) for n in fixed.WEEKDAYS])
-    return (
-        day.withColumn("_k", F.lit(1))
-        .join(part.withColumn("_k", F.lit(1)), "_k")
-        .select(F.element_at(names, F.col("_w") + 1).alias("peak_weekday"), "weekday_orders", "peak_daypart", "daypart_orders")
+    return beside(day, part).select(
+        F.element_at(names, F.col("_w") + 1).alias("peak_weekday"), "weekday_orders", "peak_daypart", "daypart_orders"
     )
 
 
@@ -197,10 +197,9 @@ def declining_category(df: DataFrame, as_of=None, drop: float = 20.0) -> DataFra
     total = rows.agg(growth(sum_if(new, num(PRICE)), sum_if(old, num(PRICE))).alias("total_change"))
     worst = table.agg(F.min_by(F.struct(CATEGORY, "change_percentage"), F.struct("change_percentage", CATEGORY)).alias("_w"))
     return (
-        worst.withColumn("_k", F.lit(1))
-        .join(total.where("total_change < -10").withColumn("_k", F.lit(1)), "_k")
+        beside(worst, total)
         .select(F.col(f"_w.{CATEGORY}").alias("category"), F.col("_w.change_percentage").alias("change_percentage"), "total_change")
-        .where(F.col("change_percentage") < -drop)
+        .where((F.col("total_change") < -10) & (F.col("change_percentage") < -drop))
     )
 
 
@@ -459,13 +458,20 @@ def insight_topics(insights: DataFrame) -> DataFrame:
     return insights.withColumn("topic", ladder.otherwise("other"))
 
 
-def business_insights(df: DataFrame, as_of=None) -> DataFrame:
+def business_insights(df: DataFrame, as_of=None, reuse: bool = True) -> DataFrame:
     """The rules above that fire on one sales table (order_date, total_price, category, user_id,
-    product_id, order_id), with their topics. ``as_of`` defaults to the last order."""
+    product_id, order_id), with their topics. ``as_of`` defaults to the last order.
+
+    With ``reuse`` the needed columns are stored once, so a joined input is not joined again for
+    every rule; switch it off when ``df`` is a plain table scan.
+    """
     need = [DATE, PRICE, CATEGORY, USER, "product_id", ORDER]
     gone = [c for c in need if c not in df.columns]
     if gone:
         raise ValueError(f"missing columns: {', '.join(gone)}")
+    if reuse:
+        extra = [c for c in ("product_name", "user_segment") if c in df.columns]
+        df = stored(df.select(*[col(c) for c in [*need, *extra]]), "insights")
     now = as_of_date(df, as_of)
     change, aov = monthly_sales_change(df), monthly_aov_change(df)
     repeat, fresh = repeat_rate(df), new_customer_share(df, now)

@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from brightlake.functions.columns import col, ratio, stack_rows
+from brightlake.functions.columns import col, ratio, short_form, stack_rows
 
 SUFFIXES = {"both": ("_left", "_right"), "left": ("", "_right"), "right": ("_left", "")}
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
@@ -104,7 +104,7 @@ def common_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
         if not shared[n]:
             continue
         row = t.agg(
-            F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(shared[n])]
+            F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(short_form(t, c)).alias(f"_d{i}") for i, c in enumerate(shared[n])]
         )
         part = stack_rows(
             row,

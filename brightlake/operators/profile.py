@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from brightlake.functions import fixed
 from brightlake.functions.columns import (
+    beside,
     categorical_columns,
     col,
     count_if,
@@ -24,6 +25,7 @@ from brightlake.functions.columns import (
     ratio,
     sample_kurtosis,
     sample_skew,
+    short_form,
     stack_rows,
     string_columns,
 )
@@ -31,11 +33,6 @@ from brightlake.operators.clean import duplicate_count, logical_types
 from brightlake.plans.running import quantile_row, quantiles, value_cells
 
 
-def _one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Put two one-row frames side by side."""
-    return left.withColumn("_k", F.lit(1)).join(right.withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
 # ---- table level -------------------------------------------------------------------------------
 
 def table_overview(df: DataFrame) -> DataFrame:
@@ -58,7 +55,7 @@ def table_overview(df: DataFrame) -> DataFrame:
     kinds = logical_types(df).agg(
         *[count_if(F.col("logical_type") == k).alias(f"{k}_count") for k in ("numeric", "categorical", "datetime")]
     )
-    return _one_row_join(_one_row_join(base, duplicate_count(df).drop("row_count")), kinds)
+    return beside(beside(base, duplicate_count(df).drop("row_count")), kinds)
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -220,7 +217,7 @@ def _penalties(df: DataFrame, outlier_from: float) -> DataFrame:
     dups = duplicate_count(df).select(
         F.coalesce(percent(F.col("duplicate_rows"), F.col("row_count")), F.lit(0.0)).alias("_dup")
     )
-    return _one_row_join(_one_row_join(base, dups), outliers).select(
+    return beside(beside(base, dups), outliers).select(
         F.least(F.lit(30.0), F.col("_miss") * 3).alias("missing_penalty"),
         F.least(F.lit(20.0), F.col("_dup") * 4).alias("duplicate_penalty"),
         F.least(F.lit(30.0), F.col("_out")).alias("outlier_penalty"),
@@ -447,12 +444,7 @@ def describe_datetime(df: DataFrame, column: str) -> DataFrame:
         ).alias("_p"),
     )
     counts = parts.groupBy("_p.part", "_p.value").agg(F.sum("_n").alias("count"))
-    return (
-        counts.withColumn("_k", F.lit(1))
-        .join(ends.withColumn("_k", F.lit(1)), "_k")
-        .drop("_k")
-        .withColumn("range_days", F.datediff("max_date", "min_date"))
-    )
+    return beside(counts, ends).withColumn("range_days", F.datediff("max_date", "min_date"))
 
 
 # ---- outliers ----------------------------------------------------------------------------------
@@ -531,7 +523,7 @@ def text_columns(df: DataFrame, min_ratio: float = 0.5) -> DataFrame:
     """Text columns with more distinct values than ``min_ratio`` of the rows."""
     names = string_columns(df)
     row = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(col(c)).alias(f"_d{i}") for i, c in enumerate(names)]
+        F.count(F.lit(1)).alias("_rows"), *[F.count_distinct(short_form(df, c)).alias(f"_d{i}") for i, c in enumerate(names)]
     )
     listed = stack_rows(
         row,
