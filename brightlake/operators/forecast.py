@@ -110,6 +110,8 @@ def smooth(
     elif trend == "mul":
         top, base = (x[m : 2 * m].mean(), x[:m].mean()) if seasonal else (x[1], x[0])
         slope = float((top / base) ** (1.0 / (m if seasonal else 1))) if base else 1.0
+    if trend and not seasonal:  # one step before the first value
+        level = level - phi * slope if trend == "add" else level / slope**phi if slope else level
     season = [0.0] * m
     if seasonal:
         season = list(x[:m] - level) if seasonal == "add" else list(x[:m] / level)

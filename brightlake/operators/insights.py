@@ -222,7 +222,7 @@ def category_growth(df: DataFrame, as_of=None) -> DataFrame:
 def top_category_shift(df: DataFrame, as_of=None, days: int = 90) -> DataFrame:
     """Best category overall with its share, best category lately, and whether they differ."""
     now = as_of_date(df, as_of)
-    new = col(DATE) >= at(now - timedelta(days=days))
+    df, new = df.where(col(DATE) <= at(now)), col(DATE) >= at(now - timedelta(days=days))
     table = df.where(col(CATEGORY).isNotNull()).groupBy(col(CATEGORY)).agg(
         F.coalesce(F.sum(num(PRICE)), F.lit(0.0)).alias("_all"), F.sum(F.when(new, num(PRICE))).alias("_new")
     )
@@ -322,7 +322,7 @@ def repeat_rate(df: DataFrame) -> DataFrame:
 def new_customer_share(df: DataFrame, as_of=None, days: int = 30) -> DataFrame:
     """Buyers of the last 30 days never seen before, bands above 30 and below 10 percent."""
     now = as_of_date(df, as_of)
-    new = col(DATE) >= at(now - timedelta(days=days))
+    df, new = df.where(col(DATE) <= at(now)), col(DATE) >= at(now - timedelta(days=days))
     base = user_periods(df, new, ~new).agg(
         count_if(F.col("now")).alias("recent_users"), count_if(F.col("now") & ~F.col("before")).alias("new_users")
     )

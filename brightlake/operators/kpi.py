@@ -32,7 +32,7 @@ def recent_periods(df: DataFrame, days: int, as_of=None, date: str = DATE) -> tu
     if now is None:
         return df.where(F.lit(False)), F.lit(False), F.lit(False)
     cut, start = at(now - timedelta(days=days)), at(now - timedelta(days=2 * days))
-    return df.where(col(date) >= start), col(date) >= cut, col(date) < cut
+    return df.where((col(date) >= start) & (col(date) <= at(now))), col(date) >= cut, col(date) < cut
 
 
 def change_band(change: Column, *bands: tuple[float, str]) -> Column:

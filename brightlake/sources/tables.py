@@ -16,9 +16,8 @@ KOREAN_CHARSET = "x-windows-949"
 
 
 def _is_utf8(spark: SparkSession, path: str) -> bool:
-    """True if no line of the file decodes to a replacement character; stops at the first that does."""
-    lines = spark.read.text(path)
-    return lines.where(F.col("value").contains("�")).limit(1).count() == 0
+    """True if every line is valid UTF-8; the search ends at the first one that is not."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:

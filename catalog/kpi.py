@@ -191,14 +191,18 @@ def change_sql(new, old):
      g AS (SELECT category, 100.0 * (a - b) / b AS ch FROM c WHERE a IS NOT NULL AND b > 0)"""
 
 
+PAST = S.replace("SELECT max(order_date) AS now FROM s", "SELECT TIMESTAMP '2001-03-06' AS now")
+UPTO = "order_date <= now AND "
+
+
 @register(
     "n13_declining_category",
-    S + change_sql(N30, O30) + f""", t AS (SELECT 100.0 * (sum(total_price) FILTER ({N30}) - sum(total_price) FILTER ({O30})) / sum(total_price) FILTER ({O30}) AS total_change FROM s, m)
+    PAST + change_sql(UPTO + N30, O30) + f""", t AS (SELECT 100.0 * (sum(total_price) FILTER ({UPTO}{N30}) - sum(total_price) FILTER ({O30})) / sum(total_price) FILTER ({O30}) AS total_change FROM s, m)
     SELECT category, ch AS change_percentage, total_change FROM g, t WHERE total_change < -10 AND ch < -20 ORDER BY ch, category LIMIT 1""",
     dec="change_percentage total_change",
 )
 def _(spark, sf):
-    return ins.declining_category(sales(spark, sf))
+    return ins.declining_category(sales(spark, sf), "2001-03-06")
 
 
 CHURN = f""", n AS (SELECT DISTINCT user_id FROM s, m WHERE {N90}), o AS (SELECT DISTINCT user_id FROM s, m WHERE {O90}),
