@@ -45,7 +45,7 @@ ORDERS_SQL = """(SELECT o_custkey AS user_id, o_orderkey AS order_id, o_orderdat
  o_totalprice AS total_price, o_orderpriority AS category FROM orders)"""
 
 # events per type and hour
-HOURLY_SQL = """(SELECT event_type AS k, date_trunc('hour', ts) AS t, avg(value) AS v FROM events GROUP BY 1, 2)"""
+HOURLY_SQL = """(SELECT event_type AS k, date_trunc('hour', ts) AS t, sum(value) AS v FROM events GROUP BY 1, 2)"""
 DAILY_SQL = """(SELECT event_type AS k, date_trunc('day', ts) AS t, sum(value) AS v FROM events GROUP BY 1, 2)"""
 
 
@@ -94,7 +94,7 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """One series per event type on an hourly grain, hours without events left out."""
     from brightlake.operators.series import prepare_series
 
-    return prepare_series(table(spark, sf, "events"), ["event_type"], "ts", "value", grain="hour", agg="mean", fill=None).select(
+    return prepare_series(table(spark, sf, "events"), ["event_type"], "ts", "value", grain="hour", agg="sum", fill=None).select(
         F.col("event_type").alias("k"), F.col("ts").alias("t"), F.col("value").alias("v")
     )
 
