@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from brightlake.functions.columns import col, is_numeric, num, numeric_columns, ratio
 from brightlake.operators.impute import medians, with_gaps
 from brightlake.plans.sampling import hash_order
+from brightlake.session import materialize
 
 X, Y, TEST = "features", "label", "is_test"
 
@@ -102,6 +103,7 @@ def classification_report(scored: DataFrame, actual: str = "actual", prediction:
     cells = scored.groupBy(col(actual).cast("string").alias("a"), col(prediction).cast("string").alias("p")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    cells = materialize(cells)  # the rows are scored once, for classes and averages alike
     sides = cells.select(
         F.explode(
             F.array(

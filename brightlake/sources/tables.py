@@ -7,7 +7,7 @@ import re
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brightlake.operators.clean import load_cleanup
 
@@ -100,15 +100,12 @@ class Tables:
         return self.spark.sql(query)
 
     def record(self, name: str, df: DataFrame, path: str, kind: str = "merge", inputs: Sequence[str] = (), keys: str = "", how: str = "") -> DataFrame:
-        """Write a result, count its rows on the way, log it and register the written table."""
-        seen = Observation(name)
+        """Write a result, log it with the row count of the written files, and register these."""
         start = time.time()
-        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        watched.write.mode("overwrite").parquet(path)
-        self.log.append(
-            (name, kind, ",".join(inputs), keys, how, int(seen.get["rows"]), len(df.columns), time.time() - start)
-        )
+        df.write.mode("overwrite").parquet(path)
         stored = self.spark.read.parquet(path)
+        rows = stored.count()  # answered from the Parquet footers
+        self.log.append((name, kind, ",".join(inputs), keys, how, rows, len(df.columns), time.time() - start))
         self.add(name, stored)
         return stored
 

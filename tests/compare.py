@@ -85,7 +85,9 @@ def main(names):
         try:
             ok, note = compare(spark, con, fns[n], sqls.get(n))
         except Exception as e:  # report and go on to the next query
-            ok, note = False, f"{type(e).__name__}: {str(e)[:900]}"
+            text = str(e)
+            roots = [line.strip() for line in text.splitlines() if "Caused by" in line or "Exception:" in line or "Suppressed" in line]
+            ok, note = False, f"{type(e).__name__}: {text[:500]} ... {roots[:6]}"
         print(f"{'ok  ' if ok else 'FAIL'} {n:40s} {time.time() - t0:6.2f}s {note}", flush=True)
         if not ok:
             bad.append(n)
