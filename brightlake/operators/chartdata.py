@@ -11,7 +11,7 @@ from brightlake.functions.columns import col, count_if, num, percent
 from brightlake.operators.clean import date_of_text, top_values
 from brightlake.plans.running import quantiles
 from brightlake.plans.sampling import lowest_by_hash
-from brightlake.session import materialize
+from brightlake.session import materialize, small_side
 
 OTHER = "other"
 
@@ -108,7 +108,7 @@ def box_summary(df: DataFrame, column: str, group: str | None = None, max_groups
         if max_groups is not None:
             kept = [r[group] for r in top_values(df, group, max_groups).collect()]
             df = df.where(col(group).isin(kept))
-    marks = quantiles(df, [column], [0.25, 0.5, 0.75], by=[group]).drop("column")
+    marks = small_side(quantiles(df, [column], [0.25, 0.5, 0.75], by=[group]).drop("column"))
     fence = 1.5 * (F.col("q2") - F.col("q0"))
     rows = df.select(col(group), num(column).alias("_v")).where("_v IS NOT NULL").join(marks, group)
     inside = (F.col("_v") >= F.col("q0") - fence) & (F.col("_v") <= F.col("q2") + fence)
@@ -183,7 +183,7 @@ def quadratic_trend(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
     ).where("n > 1 AND _s > 0")
     z = (F.col("_x") - F.col("_m")) / F.col("_s")
     sums = (
-        rows.join(stats, group)
+        rows.join(small_side(stats), group)
         .withColumn("_z", z)
         .groupBy(col(group), "n", "_m", "_s", "x_min", "x_max")
         .agg(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from brightlake.functions.columns import categorical_columns, col, num, numeric_columns, percent, stack_rows
 from brightlake.operators.reduce import FEATURES, feature_matrix
 from brightlake.plans.running import quantiles
+from brightlake.session import small_side
 
 LABEL = "cluster"
 MAX_CENTRES = 2000
@@ -141,7 +142,9 @@ def centroid_metrics(df: DataFrame, label: str, columns: Sequence[str]) -> DataF
     """
     rows = df.select(col(label).alias(LABEL), *[num(c).alias(f"_x{i}") for i, c in enumerate(columns)])
     d = range(len(columns))
-    centres = rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f"_x{i}").alias(f"_c{i}") for i in d])
+    centres = small_side(
+        rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f"_x{i}").alias(f"_c{i}") for i in d])
+    )
     square = sum(((F.col(f"_x{i}") - F.col(f"_c{i}")) * (F.col(f"_x{i}") - F.col(f"_c{i}")) for i in d), F.lit(0.0))
     spread = rows.join(centres.drop("_n"), LABEL).groupBy(LABEL).agg(
         F.sum(square).alias("_w"), F.avg(F.sqrt(square)).alias("_s")

@@ -27,7 +27,6 @@ MAX_AXES = 3
 LABEL = "cluster"
 SPLIT = 8
 LEVELS = 5
-ROUNDS = 60
 
 
 def _square(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -155,7 +154,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     label among the neighbours and then the label of that label, so long chains shrink fast."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     state = materialize(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(ROUNDS):
+    while True:
         offered = edges.join(state, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("_m"))
         lower = state.join(offered, "id", "left").select("id", F.least(F.col("root"), F.coalesce("_m", F.col("root"))).alias("root"), F.col("root").alias("_old"))
         jump = lower.select(F.col("id").alias("root"), F.col("root").alias("_top"))
@@ -165,7 +164,6 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = new.select("id", "root")
         if new.where("root <> _old").limit(1).count() == 0:
             return state
-    raise RuntimeError("components did not settle")
 
 
 def dbscan_points(df: DataFrame, axes: Sequence[str], eps: float = 0.5, min_samples: int = 5, salt: int = 8) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from brightlake.functions.columns import col, num, numeric_columns, string_columns
 from brightlake.plans.running import quantile_row, running_totals
 from brightlake.plans.sampling import lowest_by_hash
-from brightlake.session import materialize
+from brightlake.session import materialize, small_side
 
 
 # ---- scaling -----------------------------------------------------------------------------------
@@ -87,7 +87,7 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     order = df.columns
     for c in columns or string_columns(df):
         codes = category_codes(df, c)
-        df = df.join(codes, c, "left").withColumn(c, F.coalesce(F.col("code"), F.lit(-1))).drop("code")
+        df = df.join(small_side(codes), c, "left").withColumn(c, F.coalesce(F.col("code"), F.lit(-1))).drop("code")
     return df.select(*[col(c) for c in order])
 
 
@@ -97,7 +97,7 @@ def frequency_encode(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     for c in columns or string_columns(df):
         total = df.where(col(c).isNotNull()).count()
         counts = df.where(col(c).isNotNull()).groupBy(col(c)).agg((F.count(F.lit(1)) / F.lit(total)).alias("_f"))
-        df = df.join(counts, c, "left").withColumn(c, F.col("_f")).drop("_f")
+        df = df.join(small_side(counts), c, "left").withColumn(c, F.col("_f")).drop("_f")
     return df.select(*[col(c) for c in order])
 
 
@@ -108,7 +108,7 @@ def binary_encode(df: DataFrame, column: str, max_categories: int = 10) -> DataF
     if size <= max_categories:
         return df
     bits = size.bit_length()
-    joined = df.join(codes, column, "left").withColumn("code", F.coalesce(F.col("code"), F.lit(0)))
+    joined = df.join(small_side(codes), column, "left").withColumn("code", F.coalesce(F.col("code"), F.lit(0)))
     return joined.withColumns(
         {
             f"{column}_{i}": F.shiftright(F.col("code"), bits - 1 - i).bitwiseAND(F.lit(1)).cast("int")
@@ -150,6 +150,6 @@ def oversample(df: DataFrame, target: str, key: Sequence[str], seed: int = 42) -
     sizes = class_sizes(df, target).select(
         col(target), F.expr(f"{high} div n").alias("_times"), (F.lit(high) % F.col("n")).alias("take")
     )
-    whole = df.join(sizes.drop("take"), target).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    whole = df.join(small_side(sizes.drop("take")), target).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     extra = lowest_by_hash(df, sizes.where("take > 0").select(col(target), "take"), [target], key, seed)
     return whole.select(*[col(c) for c in df.columns]).unionByName(extra)

@@ -21,7 +21,7 @@ from brightlake.functions.columns import (
     stack_rows,
 )
 from brightlake.plans.running import SMALL_ROWS, quantile_row, running_totals, value_cells
-from brightlake.session import materialize
+from brightlake.session import BROADCAST_ROWS, materialize
 
 PAIRS_PER_JOB = 500
 
@@ -66,10 +66,10 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], small: int = SMALL_ROW
         ranked = whole.dropna() if len(groups) == 1 else whole.select(*[col(n) for n in names]).dropna()
         # equal rows collapse first; ranks of the distinct values are joined back on the value
         ranked = ranked.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("_n"))
-        ranks = average_ranks(whole.select(*[col(n) for n in names]).dropna(), names, small)
+        ranks = materialize(average_ranks(whole.select(*[col(n) for n in names]).dropna(), names, small))
         for n in names:
             table = ranks.where(F.col("column") == n).select(F.col("value").alias(n), F.col("rank").alias(f"_rank_{n}"))
-            ranked = ranked.join(table, n)
+            ranked = ranked.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, n)
         pairs = list(combinations(names, 2))
         tables.append(
             _pair_table(ranked, pairs, lambda a, b: weighted_corr(F.col("_n"), col(f"_rank_{a}"), col(f"_rank_{b}")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightlake.functions.columns import col
+from brightlake.session import small_side
 
 BUCKET_BITS = 16
 
@@ -38,7 +39,7 @@ def lowest_by_hash(df: DataFrame, quota: DataFrame, by: Sequence[str], key: Sequ
             F.max("take").alias("_take"),
         )
     )
-    rows = hashed.join(cut, by)
+    rows = hashed.join(small_side(cut), by)
     edge = Window.partitionBy(*[col(k) for k in by], "_b").orderBy("_h", *[col(k) for k in key])
     at_cut = (
         rows.where(F.col("_b") == F.col("_cut"))

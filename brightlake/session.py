@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: str = "8", memory: str = "12g") -> SparkSession:
@@ -53,6 +53,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """The narrow, aggregated side of a join: broadcast once its counted rows are few.
+
+    Spark guesses the size of an aggregate from its input and would shuffle the large side first;
+    counting the finished aggregate spares that. Beyond the bound the join is left to Spark.
+    """
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import compare
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
