@@ -16,7 +16,6 @@ from brightlake.functions.columns import (
     missing,
     num,
     numeric_columns,
-    percent,
     safe_corr,
     stack_rows,
 )

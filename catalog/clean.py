@@ -1,7 +1,5 @@
 """Queries of section B: cleaning, types, filters."""
 
-from pyspark.sql import functions as F
-
 from brightlake.operators import clean as op
 from catalog.base import register, table
 from catalog.frames import COPIES_SQL, GAPS_SQL, RAW_SQL, copies, gaps, raw

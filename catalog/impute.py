@@ -2,7 +2,7 @@
 
 from brightlake.operators import impute as op
 from catalog.base import register, table
-from catalog.frames import GAPS_SQL, daily, gaps, hourly
+from catalog.frames import GAPS_SQL, gaps, hourly
 
 SPARSE = "CASE WHEN hour(t) % 4 = 0 THEN NULL ELSE v END"
 SPARSE_SQL = f"(SELECT k, t, {SPARSE} AS v FROM (SELECT event_type AS k, date_trunc('hour', ts) AS t, sum(value) AS v FROM events GROUP BY 1, 2))"

@@ -1,11 +1,9 @@
 """Queries of section E: profiles, scores, outliers, text."""
 
-from functools import reduce
-
 from brightlake.functions.fixed import ENGLISH_STOP_WORDS
 from brightlake.operators import profile as op
 from catalog.base import register, table
-from catalog.frames import COPIES_SQL, GAPS_SQL, copies, gaps
+from catalog.frames import GAPS_SQL, gaps
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 

@@ -2,8 +2,6 @@
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from brightlake.operators import inference as inf
 from brightlake.operators import relate as op
 from catalog.base import register, table
