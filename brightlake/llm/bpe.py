@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from brightlake.llm.common import slices, whole_texts
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _WIDE = re.compile("[^\x00-ɏ]")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
@@ -252,11 +252,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded again."""
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id",
-        F.expr("octet_length(ids) div 4").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded again.
+
+    Both directions run in one pass, so ids and decoded texts never leave the worker.
+    """
+    kinds = [T.LongType(), T.StringType(), T.StringType()]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *map(T.StructField, names, kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        enc, dec = held(ForcedBoundaryEncoder, path), Decoder(path)
+        for b in slices(batches, limit=1 << 20):
+            coded = enc.encode(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([len(x) // 4 for x in coded], pa.int64()),
+                    pa.array([sha256(x).hexdigest() for x in coded], pa.string()),
+                    pa.array([sha256(dec.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in coded], pa.string()),
+                ],
+                schema.names,
+            )
+
+    return whole_texts(docs).mapInArrow(run, schema)
