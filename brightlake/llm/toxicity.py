@@ -34,8 +34,8 @@ HALF = 8  # words on either side of a window's centre
 BUCKETS = 1 << 16
 STARTS = (4, 5, 6)
 EPOCHS = 60
-SLICE_BYTES = 16 << 20
-MEMO_WORDS = 800_000
+SLICE_BYTES = 8 << 20
+MEMO_WORDS = 400_000
 LIMIT = 0.7
 _WORD = re.compile(r"\w+")
 
