@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightlake.llm import bpe, chat, decontaminate, lines, neardup, repair, toxicity, winnow
+from brightlake.llm import bpe, chat, decontaminate, html, lines, neardup, pii, repair, toxicity, winnow
 from brightlake.llm.common import table
 from brightlake.session import scratch_path
 
@@ -45,6 +45,19 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_html(spark, sf_dir):
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 @query
 def op6_minhash(spark, sf_dir):
     """Near-duplicate class of every document."""

@@ -32,7 +32,7 @@ LEAST = 5
 PURE = 0.9
 HALF = 8  # words on either side of a window's centre
 BUCKETS = 1 << 16
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7, 8)
 EPOCHS = 60
 SLICE_BYTES = 8 << 20
 MEMO_WORDS = 400_000
@@ -148,12 +148,11 @@ def _word_array(text: Column) -> Column:
 def marks(rows: DataFrame) -> set[str]:
     """Words (w...) and beginnings (b...) found in toxic documents almost only."""
     words = F.array_distinct(_word_array(F.col("text")))
-    names = F.array_distinct(
-        F.concat(
-            F.transform(words, lambda w: F.concat(F.lit("w"), w)),
-            *[F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.lit("b"), F.substring(w, 1, n))) for n in STARTS[1:]],
-        )
-    )
+
+    def beginnings(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.lit("b"), F.substring(w, 1, n)))
+
+    names = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w"), w)), *map(beginnings, STARTS[1:])))
     counts = (
         rows.select("toxic", F.explode(names).alias("name"))
         .groupBy("name")
