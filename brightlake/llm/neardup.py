@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from brightlake.llm.common import components, slices, whole_texts
-from brightlake.session import materialize, stored
+from brightlake.session import materialize, small_side, stored
 
 SHINGLE = 5
 CHUNKS = 12
@@ -172,15 +172,15 @@ def distance(a, b):
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that reach the similarity on their full sets."""
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = sets_of(docs.join(used, "doc_id", "left_semi"))
+    sets = stored(sets_of(docs.join(small_side(used), "doc_id", "left_semi")), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def by_hubs(keys: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between representatives and the hubs of their buckets."""
+def by_hubs(keys: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of buckets with several members, and pairs (a, hub) within the signature distance d."""
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(keys.join(sizes, "key"))
     weight = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
@@ -200,17 +200,18 @@ def by_hubs(keys: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
 def rest(open_docs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs of different classes among the open representatives that share a rare shingle and pass the
     size and position bounds: a superset of their links."""
-    sets = sets_of(docs.join(open_docs, "doc_id", "left_semi"))
+    sets = sets_of(docs.join(small_side(open_docs), "doc_id", "left_semi"))
     items = sets.select("doc_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    counts = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    # a set must share one of its first size - ceil(0.75 size) + 1 shingles, rarest first
-    ranked = (
-        items.join(counts, "shingle")
-        .groupBy("doc_id", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
-        .withColumn("first", F.slice("order", 1, (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int")))
+    counts = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a set must share one of its first size - ceil(0.75 size) + 1 shingles, rarest first; those of one set
+    # only come first and cannot match, so just their number counts
+    ranked = items.join(counts, "shingle").groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    alone = F.col("size") - F.size("order")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    heads = ranked.where(first > alone).select(
+        "doc_id", "size", alone.alias("alone"), F.posexplode(F.slice("order", 1, (first - alone).cast("int"))).alias("at", "x")
     )
-    heads = ranked.select("doc_id", "size", F.posexplode("first").alias("at", "x")).where("x.df > 1").select("doc_id", "size", "at", F.col("x.shingle").alias("shingle"))
+    heads = heads.select("doc_id", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("x.shingle").alias("shingle"))
     heads = materialize(heads.join(classes, "doc_id"))
     a = heads.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"), "shingle")
     b = heads.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("at").alias("pb"), F.col("root").alias("rb"), "shingle")
@@ -232,7 +233,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = rows.where("seq is not null").groupBy("seq").agg(F.min("doc_id").alias("rep"), F.any_value("sign").alias("sign"))
     groups = stored(groups, "representatives")
     reps = groups.select(F.col("rep").alias("doc_id"), "sign")
-    shared, near = by_hubs(bucket_keys(reps), texts, reps, percent)
+    shared, near = by_hubs(bucket_keys(reps), reps)
+    # only representatives that share a bucket are looked at again
+    texts = stored(texts.join(small_side(shared.select("doc_id").distinct()), "doc_id", "left_semi"), "candidates")
     # the nearest hub first: most copies are settled by one comparison
     links = None
     tested = near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         of = lambda c: classes.select(F.col("doc_id").alias(c), F.col("root").alias(f"r{c}"))
         tested = near.join(of("a"), "a").join(of("b"), "b").where("ra <> rb")
     spread = shared.join(classes, "doc_id").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_docs = materialize(shared.join(spread.select("key"), "key", "left_semi").select("doc_id").distinct())
+    open_docs = shared.join(spread.select("key"), "key", "left_semi").select("doc_id").distinct()
     more = materialize(rest(open_docs, classes, texts, percent))
     links = links.unionByName(confirmed(more, texts, percent))
     classes = classes_of(reps, links)
