@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from brightlake.llm.common import slices, whole_texts
 
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 _WIDE = re.compile("[^\x00-ɏ]")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 

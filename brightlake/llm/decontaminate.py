@@ -27,7 +27,7 @@ WINDOW = 10
 REACH = 20
 SHARD_BYTES = 8 << 20
 BLOCK_BYTES = 8 << 20
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 #: Bytes outside words become spaces; A-Z become a-z; digits, a-z and all of non-ASCII stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _memo: dict[bytes, int] = {}

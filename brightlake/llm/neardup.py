@@ -38,7 +38,7 @@ WIDTH = 4  # values in a chunk
 VALUES = CHUNKS * WIDTH
 PERCENT = 75
 ROUNDS = 2
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = (1 << 64) - 1
 _memo: dict[bytes, int] = {}

@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 STARTS = (4, 5, 6, 7, 8)
 EPOCHS = 60
 SLICE_BYTES = 8 << 20
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 LIMIT = 0.7
 _WORD = re.compile(r"\w+")
 
