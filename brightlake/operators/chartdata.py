@@ -218,8 +218,7 @@ def quadratic_trend(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
 # ---- points ------------------------------------------------------------------------------------
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, key: Sequence[str], color: str | None = None, size: str | None = None,
-    n: int = 5000, seed: int = 42,
+    df: DataFrame, x: str, y: str, key: Sequence[str], n: int, color: str | None = None, size: str | None = None, seed: int = 42
 ) -> DataFrame:
     """At most ``n`` complete points; a text colour keeps its largest groups."""
     rows = df.dropna(subset=[x, y])
@@ -229,10 +228,9 @@ def scatter_points(
     return bounded_sample(rows, n, key, seed).select(*[col(c) for c in dict.fromkeys([*key, x, y, *extra])])
 
 
-def scatter_matrix(df: DataFrame, columns: Sequence[str], key: Sequence[str], n: int = 5000, seed: int = 42) -> DataFrame:
-    """The sampled rows behind a matrix of scatter plots, five columns at most."""
-    names = list(columns)[:5]
-    return bounded_sample(df.select(*[col(c) for c in dict.fromkeys([*key, *names])]), n, key, seed)
+def scatter_matrix(df: DataFrame, columns: Sequence[str], key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """At most ``n`` sampled rows behind a matrix of scatter plots of all the named columns."""
+    return bounded_sample(df.select(*[col(c) for c in dict.fromkeys([*key, *columns])]), n, key, seed)
 
 
 def dual_axis(df: DataFrame, x: str, y1: str, y2: str) -> DataFrame:

@@ -302,7 +302,7 @@ def preprocess(
         # several passes follow; without the copy each would repeat the full-row shuffle
         df = stored(drop_duplicate_rows(df), "deduplicated")
     if convert_dates and string_columns(df):
-        dates = [r["column"] for r in detect_date_columns(df).where("is_date").collect()]
+        dates = [r["column"] for r in detect_date_columns(df).where("is_date AND date_share > 0.5").collect()]  # a name alone converts nothing
         df = df.withColumns({c: date_of_text(col(c)) for c in dates})
     if encode_categorical:
         df = one_hot(df, max_categories=9)

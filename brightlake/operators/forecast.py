@@ -56,12 +56,14 @@ def _naive(train: DataFrame, horizon: DataFrame, key: Sequence[str], method: str
         return horizon.join(state, list(key)).withColumn("forecast", _naive_value(method)).drop("_last", "_first", "_mean", "_n")
     if method != "seasonal":
         raise ValueError(f"unknown forecast method: {method}")
-    tail = train.withColumn("_n", F.count(F.lit(1)).over(whole(key)))
-    tail = tail.where(F.col("i") >= F.col("_n") - period).select(
-        *cols(key), (F.col("i") - (F.col("_n") - period)).cast("long").alias("_s"), F.col(VALUE).alias("forecast")
+    # a series shorter than the period repeats what it has; without training rows the forecast is null
+    tail = train.withColumn("_n", F.count(F.lit(1)).over(whole(key))).withColumn("_m", F.least(F.col("_n"), F.lit(period)))
+    sizes = train.groupBy(*cols(key)).agg(F.least(F.count(F.lit(1)), F.lit(period)).alias("_m"))
+    tail = tail.where(F.col("i") >= F.col("_n") - F.col("_m")).select(
+        *cols(key), (F.col("i") - (F.col("_n") - F.col("_m"))).cast("long").alias("_s"), F.col(VALUE).alias("forecast")
     )
-    at = horizon.withColumn("_s", ((F.col("h") - 1) % period).cast("long"))
-    return at.join(tail, [*key, "_s"]).drop("_s")
+    at = horizon.join(sizes, list(key), "left").withColumn("_s", ((F.col("h") - 1) % F.col("_m")).cast("long")).drop("_m")
+    return at.join(tail, [*key, "_s"], "left").drop("_s")
 
 
 def _label(method: str, period: int | None = None) -> str:

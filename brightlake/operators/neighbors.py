@@ -66,7 +66,9 @@ def smote(
         if need <= 0:
             continue
         mine = materialize(rows.where(col(target) == label).withColumn("qid", F.monotonically_increasing_id()))
-        if n == 1:
+        if n == 1:  # a row alone has no neighbour: the line ends in itself
+            copies = mine.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(need))))
+            out = out.unionByName(copies.select(*[col(c) for c in feats], col(target), F.lit(True).alias("synthetic")))
             continue
         numbered = mine.select("qid", *feats)
         near = k_nearest(numbered, numbered.withColumn("value", F.col("qid")), feats, min(k, n - 1) + 1, block=block)

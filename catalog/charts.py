@@ -122,13 +122,13 @@ def _(spark, sf):
 
 @register("i10_scatter_points", "SELECT least(5000, count(*)) AS n, count(DISTINCT event_type) AS colors FROM events")
 def _(spark, sf):
-    p = op.scatter_points(table(spark, sf, "events"), "user_id", "value", ["event_id"], "event_type")
+    p = op.scatter_points(table(spark, sf, "events"), "user_id", "value", ["event_id"], 5000, "event_type")
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("colors"))
 
 
 @register("i10_scatter_matrix", "SELECT least(5000, count(*)) AS n, least(5000, count(*)) AS complete FROM lineitem")
 def _(spark, sf):
-    m = op.scatter_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber"])
+    m = op.scatter_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber"], 5000)
     return m.agg(F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("complete"))
 
 

@@ -377,3 +377,27 @@ def test_declining_category_fires(spark):
     df = spark.createDataFrame(rows, "category string, order_date timestamp_ntz, total_price double")
     row = one(insights.declining_category(df))
     assert row["category"] == "b" and row["change_percentage"] == pytest.approx(-80.0)
+
+
+def test_single_row_class_is_raised(spark):
+    from brightlake.operators import neighbors
+
+    rows = spark.createDataFrame([(i, float(i), "a") for i in range(8)] + [(9, 5.0, "b")], "id long, x double, t string")
+    got = neighbors.smote(rows, "t", ["id"], ["x"])
+    assert {r["t"]: r["count"] for r in got.groupBy("t").count().collect()} == {"a": 8, "b": 8}
+
+
+def test_text_named_like_a_date_stays(spark):
+    from brightlake.operators import clean
+
+    rows = spark.createDataFrame([(i, "Monday" if i % 2 else "Friday", float(i)) for i in range(10)], "id long, weekday string, v double")
+    assert clean.preprocess(rows).where("weekday IN ('Monday', 'Friday')").count() == 10
+
+
+def test_short_series_keep_their_horizon(spark):
+    from brightlake.operators import forecast
+
+    rows = [("long", i, float(i)) for i in range(40)] + [("short", i, float(i)) for i in range(5)]
+    frame = spark.createDataFrame(rows, "k string, d int, value double").selectExpr("k", "date_add(DATE'2024-01-01', d) AS ts", "value")
+    got = forecast.naive_forecast(frame, ["k"], "seasonal", period=7, n_test=2).where("k = 'short'").orderBy("h").collect()
+    assert [r["forecast"] for r in got] == [0.0, 1.0]
