@@ -13,6 +13,7 @@ Null texts count as empty: no ids, decoded text "". Repeated rows give repeated
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ class Splitter:
     """Cuts a text into added tokens and white-space chunks that may be encoded on their own."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units: a worker starts no threads
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -59,8 +61,10 @@ class Splitter:
 
     def missing(self, words: set[str]) -> set[str]:
         """Words without ids yet; a final point or comma after a letter is a piece of its own."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {c: np.uint32(i).tobytes() for c, i in self.added.items()}
+        if len(self.memo) > MEMO_WORDS:  # frequent words are among those at hand and stay
+            recent = words.union(w[:-1] for w in words if _tail(w))
+            held_on = {w: ids for w, ids in self.memo.items() if w in recent}
+            self.memo = held_on | {c: np.uint32(i).tobytes() for c, i in self.added.items()}
         memo = self.memo
         todo = {w for w in words if w not in memo}
         cores = {w[:-1] if _tail(w) else w for w in todo}
