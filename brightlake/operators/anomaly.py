@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from brightlake.functions.columns import col, count_if, num, percent
 from brightlake.functions.fixed import MAD_SCALE
-from brightlake.operators.series import TS, VALUE, by_time, cols, frame_of, rolling, shortest, whole
+from brightlake.operators.series import TS, VALUE, by_time, cols, frame_of, own_frame, rolling, whole
 from brightlake.plans.running import quantiles
 
 
@@ -34,25 +34,45 @@ def anomaly_iqr(series: DataFrame, key: Sequence[str], threshold: float = 1.5, t
     return _flag(bounded, [*cols(key), TS, VALUE])
 
 
-def _centre_and_spread(key: Sequence[str], window: int | None) -> tuple[Column, Column]:
+#: Window name: every series takes the one that ``own_window`` gives for its length.
+OWN = "own"
+
+
+def own_window(n: Column) -> Column:
+    """Window of a series of ``n`` values; null for a short one, which has none."""
+    third = F.greatest(F.lit(3), F.floor(n / F.lit(3)))
+    return F.when(n >= 30, 7).when(n >= 10, third).cast("int")
+
+
+def _framed(known: DataFrame, key: Sequence[str], window: int | str) -> tuple[DataFrame, WindowSpec, Column]:
+    """Rows, centred frame and rows of a full frame."""
+    if window != OWN:
+        return known, frame_of(by_time(key), window, center=True), F.lit(window)
+    axis, frame = own_frame(key, center=True)
+    numbered = known.withColumns(
+        {"_i": F.row_number().over(by_time(key)).cast("long"), "_w": own_window(F.count(F.lit(1)).over(whole(key)))}
+    )
+    return numbered.withColumn("_x", axis), frame, F.col("_w")
+
+
+def _centred(known: DataFrame, key: Sequence[str], window: int | str | None) -> DataFrame:
+    """Add ``mean`` and ``std`` of the series or of the window around each row."""
     x = F.col(VALUE)
     mean, std = F.avg(x).over(whole(key)), F.stddev(x).over(whole(key))
     if window is None:
-        return mean, std
-    frame = frame_of(by_time(key), window, center=True)
-    return (
-        F.coalesce(rolling(x, F.avg, frame, window), mean),
-        F.coalesce(rolling(x, F.stddev, frame, window), std),
+        return known.withColumns({"mean": mean, "std": std})
+    rows, frame, size = _framed(known, key, window)
+    return rows.withColumns(
+        {"mean": F.coalesce(rolling(x, F.avg, frame, size), mean), "std": F.coalesce(rolling(x, F.stddev, frame, size), std)}
     )
 
 
 def anomaly_zscore(
-    series: DataFrame, key: Sequence[str], threshold: float = 3.0, window: int | None = None, ts: str = TS, value: str = VALUE
+    series: DataFrame, key: Sequence[str], threshold: float = 3.0, window: int | str | None = None, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
     """Score against the mean and deviation of the series, or of a centred window whose incomplete
     edges take those of the series."""
-    mean, std = _centre_and_spread(key, window)
-    scored = _known(series, key, ts, value).withColumns({"mean": mean, "std": std})
+    scored = _centred(_known(series, key, ts, value), key, window)
     scored = scored.withColumns(
         {
             "z_score": F.try_divide(F.col(VALUE) - F.col("mean"), F.col("std")),
@@ -67,11 +87,10 @@ def anomaly_zscore(
 
 
 def anomaly_std(
-    series: DataFrame, key: Sequence[str], threshold: float = 3.0, window: int | None = None, ts: str = TS, value: str = VALUE
+    series: DataFrame, key: Sequence[str], threshold: float = 3.0, window: int | str | None = None, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
     """Outside mean plus or minus ``threshold`` deviations."""
-    mean, std = _centre_and_spread(key, window)
-    bounded = _known(series, key, ts, value).withColumns({"mean": mean, "std": std})
+    bounded = _centred(_known(series, key, ts, value), key, window)
     bounded = bounded.withColumns(
         {
             "lower_bound": F.col("mean") - threshold * F.col("std"),
@@ -82,7 +101,7 @@ def anomaly_std(
 
 
 def anomaly_mad(
-    series: DataFrame, key: Sequence[str], threshold: float = 3.0, window: int | None = None, ts: str = TS, value: str = VALUE
+    series: DataFrame, key: Sequence[str], threshold: float = 3.0, window: int | str | None = None, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
     """Outside median plus or minus ``threshold`` scaled median absolute deviations."""
     known = _known(series, key, ts, value)
@@ -93,11 +112,11 @@ def anomaly_mad(
     if window is None:
         scored = full.withColumns({"median": F.col("_med"), "mad": F.col("_mad")})
     else:
-        frame = frame_of(by_time(key), window, center=True)
+        rows, frame, size = _framed(full, key, window)
         median_of = lambda c: F.percentile(c, 0.5)
-        scored = full.withColumn("median", F.coalesce(rolling(F.col(VALUE), median_of, frame, window), F.col("_med")))
+        scored = rows.withColumn("median", F.coalesce(rolling(F.col(VALUE), median_of, frame, size), F.col("_med")))
         scored = scored.withColumn("_near", F.abs(F.col(VALUE) - F.col("median")))
-        scored = scored.withColumn("mad", F.coalesce(rolling(F.col("_near"), median_of, frame, window), F.col("_mad")))
+        scored = scored.withColumn("mad", F.coalesce(rolling(F.col("_near"), median_of, frame, size), F.col("_mad")))
     reach = threshold * MAD_SCALE * F.col("mad")
     bounded = scored.withColumns({"lower_bound": F.col("median") - reach, "upper_bound": F.col("median") + reach})
     return _flag(bounded, [*cols(key), TS, VALUE, "median", "mad"])
@@ -107,7 +126,7 @@ METHODS = {"iqr": anomaly_iqr, "zscore": anomaly_zscore, "std": anomaly_std, "ma
 
 
 def detect_anomalies(
-    series: DataFrame, key: Sequence[str], method: str = "iqr", window: int | None = None, threshold: float = 3.0,
+    series: DataFrame, key: Sequence[str], method: str = "iqr", window: int | str | None = None, threshold: float = 3.0,
     ts: str = TS, value: str = VALUE,
 ) -> DataFrame:
     """One entry point for all methods; ``iqr`` has no window form."""
@@ -118,32 +137,32 @@ def detect_anomalies(
     return METHODS[method](series, key, threshold, window, ts, value)
 
 
-def default_windows(length: int) -> list[int | None]:
-    if length < 10:
-        return [None]
-    if length < 30:
-        return [None, max(3, length // 3)]
-    return [None, 7, 30]
-
-
 def compare_anomaly_methods(
     series: DataFrame, key: Sequence[str], methods: Sequence[str] = ("iqr", "zscore", "std", "mad"),
     windows: Sequence[int | None] | None = None, threshold: float = 3.0, ts: str = TS, value: str = VALUE,
 ) -> DataFrame:
-    """(key..., method, window, anomaly_count, anomaly_percentage) for every method and window."""
-    windows = default_windows(shortest(series, key)) if windows is None else windows
+    """(key..., method, window, anomaly_count, anomaly_percentage) for every method and window.
+
+    By default every series has its own windows: none below 10 values, a third of them below 30, else
+    7 and 30.
+    """
+    n = F.count(F.lit(1))
     out = None
     for method in methods:
-        for window in windows:
+        for window in (None, OWN, 30) if windows is None else windows:
             if method == "iqr" and window is not None:
                 continue
             flags = detect_anomalies(series, key, method, window, threshold, ts, value)
             part = flags.groupBy(*cols(key)).agg(
                 F.lit(method).alias("method"),
-                F.lit(window).cast("int").alias("window"),
+                own_window(n).alias("window") if window == OWN else F.lit(window).cast("int").alias("window"),
                 count_if(F.col("is_anomaly")).alias("anomaly_count"),
-                percent(count_if(F.col("is_anomaly")), F.count(F.lit(1))).alias("anomaly_percentage"),
+                percent(count_if(F.col("is_anomaly")), n).alias("anomaly_percentage"),
+                n.alias("_n"),
             )
+            if windows is None and window is not None:
+                part = part.where("_n >= 30" if window == 30 else "_n >= 10")
+            part = part.drop("_n")
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightlake.functions.columns import col, count_if, num
-from brightlake.operators.series import TS, VALUE, by_time, cols, normal_sums, shortest, whole
+from brightlake.operators.series import TS, VALUE, by_time, cols, detect_frequency, normal_sums, whole
 
 
 def split_series(
@@ -25,8 +25,16 @@ def split_series(
     return numbered.withColumn("cut", cut).withColumn("is_test", F.col("i") >= F.col("cut"))
 
 
-def _season(length: int, period: int | None) -> int:
-    return period if period else max(1, min(length // 2, 12))
+def seasons(train: DataFrame, key: Sequence[str], period: int | None) -> DataFrame:
+    """(key..., _p): the given seasonal period, else each series' own: 7 daily, 12 monthly, 4 quarterly,
+    half the length up to 12 for other frequencies and single rows."""
+    sizes = train.groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("_n"))
+    if period:
+        return sizes.select(*cols(key), F.lit(period).cast("long").alias("_p"))
+    letter, half = F.col("frequency"), F.floor(F.col("_n") / 2)
+    own = F.when(letter == "D", 7).when(letter == "M", 12).when(letter == "Q", 4).otherwise(F.greatest(F.lit(1), F.least(half, F.lit(12))))
+    known = sizes.join(detect_frequency(train, key).drop("gap_seconds"), list(key), "left")
+    return known.select(*cols(key), own.cast("long").alias("_p"))
 
 
 def _naive_state(train: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -50,39 +58,37 @@ def _naive_value(method: str) -> Column:
 
 
 def _naive(train: DataFrame, horizon: DataFrame, key: Sequence[str], method: str, period: int | None) -> DataFrame:
-    """Add ``forecast`` to ``horizon`` rows (key..., h, ...)."""
+    """Add ``forecast`` and ``model`` to ``horizon`` rows (key..., h, ...)."""
     if method in ("last", "mean", "drift"):
-        state = _naive_state(train, key)
-        return horizon.join(state, list(key)).withColumn("forecast", _naive_value(method)).drop("_last", "_first", "_mean", "_n")
+        out = horizon.join(_naive_state(train, key), list(key)).withColumns({"forecast": _naive_value(method), "model": F.lit(method)})
+        return out.drop("_last", "_first", "_mean", "_n")
     if method != "seasonal":
         raise ValueError(f"unknown forecast method: {method}")
     # a series shorter than the period repeats what it has; without training rows the forecast is null
-    tail = train.withColumn("_n", F.count(F.lit(1)).over(whole(key))).withColumn("_m", F.least(F.col("_n"), F.lit(period)))
-    sizes = train.groupBy(*cols(key)).agg(F.least(F.count(F.lit(1)), F.lit(period)).alias("_m"))
-    tail = tail.where(F.col("i") >= F.col("_n") - F.col("_m")).select(
+    own = seasons(train, key, period)
+    sized = train.withColumn("_n", F.count(F.lit(1)).over(whole(key))).join(own, list(key)).withColumn("_m", F.least("_n", "_p"))
+    tail = sized.where(F.col("i") >= F.col("_n") - F.col("_m")).select(
         *cols(key), (F.col("i") - (F.col("_n") - F.col("_m"))).cast("long").alias("_s"), F.col(VALUE).alias("forecast")
     )
+    sizes = sized.groupBy(*cols(key)).agg(F.max("_m").alias("_m"), F.concat(F.lit("seasonal_"), F.max("_p")).alias("model"))
     at = horizon.join(sizes, list(key), "left").withColumn("_s", ((F.col("h") - 1) % F.col("_m")).cast("long")).drop("_m")
     return at.join(tail, [*key, "_s"], "left").drop("_s")
 
 
-def _label(method: str, period: int | None = None) -> str:
-    return f"seasonal_{period}" if method == "seasonal" else method
-
-
 def naive_forecast(
     series: DataFrame, key: Sequence[str], method: str = "last", period: int | None = None,
     test_size: float = 0.2, n_test: int | None = None, ts: str = TS, value: str = VALUE,
 ) -> DataFrame:
     """(key..., ts, h, actual, forecast, model) over the test part of every series."""
     parts = split_series(series, key, test_size, n_test, ts, value)
-    if method == "seasonal":
-        period = _season(shortest(parts.where(~F.col("is_test")), key), period)
-    horizon = parts.where("is_test").select(
+    out = _naive(parts.where(~F.col("is_test")), _test_rows(parts, key), key, method, period)
+    return out.select(*cols(key), TS, "h", "actual", "forecast", "model")
+
+
+def _test_rows(parts: DataFrame, key: Sequence[str]) -> DataFrame:
+    return parts.where("is_test").select(
         *cols(key), TS, (F.col("i") - F.col("cut") + 1).alias("h"), F.col(VALUE).alias("actual")
     )
-    out = _naive(parts.where(~F.col("is_test")), horizon, key, method, period)
-    return out.select(*cols(key), TS, "h", "actual", "forecast", F.lit(_label(method, period)).alias("model"))
 
 
 def forecast_metrics(forecast: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -184,29 +190,38 @@ def exponential_smoothing(
     """Simple, Holt or Holt-Winters smoothing fitted per series: (key..., ts, h, actual, forecast,
     model). The recursion is per key; keys run in parallel and each holds time steps only."""
     parts = split_series(series, key, test_size, n_test, ts, value)
-    m = _season(shortest(parts.where(~F.col("is_test")), key), period) if seasonal else 1
-    label = ets_label(trend, seasonal, m, damped)
+    sized = _with_season(parts, parts.where(~F.col("is_test")), key, seasonal, period)
     fields = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in key)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         train, test = pdf[~pdf["is_test"]], pdf[pdf["is_test"]]
-        x = train[VALUE].to_numpy(dtype=float)
-        if len(x) < max(2, 2 * m if seasonal else 2):
-            guess = np.full(len(test), x.mean())
-        else:
-            guess = _best_smooth(x, len(test), trend, seasonal, m, damped, alpha)[2]
+        guess, label = _smoothed(train[VALUE].to_numpy(dtype=float), len(test), trend, seasonal, int(pdf["_p"].iloc[0]), damped, alpha)
         return test[[*key, TS]].assign(
             h=np.arange(1, len(test) + 1), actual=test[VALUE].to_numpy(), forecast=guess, model=label
         )
 
     return (
-        parts.select(*cols(key), TS, VALUE, "i", "is_test")
+        sized.select(*cols(key), TS, VALUE, "i", "is_test", "_p")
         .groupBy(*cols(key))
         .applyInPandas(one, f"{fields}, ts timestamp_ntz, h long, actual double, forecast double, model string")
     )
 
 
+def _with_season(rows: DataFrame, train: DataFrame, key: Sequence[str], seasonal: str | None, period: int | None) -> DataFrame:
+    """Add each series' period ``_p`` (1 without a season)."""
+    if not seasonal:
+        return rows.withColumn("_p", F.lit(1).cast("long"))
+    return rows.join(seasons(train, key, period), list(key))
+
+
+def _smoothed(x: np.ndarray, steps: int, trend, seasonal, m: int, damped: bool, alpha) -> tuple[np.ndarray, str]:
+    """Forecasts and label; a series shorter than two seasons takes its mean."""
+    fits = len(x) >= max(2, 2 * m if seasonal else 2)
+    guess = _best_smooth(x, steps, trend, seasonal, m, damped, alpha)[2] if fits else np.full(steps, x.mean())
+    return guess, ets_label(trend, seasonal, m, damped)
+
+
 # ---- autoregression ----------------------------------------------------------------------------
 
 def _difference_once(df: DataFrame, key: Sequence[str], column: str) -> Column:
@@ -223,20 +238,26 @@ def ar_forecast(
     row per key: these sums, the last p differences and the last values to integrate from.
     """
     parts = split_series(series, key, test_size, n_test, ts, value)
-    train = parts.where(~F.col("is_test")).withColumn("_d0", F.col(VALUE))
+    out = _autoregressed(parts.where(~F.col("is_test")), _test_rows(parts, key), key, p, d)
+    return out.select(*cols(key), TS, "h", "actual", "forecast", "model")
+
+
+def _autoregressed(train: DataFrame, horizon: DataFrame, key: Sequence[str], p: int, d: int) -> DataFrame:
+    """Add ``forecast`` and ``model`` to ``horizon`` rows; the forecast is null where a series is too short for a fit."""
+    train = train.withColumns({"_d0": F.col(VALUE), "_n": F.count(F.lit(1)).over(whole(key))})
     for k in range(1, d + 1):
         train = train.withColumn(f"_d{k}", _difference_once(train, key, f"_d{k - 1}"))
     top = f"_d{d}"
     lagged = train.withColumns({f"_x{j}": F.lag(col(top), j).over(by_time(key)) for j in range(1, p + 1)})
     sums = normal_sums(lagged, key, top, [f"_x{j}" for j in range(1, p + 1)])
-    ends = train.withColumn("_back", F.col("cut") - F.col("i")).where(F.col("_back") <= max(p, 1))
+    ends = train.withColumn("_back", F.col("_n") - F.col("i")).where(F.col("_back") <= max(p, 1))
     tail = ends.groupBy(*cols(key)).agg(
         F.sort_array(F.collect_list(F.struct("_back", F.col(top).alias("v")))).alias("_tail"),
         *[F.max(F.when(F.col("_back") == 1, col(f"_d{k}"))).alias(f"_end{k}") for k in range(d)],
     )
-    steps = parts.where("is_test").groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("_steps"))
+    steps = horizon.groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("_steps"))
     state = sums.join(tail, list(key)).join(steps, list(key))
-    fields = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in key)
+    fields = ", ".join(f"`{k}` {train.schema[k].dataType.simpleString()}" for k in key)
 
     def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -258,12 +279,7 @@ def ar_forecast(
                 yield pd.concat(frames)
 
     guesses = state.mapInPandas(roll, f"{fields}, h long, forecast double")
-    horizon = parts.where("is_test").select(
-        *cols(key), TS, (F.col("i") - F.col("cut") + 1).alias("h"), F.col(VALUE).alias("actual")
-    )
-    return horizon.join(guesses, [*key, "h"]).select(
-        *cols(key), TS, "h", "actual", "forecast", F.lit(f"ar_{p}_{d}").alias("model")
-    )
+    return horizon.join(guesses, [*key, "h"], "left").withColumn("model", F.lit(f"ar_{p}_{d}"))
 
 
 # ---- comparison and the future -----------------------------------------------------------------
@@ -298,38 +314,40 @@ def forecast_future(
     period: int | None = None, trend: str | None = None, seasonal: str | None = None, damped: bool = False,
     ts: str = TS, value: str = VALUE,
 ) -> DataFrame:
-    """(key..., date, h, forecast, model) from a refit on all data. ``best`` picks, per key, the
-    simple model with the smallest RMSE on the test split."""
+    """(key..., date, h, forecast, model) from a refit on all data: a simple model, ``ets`` (with the given
+    trend, season and damping) or ``ar`` (orders 1, 1). ``best`` picks, per key, the model of all these with
+    the smallest RMSE on the test split."""
     known = series.where(num(value).isNotNull()).select(*cols(key), col(ts).alias(TS), num(value).alias(VALUE))
     numbered = known.withColumn("i", F.row_number().over(by_time(key)) - 1)
     dates = known.groupBy(*cols(key)).agg(F.max(TS).alias("_last_ts")).select(
         *cols(key), F.posexplode(future_dates(F.col("_last_ts"), steps, freq)).alias("_p", "date")
     )
     horizon = dates.select(*cols(key), "date", (F.col("_p") + 1).cast("long").alias("h"))
-    if method in ("seasonal", "best"):
-        period = _season(shortest(known, key), period)
-    if method == "ets":
-        m = _season(shortest(known, key), period) if seasonal else 1
-        label = ets_label(trend, seasonal, m, damped)
-        fields = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in key)
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf.sort_values("i")[VALUE].to_numpy(dtype=float)
-            fits = len(x) >= max(2, 2 * m if seasonal else 2)
-            guess = _best_smooth(x, steps, trend, seasonal, m, damped, None)[2] if fits else np.full(steps, x.mean())
-            return pd.DataFrame({k: pdf[k].iloc[0] for k in key} | {"h": np.arange(1, steps + 1), "forecast": guess})
-
-        guesses = numbered.groupBy(*cols(key)).applyInPandas(one, f"{fields}, h long, forecast double")
-        return horizon.join(guesses, [*key, "h"]).select(*cols(key), "date", "h", "forecast", F.lit(label).alias("model"))
-    names = ["last", "mean", "drift", "seasonal"] if method == "best" else [method]
+    fields = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in key)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("i")[VALUE].to_numpy(dtype=float)
+        guess, label = _smoothed(x, steps, trend, seasonal, int(pdf["_p"].iloc[0]), damped, None)
+        return pd.DataFrame({k: pdf[k].iloc[0] for k in key} | {"h": np.arange(1, steps + 1), "forecast": guess, "model": label})
+
+    def ahead(name: str) -> DataFrame:
+        if name == "ar":
+            return _autoregressed(numbered, horizon, key, 1, 1)
+        if name != "ets":
+            return _naive(numbered, horizon, key, name, period)
+        sized = _with_season(numbered, numbered, key, seasonal, period)
+        return horizon.join(sized.groupBy(*cols(key)).applyInPandas(one, f"{fields}, h long, forecast double, model string"), [*key, "h"])
+
+    simple = ["last", "mean", "drift", "seasonal"]
     out = None
-    for name in names:
-        part = _naive(numbered, horizon, key, name, period).select(
-            *cols(key), "date", "h", "forecast", F.lit(_label(name, period)).alias("model")
-        )
+    for name in [*simple, "ets", "ar"] if method == "best" else [method]:
+        part = ahead(name).select(*cols(key), "date", "h", "forecast", "model")
         out = part if out is None else out.unionByName(part)
     if method == "best":
-        table = compare_models([naive_forecast(series, key, n, period, ts=ts, value=value) for n in names], key)
+        tried = [naive_forecast(series, key, n, period, ts=ts, value=value) for n in simple]
+        tried.append(exponential_smoothing(series, key, trend, seasonal, period, damped, ts=ts, value=value))
+        tried.append(ar_forecast(series, key, ts=ts, value=value))
+        table = compare_models(tried, key).where("rmse IS NOT NULL")
         best = table.groupBy(*cols(key)).agg(F.min_by("model", F.struct("rmse", "model")).alias("model"))
         out = out.join(best, [*key, "model"]).select(*cols(key), "date", "h", "forecast", "model")
     return out

@@ -141,11 +141,6 @@ def series_periods(series: DataFrame, key: Sequence[str], ts: str = TS) -> DataF
     )
 
 
-def shortest(series: DataFrame, key: Sequence[str]) -> int:
-    """Length of the shortest series (one driver value that fixes window sizes for all)."""
-    return series.groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n")).first()["n"] or 0
-
-
 # ---- decomposition and rolling statistics -------------------------------------------------------
 
 def decompose(
@@ -189,42 +184,65 @@ def frame_of(w: WindowSpec, window: int, center: bool) -> WindowSpec:
     return w.rowsBetween(-(window // 2), (window - 1) // 2) if center else w.rowsBetween(-(window - 1), 0)
 
 
-def rolling(x: Column, fn, frame: WindowSpec, window: int) -> Column:
+def rolling(x: Column, fn, frame: WindowSpec, window: int | Column) -> Column:
     """``fn`` over full windows without gaps, else null."""
     return F.when(F.count(x).over(frame) == window, fn(x).over(frame))
 
 
-def fitting_window(series: DataFrame, key: Sequence[str], window: int) -> int:
-    """A window over half the (shortest) series shrinks to a tenth of it, two at least."""
-    n = shortest(series, key)
-    return max(n // 10, 2) if window > n // 2 else window
+_SCALE = 1_000_000_000  # places of a full window on the time axis of ``own_frame``
+
+
+def own_frame(key: Sequence[str], center: bool) -> tuple[Column, WindowSpec]:
+    """Time axis and frame for a window of ``_w`` rows that differs by key.
+
+    The axis numbers the rows (``_i``) in units of a key's own window, so one range frame holds exactly
+    ``_w`` rows of every key: whole windows apart are whole units apart, and rounding moves a row by
+    less than one of the billion places.
+    """
+    axis = F.expr(f"_i * {_SCALE}L div _w")
+    low, high = (-(_SCALE // 2 + 1), _SCALE // 2 - 2) if center else (-(_SCALE - 1), 0)
+    return axis, Window.partitionBy(*cols(key)).orderBy("_x").rangeBetween(low, high)
+
+
+def with_own_window(series: DataFrame, key: Sequence[str], window: int, ts: str = TS) -> DataFrame:
+    """Add ``_i`` and ``_w``: a window over half of a series shrinks to a tenth of it, two at least."""
+    n = F.count(F.lit(1)).over(whole(key))
+    numbered = series.withColumns({"_i": F.row_number().over(by_time(key, ts)).cast("long"), "_n": n})
+    own = F.when(F.lit(window) > F.floor(F.col("_n") / 2), F.greatest(F.floor(F.col("_n") / 10), F.lit(2))).otherwise(F.lit(window))
+    return numbered.withColumn("_w", own.cast("long")).drop("_n")
 
 
 def rolling_stats(
     series: DataFrame, key: Sequence[str], window: int = 7, center: bool = False, ts: str = TS, value: str = VALUE
 ) -> DataFrame:
-    """Rolling mean, std, min and max over full windows, and the exponential mean of that span."""
-    window = fitting_window(series, key, window)
-    frame, x = frame_of(by_time(key, ts), window, center), num(value)
-    return ewm_mean(series, key, window, ts, value).select(
+    """Rolling mean, std, min and max over full windows, and the exponential mean of that span.
+
+    Each key's window depends on its own length only.
+    """
+    x = num(value)
+    axis, frame = own_frame(key, center)
+    sized = with_own_window(series, key, window, ts).withColumn("_x", axis)
+    return ewm_mean(sized, key, max(window, 2), ts, value, own="_w").select(
         *cols(key),
         col(ts).alias(TS),
         x.alias("original"),
         *[
-            rolling(x, fn, frame, window).alias(f"rolling_{n}")
+            rolling(x, fn, frame, F.col("_w")).alias(f"rolling_{n}")
             for n, fn in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))
         ],
         F.col("exp_mean"),
     )
 
 
-def ewm_mean(series: DataFrame, key: Sequence[str], span: int, ts: str = TS, value: str = VALUE) -> DataFrame:
+def ewm_mean(series: DataFrame, key: Sequence[str], span: int, ts: str = TS, value: str = VALUE, own: str | None = None) -> DataFrame:
     """Adjusted exponential mean: weights (1 - 2/(span+1))^age, normalised.
 
-    Weights below double precision are cut, so the frame has a fixed number of rows.
+    Weights below double precision are cut, so the frame has a fixed number of rows. ``own`` names a
+    column with the span of each key; ``span`` is then the largest of them.
     """
-    r = 1.0 - 2.0 / (span + 1.0)
-    depth = 1 if r <= 0 else int(math.ceil(-40.0 / math.log(r)))
+    longest = 1.0 - 2.0 / (span + 1.0)
+    depth = 1 if longest <= 0 else int(math.ceil(-40.0 / math.log(longest)))
+    r = 1.0 - 2.0 / (F.col(own) + 1.0) if own else F.lit(longest)
     frame = by_time(key, ts).rowsBetween(-depth, 0)
     # the newest value is last in the list; a running fold decays everything before it
     cell = F.collect_list(F.struct(num(value).alias("v"))).over(frame)

@@ -313,6 +313,11 @@ def _(spark, sf):
     return fc.naive_forecast(daily(spark, sf), K, "seasonal", 7, ts=T, value=V)
 
 
+@register("j25_naive_seasonal_default", DAILY + NAIVE["seasonal"], dec=FDEC)
+def _(spark, sf):
+    return fc.naive_forecast(daily(spark, sf), K, "seasonal", ts=T, value=V)
+
+
 METRICS = """avg((actual - forecast) * (actual - forecast)) AS mse, sqrt(avg((actual - forecast) * (actual - forecast))) AS rmse, avg(abs(actual - forecast)) AS mae,
  CASE WHEN count(*) FILTER (actual = 0) = 0 THEN 100 * avg(abs((actual - forecast) / actual)) END AS mape"""
 MDEC = "mse:3 rmse:5 mae:5 mape:5"

@@ -401,3 +401,58 @@ def test_short_series_keep_their_horizon(spark):
     frame = spark.createDataFrame(rows, "k string, d int, value double").selectExpr("k", "date_add(DATE'2024-01-01', d) AS ts", "value")
     got = forecast.naive_forecast(frame, ["k"], "seasonal", period=7, n_test=2).where("k = 'short'").orderBy("h").collect()
     assert [r["forecast"] for r in got] == [0.0, 1.0]
+
+
+# ---- windows and periods of each series' own ---------------------------------------------------
+
+def mixed(spark):
+    """Daily series of 60, 25, 12 and 5 steps and a monthly one."""
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 100.0 + 3 * i + 10 * (i % 7) + (i * 37 % 11)) for k, n in (("a", 60), ("b", 25), ("c", 12), ("d", 5)) for i in range(n)]
+    rows += [("m", dt.datetime(2020 + i // 12, i % 12 + 1, 1), 50.0 + i % 12 + i * 7 % 5) for i in range(40)]
+    return spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
+
+
+ALONE = {
+    "rolling": lambda s: series.rolling_stats(s, ["k"], 7),
+    "rolling_centred": lambda s: series.rolling_stats(s, ["k"], 8, center=True),
+    "seasonal": lambda s: forecast.naive_forecast(s, ["k"], "seasonal"),
+    "ets": lambda s: forecast.exponential_smoothing(s, ["k"], seasonal="add", alpha=0.3),
+    "ar": lambda s: forecast.ar_forecast(s, ["k"], n_test=3),
+    "future": lambda s: forecast.forecast_future(s, ["k"], 4, "seasonal"),
+    "future_ar": lambda s: forecast.forecast_future(s, ["k"], 4, "ar"),
+    "anomalies": lambda s: anomaly.compare_anomaly_methods(s, ["k"], threshold=1.5),
+}
+
+
+@pytest.mark.parametrize("form", ALONE)
+def test_a_series_does_not_depend_on_the_others(spark, form):
+    def plain(df):
+        return sorted([tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in df.collect()], key=str)
+
+    s = mixed(spark)
+    apart = [r for k in "abcdm" for r in plain(ALONE[form](s.where(F.col("k") == k)))]
+    assert plain(ALONE[form](s)) == sorted(apart, key=str)
+
+
+@pytest.mark.parametrize("center", [False, True])
+@pytest.mark.parametrize("window", [2, 3, 7, 10])
+def test_own_frames_are_row_frames(spark, window, center):
+    x = np.array([r["value"] for r in mixed(spark).where("k = 'a'").orderBy("ts").collect()])
+    got = [r["rolling_mean"] for r in series.rolling_stats(mixed(spark), ["k"], window, center).where("k = 'a'").orderBy("ts").collect()]
+    back, on = (window // 2, (window - 1) // 2) if center else (window - 1, 0)
+    for i, g in enumerate(got):
+        full = i >= back and i + on < len(x)
+        assert (g is None) == (not full) and (not full or abs(g - x[i - back : i + on + 1].mean()) < 1e-9)
+
+
+def test_default_periods_and_windows(spark):
+    models = {r["k"]: r["model"] for r in forecast.naive_forecast(mixed(spark), ["k"], "seasonal").select("k", "model").distinct().collect()}
+    assert models == {"a": "seasonal_7", "b": "seasonal_7", "c": "seasonal_7", "d": "seasonal_7", "m": "seasonal_12"}
+    found = anomaly.compare_anomaly_methods(mixed(spark), ["k"], ("std",)).groupBy("k").agg(F.sort_array(F.collect_set("window")).alias("w")).collect()
+    assert {r["k"]: r["w"] for r in found} == {"a": [7, 30], "b": [8], "c": [4], "d": [], "m": [7, 30]}
+
+
+def test_short_series_keep_their_rows(spark):
+    out = forecast.ar_forecast(mixed(spark).where("k in ('a', 'd')"), ["k"], n_test=3).where("k = 'd'")
+    assert out.count() == 3 and out.where("forecast IS NOT NULL").count() in (0, 3)
+    assert forecast.forecast_future(mixed(spark), ["k"], 4, "best").groupBy("k").count().where("count = 4").count() == 5
