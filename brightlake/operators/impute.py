@@ -69,16 +69,22 @@ def impute_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, smallest on ties.
+    """Most frequent value per column, smallest on ties, in one job for all columns.
 
-    Values are counted with a shuffle and the best one is picked by an aggregate, so a column with
-    very many distinct values needs no large buffer.
+    Each row gives a cell per column, which keeps its type in a field of its own. Cells are counted with a
+    shuffle and the best one is picked by an aggregate, so a column with very many distinct values needs
+    no large buffer.
     """
-    found: dict[str, object] = {}
-    for c in columns:
-        counts = df.where(~missing(df, c)).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        found[c] = counts.agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("v"))).alias("v")).first()["v"]
-    return found
+    if not columns:
+        return {}
+    fields = [f"v{i}" for i in range(len(columns))]
+    known = df.select(*[F.when(~missing(df, c), col(c)).alias(v) for c, v in zip(columns, fields)])
+    cells = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(fields) - 1))).alias("at"))
+    own = [F.when(F.col("at") == i, F.col(v)).alias(v) for i, v in enumerate(fields)]
+    counts = cells.select("at", *own).groupBy("at", *fields).agg(F.count(F.lit(1)).alias("n"))
+    best = [F.min_by(v, F.when(F.col(v).isNotNull(), F.struct(-F.col("n"), F.col(v)))).alias(v) for v in fields]
+    row = counts.agg(*best).first()
+    return {c: row[v] for c, v in zip(columns, fields)}
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
