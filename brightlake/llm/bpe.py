@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from brightlake.llm.common import slices, whole_texts
 
 MEMO_WORDS = 200_000
+LEARN_WORDS = 5_000  # words given to the library at once
 _WIDE = re.compile("[^\x00-ɏ]")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
@@ -39,11 +40,17 @@ class Splitter:
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.added = {a["content"]: a["id"] for a in self.spec["added_tokens"]}
+            spec = json.load(f)
+        self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.decoder = spec.get("decoder")
+        self.id_type = "<u2" if max([*spec["model"]["vocab"].values(), *self.added.values()]) < 1 << 16 else "<u4"
+        self.prepare(spec["model"])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.memo: dict[str, bytes] = {c: np.uint32(i).tobytes() for c, i in self.added.items()}
 
+    def prepare(self, model: dict) -> None:
+        """Take what the encoder needs of the file's model."""
+
     def chunks(self, text: str) -> list[str]:
         if "<|" in text and self.cut:
             out: list[str] = []
@@ -59,37 +66,46 @@ class Splitter:
             text = text.lower()
         return text.split()
 
-    def missing(self, words: set[str]) -> set[str]:
-        """Words without ids yet; a final point or comma after a letter is a piece of its own."""
-        if len(self.memo) > MEMO_WORDS:  # frequent words are among those at hand and stay
+    def make_room(self, words: set[str]) -> None:
+        """Cut the memo back to the words at hand: the frequent ones are among them."""
+        if len(self.memo) > MEMO_WORDS:
             recent = words.union(w[:-1] for w in words if _tail(w))
             held_on = {w: ids for w, ids in self.memo.items() if w in recent}
             self.memo = held_on | {c: np.uint32(i).tobytes() for c, i in self.added.items()}
-        memo = self.memo
-        todo = {w for w in words if w not in memo}
-        cores = {w[:-1] if _tail(w) else w for w in todo}
-        if any(map(_tail, todo)):
-            cores |= {".", ","}
-        return {w for w in cores if w not in memo}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.chunks(t) for t in texts]
         words = set().union(*cut)
-        if lost := self.missing(words):
-            self.learn(list(lost))
+        self.make_room(words)
+        todo = words.difference(self.memo)
+        tails = [w for w in todo if _tail(w)]  # a final point or comma after a letter is a piece of its own
+        new = todo.difference(tails).union((w[:-1] for w in tails), ".," if tails else "")
+        self.learn(list(new.difference(self.memo)))
         memo = self.memo
-        for w in words:
-            if w not in memo:
-                memo[w] = memo[w[:-1]] + memo[w[-1]]
+        for w in tails:
+            memo[w] = memo[w[:-1]] + memo[w[-1]]
         get = memo.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
     def learn(self, words: list[str]) -> None:
-        """Memoise the library's ids."""
+        """Memoise the library's ids: its merges alone for lower-case words, which are one piece, or all its steps."""
+        memo, tokenize, others = self.memo, self.tok.model.tokenize, []
+        for w in words:
+            if one_piece(w):
+                memo[w] = np.array([t.id for t in tokenize(w if w.isascii() else w.translate(_LETTERS))], "<u4").tobytes()
+            else:
+                others.append(w)
         fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for w, e in zip(words, fast(words, add_special_tokens=False)):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        for i in range(0, len(others), LEARN_WORDS):
+            part = others[i : i + LEARN_WORDS]
+            for w, e in zip(part, fast(part, add_special_tokens=False)):
+                memo[w] = np.array(e.ids, "<u4").tobytes()
+
+
+def one_piece(word: str) -> bool:
+    """Lower-case letters below U+0250 only: nothing to normalise and nothing to split."""
+    return word.isalpha() and not _WIDE.search(word) and word == word.lower()
 
 
 def _tail(word: str) -> bool:
@@ -99,19 +115,13 @@ def _tail(word: str) -> bool:
 class ForcedBoundaryEncoder(Splitter):
     """The same ids from forced cuts and merges of fragments."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        model = self.spec["model"]
+    def prepare(self, model: dict) -> None:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["merges"])}
         self.inside = self.pairs_inside()
-        self.byte = {c: self._byte_letters(c) for c in map(chr, range(0x250))}
         self.fragments: dict[str, bytes] = {}
 
-    def _byte_letters(self, c: str) -> str:
-        return "".join(_BYTE_LETTER[b] for b in c.encode("utf-8"))
-
     def pairs_inside(self) -> set[str]:
         """Pairs of byte letters that stand side by side in a token."""
         found = set()
@@ -151,10 +161,10 @@ class ForcedBoundaryEncoder(Splitter):
     def learn(self, words: list[str]) -> None:
         if len(self.fragments) > MEMO_WORDS:
             self.fragments = {}
-        frags, byte = self.fragments, self.byte
+        frags = self.fragments
         for w in words:
-            if w.isalpha() and not _WIDE.search(w) and w == w.lower():
-                pieces = ["".join(map(byte.__getitem__, w))]
+            if one_piece(w):
+                pieces = [w if w.isascii() else w.translate(_LETTERS)]
             else:
                 normal = self.tok.normalizer.normalize_str(w)
                 pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
@@ -205,6 +215,7 @@ def _byte_letters() -> list[str]:
 
 
 _BYTE_LETTER = _byte_letters()
+_LETTERS = {c: "".join(_BYTE_LETTER[b] for b in chr(c).encode()) for c in range(0x250)}
 _HELD: dict[tuple[str, str], Splitter] = {}
 
 
@@ -221,7 +232,7 @@ class Decoder:
 
     def __init__(self, path: str):
         enc = held(ForcedBoundaryEncoder, path)
-        assert enc.spec.get("decoder") is None, "only files without a decoder are supported"
+        assert enc.decoder is None, "only files without a decoder are supported"
         tokens = {i: t for t, i in enc.vocab.items()} | {i: t for t, i in enc.added.items()}
         self.tokens = [tokens.get(i) for i in range(max(tokens) + 1)]
 
