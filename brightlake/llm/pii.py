@@ -30,16 +30,17 @@ RATE = 0.5
 LEAST_WEIGHT = 2.0
 #: Stand-ins: blank and hyphen between two digits, point between two name characters.
 _BLANK, _HYPHEN, _POINT, _OTHER = "\x01", "\x02", "\x03", "\x04"
-_NAME = r"A-Za-z0-9._%+\x03-"
+_NAME = r"A-Za-z0-9._%+\x02\x03-"
+_DOMAIN = r"A-Za-z0-9\x02-"
 BASE = {
-    "email": rf"(?:(?<![{_NAME}])|\G)[{_NAME}]++@[A-Za-z0-9-]++\x03[A-Za-z0-9\x03-]*",
+    "email": rf"(?:(?<![{_NAME}])|\G)[{_NAME}]++@[{_DOMAIN}]++\x03[\x03{_DOMAIN}]*",
     "ip": r"(?<![0-9])[0-9]++\x03[0-9]++\x03[0-9]++\x03[0-9]+",
     "card": r"[0-9][0-9\x01\x02]+",
     "phone": r"\+[0-9][\x20().0-9\x01\x02\x03-]+[0-9]",
 }
 #: Candidate generators: kind and pattern on the prepared text.
 WIDE = {
-    "email": rf"(?:(?<![{_NAME}])|\G)[{_NAME}]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9\x03-]+",
+    "email": rf"(?:(?<![{_NAME}])|\G)[{_NAME}]++ ?[(\[](?:at|AT)[)\]] ?[\x03{_DOMAIN}]+",
     "ip": r"(?<![0-9])[0-9]{1,3}[\x02\x01][0-9]{1,3}[\x02\x01][0-9]{1,3}[\x02\x01][0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}[ \x01\x02\x03/][0-9]{4}[ \x01\x02\x03/][0-9]{4}[ \x01\x02\x03/][0-9]{2,7}(?![0-9])",
     "phone": r"(?<![0-9])\(?[0-9]{3}\)?[ \x01\x02\x03][0-9]{3}[ \x01\x02\x03-][0-9]{4}(?![0-9])",

@@ -222,6 +222,17 @@ def test_base_spans_equal_the_patterns(spark, docs, odd):
     assert pii.report(both.limit(0)).count() == 0
 
 
+def test_emails_with_hyphens_between_digits(spark):
+    more = ["john.2024-05@ex.org", "x@mail1-2.com", "x@ec2-10-0-0-1.aws.com", "x@ex.a1-2b", "1-2@3-4.5-6 1-2-@-3-4.-5", "a1-2.b@c 1-2@3.4-5@6-7.8"]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(more):
+        own = sorted((m.start(), k, m.end()) for k, kind in enumerate(BASE) for m in re.finditer(BASE[kind], text) if valid(kind, m.group()))
+        said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in own)
+        assert got[i]["n_email"] == sum(k == 0 for _, k, _ in own) > 0 and got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest(), text
+    wide = spark.createDataFrame([(0, "x1-2 (at) ec2-10-0.aws1-2.com")], "doc_id long, text string").select(pii.candidates(pii.prepared(F.col("text"))).alias("c"))
+    assert (0, 0, 29) in {(c["kind"], c["start"], c["end"]) for c in wide.first()["c"]}
+
+
 def test_boosted_candidates_add_like_spans(spark):
     rows = [(i, f"call +1 ({200 + i}) 555-{1000 + i} now, or order {1000 + i} of 2024") for i in range(60)] + [(99, "call (269) 555-3296 now, 999.1.2.3")]
     got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
