@@ -75,6 +75,27 @@ def test_variable_words_are_generalised(spark):
     assert "Posted" in got[0]["text"] and all("Posted" not in r["text"] for r in got[1:])
 
 
+def test_templates_in_a_crowded_leaf(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    common = [word() for _ in range(40)]
+    noise = [f"Posted here by {' '.join(rng.choices(common, k=9))}" for _ in range(300)]
+    fixed = [[word() for _ in range(9)] for _ in range(6)]  # five of equal numbers, one in three documents
+
+    def like(t, n):
+        return [f"Posted here by {' '.join(rng.choice(common) if i in (1, 6) else w for i, w in enumerate(fixed[t]))}" for _ in range(n)]
+
+    own = [(t, line) for t in range(6) for line in like(t, 40 if t < 5 else 3)]
+    twice = "Seen on page {} of our great site about the weather"  # two distinct lines in three documents
+    extra = [twice.format(x) for x in ("anna", "anna", "bert")]
+    rows = list(enumerate([line for _, line in own] + noise + extra))
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = collections.Counter(t for i, (t, _) in enumerate(own) if not got[i])
+    assert kept == {t: 1 for t in range(6)}
+    assert not any(got[len(own) + i] for i in range(len(noise)))
+    assert [got[len(own) + len(noise) + i] for i in range(3)] == [0, 1, 1]
+
+
 def test_line_dedup_edges(spark, odd):
     got = lines.drop_recurring(odd, least_docs=2).collect()
     assert len(got) == odd.count() and {"score", "n_words", "n_lines", "n_dropped"} <= set(got[0].asDict())
