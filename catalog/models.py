@@ -87,7 +87,7 @@ def _(spark, sf):
 
 @register("l8_optimal_k")
 def _(spark, sf):
-    return cl.optimal_k(table(spark, sf, "lineitem"), 5, "elbow", LINE[:2])
+    return cl.optimal_k(table(spark, sf, "lineitem"), method="elbow", columns=LINE[:2])
 
 
 METRICS = """WITH l AS (SELECT CAST(floor(p_size / 13) AS INT) - 1 AS g, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y FROM part),
@@ -139,7 +139,7 @@ def _(spark, sf):
 
 @register("l14_optimal_gmm")
 def _(spark, sf):
-    return cl.optimal_gmm(table(spark, sf, "customer"), 3, ["c_acctbal", "c_nationkey"])
+    return cl.optimal_gmm(table(spark, sf, "customer"), columns=["c_acctbal", "c_nationkey"])
 
 
 @register("l15_compare_clusterers")
@@ -214,7 +214,7 @@ def _(spark, sf):
 @register("m3_random_forest_regression")
 def _(spark, sf):
     data = ml.prepare_ml(table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice", ["p_partkey"])
-    return ml.regression_report(ml.random_forest_regression(data, ["p_partkey"], 20))
+    return ml.regression_report(ml.random_forest_regression(data, ["p_partkey"]))
 
 
 def cls(spark, sf):
@@ -225,17 +225,17 @@ def cls(spark, sf):
 
 @register("m4_logistic_regression")
 def _(spark, sf):
-    return ml.classification_report(ml.logistic_regression(cls(spark, sf), ["doc_id"], 100))
+    return ml.classification_report(ml.logistic_regression(cls(spark, sf), ["doc_id"]))
 
 
 @register("m5_random_forest_classification")
 def _(spark, sf):
-    return ml.classification_report(ml.random_forest_classification(cls(spark, sf), ["doc_id"], 20))
+    return ml.classification_report(ml.random_forest_classification(cls(spark, sf), ["doc_id"]))
 
 
 @register("m5_forest_feature_importance")
 def _(spark, sf):
-    return ml.forest_feature_importance(cls(spark, sf), ["doc_id"], 20)
+    return ml.forest_feature_importance(cls(spark, sf), ["doc_id"])
 
 
 PRED = "CASE WHEN o_totalprice > 250000 THEN 'F' WHEN o_orderkey % 3 = 0 THEN 'P' ELSE 'O' END"

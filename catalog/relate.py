@@ -160,7 +160,7 @@ def _(spark, sf):
 @register("f11_forest_importance")
 def _(spark, sf):
     df = table(spark, sf, "part").select("p_type", "p_brand", "p_size", "p_retailprice")
-    return op.forest_importance(df, "p_retailprice", trees=20)
+    return op.forest_importance(df, "p_retailprice")
 
 
 # ---- tests -------------------------------------------------------------------------------------

@@ -472,6 +472,12 @@ def _(spark, sf):
     return an.compare_anomaly_methods(hourly(spark, sf), K, ("iqr", "zscore", "std"), [None, 7], 2.0, T, V)
 
 
+@register("k7_compare_anomaly_methods_all")
+def _(spark, sf):
+    """All four methods with the windows of each series; the query above is bound to its SQL."""
+    return an.compare_anomaly_methods(hourly(spark, sf), K, ts=T, value=V)
+
+
 @register(
     "k8_anomaly_summary",
     f"""SELECT k, count(*) AS total_points, count(*) FILTER (is_anomaly) AS anomaly_count, 100.0 * count(*) FILTER (is_anomaly) / count(*) AS anomaly_percentage,
