@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,6 +45,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+def summed(parts: DataFrame, dtype: str) -> DataFrame:
+    """(slot, values): element-wise sums of arrays given as bytes, one per task and slot; streamed, so a slot's rows are never held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for slot, raw in zip(b.column("slot").to_pylist(), b.column("values").to_pylist()):
+                x = np.frombuffer(raw, dtype)
+                total[slot] = total[slot] + x if slot in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "values"])
+
+    return parts.select("slot", "values").repartition("slot").mapInArrow(run, "slot int, values binary")
+
+
 def range_of(column: Column, cuts: list, low: int = 0) -> Column:
     """Number of the ascending cut points that are at most the value, by a balanced tree of CASEs."""
     if not cuts:

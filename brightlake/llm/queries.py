@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightlake.llm import bpe, chat, decontaminate, html, lines, neardup, pii, repair, toxicity, winnow
+from brightlake.llm import align, bpe, chat, decontaminate, html, language, lines, neardup, pii, repair, toxicity, whiten, winnow
 from brightlake.llm.common import table
 from brightlake.session import scratch_path
 
@@ -14,11 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def vocabulary() -> str:
-    """Path of the tokenizer file."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a tokenizer file."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def query(fn):
@@ -91,3 +91,22 @@ def op10_repair(spark, sf_dir):
     path = scratch_path(spark, "token-shards")
     repair.write(table(spark, sf_dir, "documents"), vocabulary(), path)
     return repair.digests(spark, path)
+
+
+@query
+def op11_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers, of every document."""
+    return align.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op12_language(spark, sf_dir):
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    """Every embedding on the leading components, whitened."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))

@@ -31,4 +31,4 @@ def test_stages(spark):
 
 
 def test_all_numbers_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
