@@ -20,9 +20,11 @@ window. Repeated rows count repeatedly. Null doc_ids stay. An empty table gives
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,35 +35,14 @@ from brightlake.llm.common import slices, whole_texts
 from brightlake.session import stored
 
 SLICE_BYTES = 1 << 20
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 96 << 20
 FREQUENT = 1 << 20
 PAIRS_HELD = 1 << 21  # pairs that a task counts before it passes them on
 #: Splitting rule of the byte-level vocabulary: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_END = b"\xff\xff\xff\xff"
 _HELD: dict[tuple[str, str], Aligner] = {}
 
 
-def align(a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Two runs of token sizes over the same bytes: ends of the groups and links, as token numbers."""
-    groups, links = [], []
-    i, j, a_end, b_end, n, m = 0, 0, a_sizes[0], b_sizes[0], len(a_sizes), len(b_sizes)
-    while True:
-        links.append((i, j))
-        if a_end == b_end:
-            i, j = i + 1, j + 1
-            groups.append((i, j))
-            if i == n or j == m:
-                return groups, links
-            a_end, b_end = a_end + a_sizes[i], b_end + b_sizes[j]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_sizes[i]
-        else:
-            j += 1
-            b_end += b_sizes[j]
-
-
 class Aligner:
     """Both tokenizers and the memo of windows of one worker."""
 
@@ -82,8 +63,11 @@ class Aligner:
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.vocab_size())]
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        self.size_lists = [s.tolist() for s in self.sizes]
+        self.names = [list(map(str, range(len(t)))) for t in (self.a_bytes, self.b_bytes)]
         self.marked = [np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes)]
         self.n_b = len(self.b_bytes)
+        self.width = 2 if max(len(self.a_bytes), self.n_b) < 0xFFFF else 4  # bytes of an id in a window
         assert len(self.a_bytes) * self.n_b <= 1 << 32, "a pair of ids must fit in 32 bits"
         self.forget()
 
@@ -103,31 +87,43 @@ class Aligner:
             return [], []
         return a, b
 
-    def learn(self, windows: list[bytes]) -> None:
-        """Align windows that the memo lacks: text of the groups, their number and the pairs of the links."""
-        n_groups, n_links, keys = [], [], []
-        a_size, b_size = (s.tolist() for s in self.sizes)
-        for w in windows:
-            ids = np.frombuffer(w, "<u4")
-            cut = int(np.flatnonzero(ids == 0xFFFFFFFF)[0]) if len(ids) > 16 else w.index(_END) // 4
-            a, b = ids[:cut].tolist(), ids[cut + 1 :].tolist()
-            groups, links = align([a_size[i] for i in a], [b_size[i] for i in b])
-            out, i, j = [], 0, 0
-            for p, q in groups:
-                out.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-                i, j = p, q
-            self.texts.append(";".join(out))
-            n_groups.append(len(groups))
-            n_links.append(len(links))
-            keys += [a[i] * self.n_b + b[j] for i, j in links]
-            self.held += 2 * len(w) + len(self.texts[-1]) + 8 * len(links) + 250
-        self.start = np.concatenate([self.start, len(self.keys) + np.cumsum([0, *n_links[:-1]])]) if n_links else self.start
-        self.n_groups, self.n_links = np.concatenate([self.n_groups, n_groups]), np.concatenate([self.n_links, n_links])
-        self.n_groups, self.n_links, self.start = (x.astype(np.int64) for x in (self.n_groups, self.n_links, self.start))
-        self.keys = np.concatenate([self.keys, np.array(keys, np.int64)])
-
-    def windows(self, a: np.ndarray, b: np.ndarray, lasts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Windows of a run of documents and the number of A tokens before each one's end; ``lasts``: A tokens up to the end of each document."""
+    def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
+        """Two runs of ids over the same bytes: text of the groups, their number, and the pairs of the links."""
+        (a_size, b_size), (a_name, b_name), n_b = self.size_lists, self.names, self.n_b
+        i, j, p, q = a[0], b[0], 1, 1
+        gap = a_size[i] - b_size[j]  # of the ends of the two tokens at hand
+        pairs, left, right, groups, n = [i * n_b + j], a_name[i], b_name[j], [], len(a)
+        while True:
+            if gap == 0:
+                groups.append(f"{left}|{right}")
+                if p == n:
+                    return ";".join(groups), len(groups), pairs
+                i, j, p, q = a[p], b[q], p + 1, q + 1
+                gap, left, right = a_size[i] - b_size[j], a_name[i], b_name[j]
+            elif gap < 0:
+                i, p = a[p], p + 1
+                gap += a_size[i]
+                left += "," + a_name[i]
+            else:
+                j, q = b[q], q + 1
+                gap -= b_size[j]
+                right += "," + b_name[j]
+            pairs.append(i * n_b + j)
+
+    def learn(self, windows: list[tuple[list[int], list[int]]]) -> None:
+        """Align windows that the memo lacks."""
+        if not windows:
+            return
+        texts, n_groups, pairs = zip(*(self.align(a, b) for a, b in windows))
+        n_links = np.fromiter(map(len, pairs), np.int64, len(pairs))
+        self.held += sum(map(len, texts)) + (8 + 2 * self.width) * int(n_links.sum()) + 250 * len(texts)
+        self.start = np.concatenate([self.start, len(self.keys) + np.cumsum(n_links) - n_links])
+        self.n_groups, self.n_links = np.concatenate([self.n_groups, np.array(n_groups, np.int64)]), np.concatenate([self.n_links, n_links])
+        self.keys = np.concatenate([self.keys, np.fromiter(chain.from_iterable(pairs), np.int64, int(n_links.sum()))])
+        self.texts += texts
+
+    def cuts(self, a: np.ndarray, b: np.ndarray, lasts: np.ndarray) -> tuple[list[int], list[int]]:
+        """Ends of the windows of a run of documents, as numbers of A and of B tokens; ``lasts``: A tokens up to the end of each document."""
         a_end, b_end = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         at = np.searchsorted(b_end, a_end)
         shared = b_end[np.minimum(at, len(b) - 1)] == a_end
@@ -137,10 +133,7 @@ class Aligner:
         anchor = np.ones(len(cut), bool)  # before space-marked tokens of both, and at the end of all
         anchor[inner] = self.marked[0][a[cut[inner]]] & self.marked[1][b[other[inner]]]
         anchor |= np.isin(cut, lasts)
-        cut, other = cut[anchor], other[anchor]
-        a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        x, y = (4 * cut).tolist(), (4 * other).tolist()
-        return [a_raw[i:j] + _END + b_raw[k:m] for i, j, k, m in zip([0, *x], x, [0, *y], y)], cut
+        return cut[anchor].tolist(), other[anchor].tolist()
 
     def run(self, texts: list[str | None]) -> dict[str, list]:
         """Counts, digest and distinct pairs of every text."""
@@ -151,24 +144,30 @@ class Aligner:
         out = {"n_a": n_a, "n_b": n_b, "n_groups": [0] * len(texts), "n_links": [0] * len(texts), "groups_sha256": [""] * len(texts), "pairs": [b""] * len(texts), "counts": [b""] * len(texts)}
         if not any(n_a):
             return out
-        a, b = (np.fromiter((i for f in found for i in f[k]), np.int64, sum(n)) for k, n in ((0, n_a), (1, n_b)))
+        ids = [list(chain.from_iterable(f[k] for f in found)) for k in (0, 1)]
+        a, b = (np.fromiter(x, np.int64, len(x)) for x in ids)
         full = [i for i, n in enumerate(n_a) if n]
         lasts = np.cumsum([n_a[i] for i in full])
-        cut, ends = self.windows(a, b, lasts)
-        new = set(cut).difference(self.memo)
-        self.memo.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
-        self.learn(list(new))
-        num = np.fromiter(map(self.memo.__getitem__, cut), np.int64, len(cut))
-        last = np.searchsorted(ends, lasts) + 1  # windows up to the end of each document
+        x, y = self.cuts(a, b, lasts)
+        (a_raw, b_raw), w, end = (v.astype(f"<u{self.width}").tobytes() for v in (a, b)), self.width, b"\xff" * self.width
+        keys = [a_raw[w * i : w * j] + end + b_raw[w * k : w * m] for i, j, k, m in zip([0, *x], x, [0, *y], y)]
+        memo, new = self.memo, []
+        for at, key in enumerate(keys):
+            if key not in memo:
+                memo[key] = len(memo)
+                new.append((ids[0][x[at - 1] if at else 0 : x[at]], ids[1][y[at - 1] if at else 0 : y[at]]))
+        self.learn(new)
+        num = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))
+        last = np.searchsorted(np.array(x), lasts) + 1  # windows up to the end of each document
         links, groups = np.cumsum(self.n_links[num]), np.cumsum(self.n_groups[num])
         flat = np.arange(links[-1]) + np.repeat(self.start[num] - links + self.n_links[num], self.n_links[num])
-        keys = self.keys[flat]
+        linked = self.keys[flat]
         before = (0, 0, 0)
         text = self.texts.__getitem__
         numbers = num.tolist()
         for i, w in zip(full, last.tolist()):
             upto = (w, int(links[w - 1]), int(groups[w - 1]))
-            pairs, counts = np.unique(keys[before[1] : upto[1]], return_counts=True)
+            pairs, counts = np.unique(linked[before[1] : upto[1]], return_counts=True)
             out["n_links"][i], out["n_groups"][i] = upto[1] - before[1], upto[2] - before[2]
             out["groups_sha256"][i] = sha256(";".join(map(text, numbers[before[0] : w])).encode()).hexdigest()
             out["pairs"][i], out["counts"][i] = pairs.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
@@ -193,7 +192,11 @@ def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         arrow, aligner = to_arrow_schema(schema), held(a_path, b_path)
         for b in slices(batches, limit=SLICE_BYTES):
-            out = aligner.run(b.column("text").to_pylist())
+            gc.disable()  # the lists of a slice hold no cycles, and there are very many of them
+            try:
+                out = aligner.run(b.column("text").to_pylist())
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *[pa.array(out[n], arrow.field(n).type) for n, _ in fields]], schema=arrow)
 
     rows = whole_texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
