@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from brightlake.functions.columns import col, count_if, num, percent
 from brightlake.functions.fixed import MAD_SCALE
-from brightlake.operators.series import TS, VALUE, by_time, cols, frame_of, own_frame, rolling, whole
+from brightlake.operators.series import TS, VALUE, by_time, cols, frame_of, own_frame, rolling
+from brightlake.plans import halo
 from brightlake.plans.running import quantiles
 
 
@@ -44,27 +45,38 @@ def own_window(n: Column) -> Column:
     return F.when(n >= 30, 7).when(n >= 10, third).cast("int")
 
 
-def _framed(known: DataFrame, key: Sequence[str], window: int | str) -> tuple[DataFrame, WindowSpec, Column]:
-    """Rows, centred frame and rows of a full frame."""
+def _frame(key: Sequence[str], window: int | str) -> tuple[Column | None, WindowSpec, Column]:
+    """Axis column if the window is each series' own, centred frame and rows of a full frame."""
     if window != OWN:
-        return known, frame_of(by_time(key), window, center=True), F.lit(window)
+        return None, frame_of(by_time(key), window, center=True), F.lit(window)
     axis, frame = own_frame(key, center=True)
-    numbered = known.withColumns(
-        {"_i": F.row_number().over(by_time(key)).cast("long"), "_w": own_window(F.count(F.lit(1)).over(whole(key)))}
-    )
-    return numbered.withColumn("_x", axis), frame, F.col("_w")
+    return axis, frame, F.col("_w")
+
+
+def _rolled(rows: DataFrame, key: Sequence[str], window: int | str, steps: Sequence[Callable], long: bool) -> DataFrame:
+    """Add columns by centred windows; a step sees those of the steps before it in its own window."""
+    if window == OWN:
+        rows = halo.numbered(rows, key, TS, long).withColumn("_w", own_window(F.col(halo.LENGTH))).withColumn("_i", F.col(halo.NUMBER) + 1)
+    half = ((9 if window == OWN else window) // 2 + 1) * len(steps)
+
+    def add(rows: DataFrame, k: list[str]) -> DataFrame:
+        axis, frame, size = _frame(k, window)
+        rows = rows if axis is None else rows.withColumn("_x", axis)
+        for step in steps:
+            rows = rows.withColumns(step(frame, size))
+        return rows
+
+    return halo.windowed(rows, key, TS, half, half, add, long)
 
 
 def _centred(known: DataFrame, key: Sequence[str], window: int | str | None) -> DataFrame:
     """Add ``mean`` and ``std`` of the series or of the window around each row."""
-    x = F.col(VALUE)
-    mean, std = F.avg(x).over(whole(key)), F.stddev(x).over(whole(key))
+    x, long = F.col(VALUE), halo.is_long(known, key)
+    whole = halo.with_whole(known, key, {"mean": F.avg(x), "std": F.stddev(x)}, long)
     if window is None:
-        return known.withColumns({"mean": mean, "std": std})
-    rows, frame, size = _framed(known, key, window)
-    return rows.withColumns(
-        {"mean": F.coalesce(rolling(x, F.avg, frame, size), mean), "std": F.coalesce(rolling(x, F.stddev, frame, size), std)}
-    )
+        return whole
+    fns = {"mean": F.avg, "std": F.stddev}
+    return _rolled(whole, key, window, [lambda frame, size: {n: F.coalesce(rolling(x, fn, frame, size), F.col(n)) for n, fn in fns.items()}], long)
 
 
 def anomaly_zscore(
@@ -112,11 +124,13 @@ def anomaly_mad(
     if window is None:
         scored = full.withColumns({"median": F.col("_med"), "mad": F.col("_mad")})
     else:
-        rows, frame, size = _framed(full, key, window)
         median_of = lambda c: F.percentile(c, 0.5)
-        scored = rows.withColumn("median", F.coalesce(rolling(F.col(VALUE), median_of, frame, size), F.col("_med")))
-        scored = scored.withColumn("_near", F.abs(F.col(VALUE) - F.col("median")))
-        scored = scored.withColumn("mad", F.coalesce(rolling(F.col("_near"), median_of, frame, size), F.col("_mad")))
+        steps = [
+            lambda frame, size: {"median": F.coalesce(rolling(F.col(VALUE), median_of, frame, size), F.col("_med"))},
+            lambda frame, size: {"_near": F.abs(F.col(VALUE) - F.col("median"))},
+            lambda frame, size: {"mad": F.coalesce(rolling(F.col("_near"), median_of, frame, size), F.col("_mad"))},
+        ]
+        scored = _rolled(full, key, window, steps, halo.is_long(known, key))
     reach = threshold * MAD_SCALE * F.col("mad")
     bounded = scored.withColumns({"lower_bound": F.col("median") - reach, "upper_bound": F.col("median") + reach})
     return _flag(bounded, [*cols(key), TS, VALUE, "median", "mad"])

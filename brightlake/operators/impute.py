@@ -18,6 +18,7 @@ from brightlake.functions.columns import (
     sample_skew,
     string_columns,
 )
+from brightlake.plans import halo
 from brightlake.plans.running import quantile_row
 
 
@@ -149,40 +150,53 @@ def impute_by_column(df: DataFrame, plan: Mapping[str, str]) -> DataFrame:
 
 
 # ---- ordered fills, per series -----------------------------------------------------------------
-# ``df`` holds one row per (key, time step): series.prepare_series collapses raw rows first, so the
-# window of one series spans its time steps, not its raw rows.
+# ``df`` holds one row per (key, time step): series.prepare_series collapses raw rows first. A long
+# series is cut into ranges, and each range hands its last known value on.
 
 def _series_window(key: Sequence[str], ts: str):
     return Window.partitionBy(*[col(k) for k in key]).orderBy(col(ts))
 
 
+def _nearest(df: DataFrame, key: Sequence[str], ts: str, known: Mapping[str, Column], forward: bool, long: bool) -> DataFrame:
+    """Add per entry the last known value up to each row, or the first one from it on."""
+    if long:
+        return halo.carried(df, key, ts, {n: (c, "last") for n, c in known.items()}, forward)
+    if forward:
+        w = _series_window(key, ts).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.last(c, True).over(w) for n, c in known.items()})
+    w = _series_window(key, ts).rowsBetween(0, Window.unboundedFollowing)
+    return df.withColumns({n: F.first(c, True).over(w) for n, c in known.items()})
+
+
+def _filled(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str], forward: bool) -> DataFrame:
+    df, names = nan_to_null(df), [f"_near{i}" for i in range(len(columns))]
+    found = _nearest(df, key, ts, {n: col(c) for n, c in zip(names, columns)}, forward, halo.is_long(df, key))
+    near = dict(zip(columns, names))
+    return found.select(*[(col(near[c]) if c in near else col(c)).alias(c) for c in df.columns])
+
+
 def ffill(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
     """Carry the last known value forward in time."""
-    df = nan_to_null(df)
-    w = _series_window(key, ts).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(col(c), True).over(w) for c in columns})
+    return _filled(df, key, ts, columns, True)
 
 
 def bfill(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
     """Carry the next known value backward in time."""
-    df = nan_to_null(df)
-    w = _series_window(key, ts).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.first(col(c), True).over(w) for c in columns})
+    return _filled(df, key, ts, columns, False)
 
 
 def interpolate_time(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str]) -> DataFrame:
     """Linear in time between the neighbours; after the last value it is carried forward, before
     the first one the gap stays."""
     df = nan_to_null(df)
-    w = _series_window(key, ts)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    long = halo.is_long(df, key)
     at = F.unix_micros(col(ts).cast("timestamp")).cast("double")
-    new = {}
-    for c in columns:
+    back, ahead, new = {}, {}, {}
+    for i, c in enumerate(columns):
         v = num(c)
-        known = F.when(v.isNotNull(), at)
-        v0, t0 = F.last(v, True).over(back), F.last(known, True).over(back)
-        v1, t1 = F.first(v, True).over(ahead), F.first(known, True).over(ahead)
+        back |= {f"_v0{i}": v, f"_t0{i}": F.when(v.isNotNull(), at)}
+        ahead |= {f"_v1{i}": v, f"_t1{i}": F.when(v.isNotNull(), at)}
+        v0, t0, v1, t1 = (F.col(f"_{n}{i}") for n in ("v0", "t0", "v1", "t1"))
         new[c] = F.coalesce(v, F.when(v1.isNull(), v0), v0 + (v1 - v0) * F.try_divide(at - t0, t1 - t0))
-    return df.withColumns(new)
+    found = _nearest(_nearest(df, key, ts, back, True, long), key, ts, ahead, False, long)
+    return found.select(*[(new[c] if c in new else col(c)).alias(c) for c in df.columns])

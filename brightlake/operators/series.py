@@ -1,7 +1,8 @@
 """Time series, many at once: long frames (key..., ts, value) with one row per key and time step.
 
 ``prepare_series`` collapses raw rows to a time grain with a partial aggregate, so one hot series is
-cut down before any window: every window below spans the time steps of one key, never raw rows.
+cut down before any window: every window below spans the time steps of one key, never raw rows, and a
+long series is cut into ranges that are lent their border rows (``plans/halo.py``).
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from brightlake.functions import fixed
 from brightlake.functions.columns import col, datetime_columns, num, ratio
 from brightlake.operators import impute
 from brightlake.operators.clean import date_of_text, detect_date_columns
-from brightlake.session import materialize
+from brightlake.plans import halo
+from brightlake.session import materialize, small_side
 
 TS, VALUE = "ts", "value"
 
@@ -98,7 +100,8 @@ def resample(series: DataFrame, key: Sequence[str], freq: str, agg: str = "mean"
 def detect_frequency(series: DataFrame, key: Sequence[str], ts: str = TS) -> DataFrame:
     """(key..., gap_seconds, frequency): letter of the most common gap, smallest gap on ties."""
     seconds = F.unix_seconds(col(ts).cast("timestamp"))
-    gaps = series.select(*cols(key), (seconds - F.lag(seconds).over(by_time(key, ts))).alias("_g")).where("_g IS NOT NULL")
+    gap = lambda rows, k: rows.withColumn("_g", seconds - F.lag(seconds).over(by_time(k, ts)))
+    gaps = halo.windowed(series.select(*cols(key), col(ts)), key, ts, 1, 0, gap, halo.is_long(series, key)).where("_g IS NOT NULL")
     counts = gaps.groupBy(*cols(key), "_g").agg(F.count(F.lit(1)).alias("_n"))
     best = counts.groupBy(*cols(key)).agg(F.min_by("_g", F.struct(-F.col("_n"), F.col("_g"))).alias("gap_seconds"))
     days = F.floor(F.col("gap_seconds") / F.lit(86400))
@@ -147,22 +150,21 @@ def decompose(
     series: DataFrame, key: Sequence[str], period: int, model: str = "additive", ts: str = TS, value: str = VALUE
 ) -> DataFrame:
     """Observed, trend (centred moving average), seasonal (mean by phase) and residual."""
-    w = by_time(key, ts)
     half = period // 2
     x = num(value)
-    frame = w.rowsBetween(-half, half)
-    if period % 2:
-        trend = F.when(F.count(x).over(frame) == period, F.avg(x).over(frame))
-    else:
+    long = halo.is_long(series, key)
+    rows = halo.numbered(series.select(*cols(key), col(ts).alias(TS), x.alias("observed")), key, TS, long)
+
+    def smooth(rows: DataFrame, k: list[str]) -> DataFrame:
+        x, w = F.col("observed"), by_time(k)
+        frame = w.rowsBetween(-half, half)
+        if period % 2:
+            return rows.withColumn("trend", F.when(F.count(x).over(frame) == period, F.avg(x).over(frame)))
         ends = (F.lag(x, half).over(w) + F.lead(x, half).over(w)) / 2
-        trend = F.when(F.count(x).over(frame) == period + 1, (F.sum(x).over(frame) - ends) / period)
-    base = series.select(
-        *cols(key),
-        col(ts).alias(TS),
-        x.alias("observed"),
-        trend.alias("trend"),
-        ((F.row_number().over(w) - 1) % period).alias("_phase"),
-    )
+        return rows.withColumn("trend", F.when(F.count(x).over(frame) == period + 1, (F.sum(x).over(frame) - ends) / period))
+
+    base = halo.windowed(rows, key, TS, half, half, smooth, long)
+    base = base.select(*cols(key), TS, "observed", "trend", (F.col(halo.NUMBER) % period).alias("_phase"))
     additive = model != "multiplicative"
     off = F.col("observed") - F.col("trend") if additive else F.try_divide(F.col("observed"), F.col("trend"))
     phases = base.groupBy(*cols(key), "_phase").agg(F.avg(off).alias("_m"))
@@ -204,12 +206,11 @@ def own_frame(key: Sequence[str], center: bool) -> tuple[Column, WindowSpec]:
     return axis, Window.partitionBy(*cols(key)).orderBy("_x").rangeBetween(low, high)
 
 
-def with_own_window(series: DataFrame, key: Sequence[str], window: int, ts: str = TS) -> DataFrame:
-    """Add ``_i`` and ``_w``: a window over half of a series shrinks to a tenth of it, two at least."""
-    n = F.count(F.lit(1)).over(whole(key))
-    numbered = series.withColumns({"_i": F.row_number().over(by_time(key, ts)).cast("long"), "_n": n})
-    own = F.when(F.lit(window) > F.floor(F.col("_n") / 2), F.greatest(F.floor(F.col("_n") / 10), F.lit(2))).otherwise(F.lit(window))
-    return numbered.withColumn("_w", own.cast("long")).drop("_n")
+def own_length(window: int) -> Column:
+    """A window over half of a series shrinks to a tenth of it, two at least."""
+    n = F.col(halo.LENGTH)
+    own = F.when(F.lit(window) > F.floor(n / 2), F.greatest(F.floor(n / 10), F.lit(2))).otherwise(F.lit(window))
+    return own.cast("long")
 
 
 def rolling_stats(
@@ -219,31 +220,41 @@ def rolling_stats(
 
     Each key's window depends on its own length only.
     """
-    x = num(value)
-    axis, frame = own_frame(key, center)
-    sized = with_own_window(series, key, window, ts).withColumn("_x", axis)
-    return ewm_mean(sized, key, max(window, 2), ts, value, own="_w").select(
-        *cols(key),
-        col(ts).alias(TS),
-        x.alias("original"),
-        *[
-            rolling(x, fn, frame, F.col("_w")).alias(f"rolling_{n}")
-            for n, fn in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))
-        ],
-        F.col("exp_mean"),
-    )
+    long = halo.is_long(series, key)
+    known = series.select(*cols(key), col(ts).alias(TS), num(value).alias("original"))
+    rows = halo.numbered(known, key, TS, long).withColumn("_w", own_length(window)).withColumn("_i", F.col(halo.NUMBER) + 1)
+    span = max(window, 2)
+    reach = (window // 2 + 1, window // 2) if center else (window, 0)
+
+    def stats(rows: DataFrame, k: list[str]) -> DataFrame:
+        axis, frame = own_frame(k, center)
+        x = F.col("original")
+        sized = _ewm(rows.withColumn("_x", axis), k, span, TS, "original", "_w")
+        found = {f"rolling_{n}": rolling(x, fn, frame, F.col("_w")) for n, fn in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))}
+        return sized.withColumns(found)
 
+    out = halo.windowed(rows, key, TS, max(reach[0], ewm_depth(span)), reach[1], stats, long)
+    return out.select(*cols(key), TS, "original", *[f"rolling_{n}" for n in ("mean", "std", "min", "max")], "exp_mean")
 
-def ewm_mean(series: DataFrame, key: Sequence[str], span: int, ts: str = TS, value: str = VALUE, own: str | None = None) -> DataFrame:
+
+def ewm_depth(span: int) -> int:
+    """Rows after which the weights of an exponential mean fall below double precision."""
+    rest = 1.0 - 2.0 / (span + 1.0)
+    return 1 if rest <= 0 else int(math.ceil(-40.0 / math.log(rest)))
+
+
+def ewm_mean(series: DataFrame, key: Sequence[str], span: int, ts: str = TS, value: str = VALUE) -> DataFrame:
     """Adjusted exponential mean: weights (1 - 2/(span+1))^age, normalised.
 
-    Weights below double precision are cut, so the frame has a fixed number of rows. ``own`` names a
-    column with the span of each key; ``span`` is then the largest of them.
+    Weights below double precision are cut, so the frame has a fixed number of rows.
     """
-    longest = 1.0 - 2.0 / (span + 1.0)
-    depth = 1 if longest <= 0 else int(math.ceil(-40.0 / math.log(longest)))
-    r = 1.0 - 2.0 / (F.col(own) + 1.0) if own else F.lit(longest)
-    frame = by_time(key, ts).rowsBetween(-depth, 0)
+    return halo.windowed(series, key, ts, ewm_depth(span), 0, lambda rows, k: _ewm(rows, k, span, ts, value), halo.is_long(series, key))
+
+
+def _ewm(series: DataFrame, key: Sequence[str], span: int, ts: str, value: str, own: str | None = None) -> DataFrame:
+    """``own`` names a column with the span of each key; ``span`` is then the largest of them."""
+    r = 1.0 - 2.0 / (F.col(own) + 1.0) if own else F.lit(1.0 - 2.0 / (span + 1.0))
+    frame = by_time(key, ts).rowsBetween(-ewm_depth(span), 0)
     # the newest value is last in the list; a running fold decays everything before it
     cell = F.collect_list(F.struct(num(value).alias("v"))).over(frame)
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
@@ -261,17 +272,23 @@ def ewm_mean(series: DataFrame, key: Sequence[str], span: int, ts: str = TS, val
 
 # ---- transforms --------------------------------------------------------------------------------
 
+def _lagged(series: DataFrame, key: Sequence[str], by: int, ts: str, value: str) -> DataFrame:
+    """Add ``_before``, the value ``by`` rows earlier."""
+    add = lambda rows, k: rows.withColumn("_before", F.lag(num(value), by).over(by_time(k, ts)))
+    return halo.windowed(series, key, ts, by, 0, add, halo.is_long(series, key))
+
+
 def difference(series: DataFrame, key: Sequence[str], order: int = 1, ts: str = TS, value: str = VALUE) -> DataFrame:
     """x_t - x_{t-order}; the first rows fall away."""
-    x = num(value)
-    out = series.withColumn(value, x - F.lag(x, order).over(by_time(key, ts)))
+    out = _lagged(series, key, order, ts, value).withColumn(value, num(value) - F.col("_before")).drop("_before")
     return out.where(col(value).isNotNull())
 
 
 def log_transform(series: DataFrame, key: Sequence[str], value: str = VALUE) -> DataFrame:
     """log x, shifted by 1 - min where a series reaches zero or below."""
-    low = F.min(num(value)).over(whole(key))
-    return series.withColumn(value, F.log(F.when(low <= 0, num(value) - low + 1).otherwise(num(value))))
+    low = F.col("_low")
+    out = halo.with_whole(series, key, {"_low": F.min(num(value))}, halo.is_long(series, key))
+    return out.withColumn(value, F.log(F.when(low <= 0, num(value) - low + 1).otherwise(num(value)))).drop("_low")
 
 
 def log_difference(series: DataFrame, key: Sequence[str], order: int = 1, ts: str = TS, value: str = VALUE) -> DataFrame:
@@ -280,8 +297,7 @@ def log_difference(series: DataFrame, key: Sequence[str], order: int = 1, ts: st
 
 def pct_change(series: DataFrame, key: Sequence[str], periods: int = 1, ts: str = TS, value: str = VALUE) -> DataFrame:
     """x_t / x_{t-periods} - 1; the first rows fall away."""
-    x = num(value)
-    out = series.withColumn(value, F.try_divide(x, F.lag(x, periods).over(by_time(key, ts))) - 1)
+    out = _lagged(series, key, periods, ts, value).withColumn(value, F.try_divide(num(value), F.col("_before")) - 1).drop("_before")
     return out.where(col(value).isNotNull())
 
 
@@ -289,15 +305,25 @@ def pct_change(series: DataFrame, key: Sequence[str], periods: int = 1, ts: str
 
 def autocovariance(series: DataFrame, key: Sequence[str], nlags: int, ts: str = TS, value: str = VALUE) -> DataFrame:
     """(key..., n, lag, c): sum of e_t e_{t-lag} over centred values; one sort, one aggregate."""
-    known = series.where(num(value).isNotNull()).select(*cols(key), col(ts).alias(TS), num(value).alias("_x"))
-    e = known.select(*cols(key), TS, F.count(F.lit(1)).over(whole(key)).alias("n"), (F.col("_x") - F.avg("_x").over(whole(key))).alias("_e"))
+    e, long = centred(series, key, ts, value)
+
     # the last nlags + 1 values, newest first, against the newest one
-    recent = e.withColumn("_r", F.collect_list("_e").over(by_time(key, TS).rowsBetween(-nlags, 0)))
+    def recent(rows: DataFrame, k: list[str]) -> DataFrame:
+        return rows.withColumn("_r", F.collect_list("_e").over(by_time(k).rowsBetween(-nlags, 0)))
+
     products = F.transform(F.reverse("_r"), lambda x: x * F.col("_e"))
-    tall = recent.select(*cols(key), "n", F.posexplode(products).alias("lag", "_c"))
+    tall = halo.windowed(e, key, TS, nlags, 0, recent, long).select(*cols(key), "n", F.posexplode(products).alias("lag", "_c"))
     return tall.groupBy(*cols(key), "n", "lag").agg(F.sum("_c").alias("c"))
 
 
+def centred(series: DataFrame, key: Sequence[str], ts: str = TS, value: str = VALUE) -> tuple[DataFrame, bool]:
+    """(key..., ts, n, _e): known values less the mean of their series; whether a series is long."""
+    known = series.where(num(value).isNotNull()).select(*cols(key), col(ts).alias(TS), num(value).alias("_x"))
+    long = halo.is_long(known, key)
+    found = halo.with_whole(known, key, {"n": F.count(F.lit(1)), "_mean": F.avg("_x")}, long)
+    return found.select(*cols(key), TS, "n", (F.col("_x") - F.col("_mean")).alias("_e")), long
+
+
 def acf(series: DataFrame, key: Sequence[str], nlags: int = 40, ts: str = TS, value: str = VALUE) -> DataFrame:
     """(key..., lag, acf, bound) up to half the length; the bound is Bartlett's 95 % one."""
     cov = autocovariance(series, key, nlags, ts, value).where(F.col("lag") <= F.floor(F.col("n") / F.lit(2)))
@@ -356,22 +382,6 @@ def acf_peaks(series: DataFrame, key: Sequence[str], nlags: int = 100, distance:
 
 # ---- stationarity ------------------------------------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def _last_t(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series, at: pd.Series) -> pd.Series:
-    """t value of coefficient ``at`` from the sums of a least-squares problem, one row per fit."""
-    out = []
-    for a, b, c, m, i in zip(xx, xy, yy, n, at):
-        k = len(b)
-        try:
-            inv = np.linalg.inv(np.asarray(a, dtype=float).reshape(k, k))
-            beta = inv @ np.asarray(b, dtype=float)
-            rss = c - beta @ np.asarray(b, dtype=float)
-            out.append(beta[i] / math.sqrt(rss / (m - k) * inv[i, i]))
-        except (np.linalg.LinAlgError, ValueError, ZeroDivisionError, TypeError):
-            out.append(None)
-    return pd.Series(out, dtype="float64")
-
-
 def normal_sums(df: DataFrame, key: Sequence[str], target: str, features: Sequence[str]) -> DataFrame:
     """(key..., n, xx, xy, yy): sums of a least-squares problem with intercept, per key."""
     terms = [F.lit(1.0), *cols(features)]
@@ -390,22 +400,115 @@ ADF_5_PERCENT = (-2.86154, -2.8903, -4.234, -40.04)
 KPSS_5_PERCENT = 0.463
 
 
-def adf_statistic(series: DataFrame, key: Sequence[str], lags: int = 1, ts: str = TS, value: str = VALUE) -> DataFrame:
-    """(key..., n, adf_statistic, critical_value, adf_stationary): unit-root regression with a
-    constant and ``lags`` lagged differences."""
-    w, x = by_time(key, ts), num(value)
-    known = series.where(x.isNotNull())
-    d = known.select(*cols(key), col(ts).alias(TS), (x - F.lag(x).over(w)).alias("_d"), F.lag(x).over(w).alias("_y"))
-    wt = by_time(key, TS)
-    feats = d.withColumns({f"_d{i}": F.lag("_d", i).over(wt) for i in range(1, lags + 1)})
-    sums = normal_sums(feats, key, "_d", ["_y", *[f"_d{i}" for i in range(1, lags + 1)]])
+def lag_products(series: DataFrame, key: Sequence[str], most: int, own: bool, ts: str = TS, value: str = VALUE) -> DataFrame:
+    """(key..., n, products): cross products of the unit-root regression, one row per key.
+
+    Columns of the regression: constant, level before the step, the ``most`` steps before it, and the step itself.
+    With ``own`` the frame has a column ``_lags`` with the lags of each series; steps further back count as 0.
+    Every (key, range) makes one matrix product of its rows; the products of the ranges are summed.
+    """
+    known = series.where(num(value).isNotNull())
+    extra = ["_lags"] if own else []
+    rows = halo.numbered(known.select(*cols(key), col(ts).alias(TS), num(value).alias("_x"), *extra), key, TS, halo.is_long(known, key))
+    ranged = halo.in_ranges(rows, key, TS, most + 1, 0)
+    fields = ", ".join([f"`{k}` {ranged.schema[k].dataType.simpleString()}" for k in key] + ["n long, products array<double>"])
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(halo.NUMBER)
+        x, number = pdf["_x"].to_numpy(float), pdf[halo.NUMBER].to_numpy()
+        lags = int(pdf["_lags"].iloc[0]) if own else most
+        d = np.diff(x, prepend=np.nan)
+        at = np.flatnonzero(pdf[halo.OWN].to_numpy() & (number > lags))
+        terms = np.zeros((len(at), most + 3))
+        terms[:, 0], terms[:, -1] = 1, d[at]
+        terms[:, 1] = x[at - 1]
+        for i in range(1, lags + 1):
+            terms[:, 1 + i] = d[at - i]
+        out = pdf[list(key)].head(1).copy()
+        out["n"] = len(at)
+        out["products"] = [(terms.T @ terms).ravel()]
+        return out
+
+    found = ranged.groupBy(*cols([*key, halo.RANGE])).applyInPandas(product, fields)
+    cells = found.select(*cols(key), "n", F.posexplode("products").alias("_at", "_v"))
+    sums = cells.groupBy(*cols(key), "_at").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    return sums.groupBy(*cols(key)).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("_at", "_v")))["_v"].alias("products"))
+
+
+def nested_errors(products: np.ndarray) -> np.ndarray:
+    """Residual sums of squares with 0, 1, 2, ... lags: one factorisation, whose leading blocks are those of the smaller fits."""
+    scale = np.sqrt(np.maximum(np.diag(products), 1e-300))
+    lower = np.linalg.cholesky(products[:-1, :-1] / np.outer(scale[:-1], scale[:-1]))
+    z = np.linalg.solve(lower, products[:-1, -1] / scale[:-1])
+    return products[-1, -1] - np.cumsum(z * z)[1:]
+
+
+@F.pandas_udf(T.LongType())
+def _best_lag(products: pd.Series, n: pd.Series, most: pd.Series) -> pd.Series:
+    """Number of lags with the least Akaike criterion, the smaller one on ties; 0 without a fit."""
+    out = []
+    for p, m, top in zip(products, n, most):
+        size = math.isqrt(len(p))
+        p = np.asarray(p, float).reshape(size, size)
+        keep = [*range(min(int(top), size - 3) + 2), size - 1]
+        try:
+            errors = nested_errors(p[np.ix_(keep, keep)])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                aic = m * np.log(errors / m) + 2 * (np.arange(len(errors)) + 2)
+            out.append(int(np.nanargmin(aic)))
+        except (np.linalg.LinAlgError, ValueError):
+            out.append(0)
+    return pd.Series(out, dtype="int64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _level_t(products: pd.Series, n: pd.Series, lags: pd.Series) -> pd.Series:
+    """t value of the level in the regression with that many lags; null without a fit."""
+    out = []
+    for p, m, k in zip(products, n, lags):
+        size = math.isqrt(len(p))
+        p, k = np.asarray(p, float).reshape(size, size), int(k) + 2
+        try:
+            inverse = np.linalg.inv(p[:k, :k])
+            beta = inverse @ p[:k, -1]
+            error = p[-1, -1] - beta @ p[:k, -1]
+            out.append(beta[1] / math.sqrt(error / (m - k) * inverse[1, 1]))
+        except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+            out.append(None)
+    return pd.Series(out, dtype="float64")
+
+
+def adf_statistic(
+    series: DataFrame, key: Sequence[str], lags: int | None = 1, ts: str = TS, value: str = VALUE, most_lags: int | None = None
+) -> DataFrame:
+    """(key..., n, adf_statistic, critical_value, adf_stationary): unit-root regression with a constant and lagged differences.
+
+    Without ``lags`` every series takes the number with the least Akaike criterion, of fits on the same rows, up to
+    ``most_lags`` or 12 (length / 100)^(1/4) rounded up, and less than half its length; the statistic is then that of all its rows, and ``lags`` is a column.
+    """
+    if lags is None:
+        known = series.where(num(value).isNotNull())
+        n = F.col("_n").cast("double")
+        top = F.lit(most_lags) if most_lags is not None else F.ceil(12 * F.pow(n / 100, F.lit(0.25)))
+        # a short series has no fit of so many lags on enough rows
+        sizes = known.groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = small_side(sizes.select(*cols(key), F.greatest(F.least(top, F.floor(n / 2) - 2), F.lit(0)).cast("long").alias("_lags")))
+        widest = sizes.agg(F.max("_lags")).first()[0] or 0
+        first = lag_products(halo.by_key(known, sizes, key), key, widest, True, ts, value)
+        chosen = halo.by_key(first, sizes, key).select(*cols(key), _best_lag("products", "n", "_lags").alias("_lags"))
+        chosen = small_side(chosen)
+        widest = chosen.agg(F.max("_lags")).first()[0] or 0
+        sums = halo.by_key(lag_products(halo.by_key(known, chosen, key), key, widest, True, ts, value), chosen, key).withColumnRenamed("_lags", "lags")
+    else:
+        sums = lag_products(series, key, lags, False, ts, value).withColumn("lags", F.lit(lags).cast("long"))
     n = F.col("n").cast("double")
     c0, c1, c2, c3 = ADF_5_PERCENT
+    shown = ["lags"] if lags is None else []
     return (
-        sums.withColumn("adf_statistic", _last_t("xx", "xy", "yy", "n", F.lit(1)))
+        sums.where("n > 0").withColumn("adf_statistic", _level_t("products", "n", "lags"))
         .withColumn("critical_value", c0 + c1 / n + c2 / (n * n) + c3 / (n * n * n))
         .select(
-            *cols(key), "n", "adf_statistic", "critical_value",
+            *cols(key), "n", *shown, "adf_statistic", "critical_value",
             (F.col("adf_statistic") < F.col("critical_value")).alias("adf_stationary"),
         )
     )
@@ -416,12 +519,12 @@ def kpss_statistic(
 ) -> DataFrame:
     """(key..., lags, kpss_statistic, kpss_stationary): squared partial sums over the long-run
     variance with Bartlett weights; without ``lags`` the bandwidth is chosen from the data."""
-    x = num(value)
-    known = series.where(x.isNotNull())
-    e = known.select(*cols(key), col(ts).alias(TS), (x - F.avg(x).over(whole(key))).alias("_e"))
-    partial = e.select(
-        *cols(key), F.sum("_e").over(by_time(key, TS).rowsBetween(Window.unboundedPreceding, 0)).alias("_s")
-    )
+    known = series.where(num(value).isNotNull())
+    e, long = centred(series, key, ts, value)
+    if long:
+        partial = halo.carried(e, key, TS, {"_s": (F.col("_e"), "sum")})
+    else:
+        partial = e.withColumn("_s", F.sum("_e").over(by_time(key).rowsBetween(Window.unboundedPreceding, 0)))
     eta = partial.groupBy(*cols(key)).agg(F.sum(F.col("_s") * F.col("_s")).alias("_eta"))
     n = F.col("n").cast("double")
     if lags is None:
@@ -454,7 +557,7 @@ def kpss_statistic(
     )
 
 
-def stationarity_verdict(series: DataFrame, key: Sequence[str], adf_lags: int = 1, ts: str = TS, value: str = VALUE) -> DataFrame:
+def stationarity_verdict(series: DataFrame, key: Sequence[str], adf_lags: int | None = 1, ts: str = TS, value: str = VALUE) -> DataFrame:
     """Both tests side by side and what they say together."""
     a, k = F.col("adf_stationary"), F.col("kpss_stationary")
     verdict = (

@@ -162,6 +162,40 @@ def _(spark, sf):
     return op.adf_statistic(hourly(spark, sf), K, 0, T, V)
 
 
+def adf_fit_sql(fit, rows, lags):
+    """Unit-root regression on ``rows`` (k, c1, d, y, l1, l2): its columns are made orthogonal one after the other, the level last."""
+    ctes, names = [f"{fit}0 AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM {rows})"], ["c1", *[f"l{i}" for i in range(1, lags + 1)], "y"]
+    for at, name in enumerate(names):
+        rest = [*names[at + 1 :], "d"]
+        same = [c for c in ("k", "n", *names[: at + 1])]
+        less = [f"{c} - {name} * sum({c} * {name}) OVER (PARTITION BY k) / sum({name} * {name}) OVER (PARTITION BY k) AS {c}" for c in rest]
+        keep = ", d AS d0" if name == "y" else ""
+        ctes.append(f"{fit}{at + 1} AS (SELECT {', '.join(same)}, {', '.join(less)}{keep} FROM {fit}{at})")
+    out = f"SELECT k, any_value(n) AS n, {lags} AS lags, sum(d * d) AS sse, sum(d0 * y) / sum(y * y) / sqrt(sum(d * d) / (any_value(n) - {lags + 2}) / sum(y * y)) AS t FROM {fit}{len(names)} GROUP BY k"
+    return ", ".join(ctes), out
+
+
+def adf_auto_sql(most):
+    steps = f"""x AS (SELECT k, t, v - lag(v) OVER {W} AS d, lag(v) OVER {W} AS y FROM s), f AS (SELECT k, 1.0 AS c1, d, y, lag(d, 1) OVER {W} AS l1, lag(d, 2) OVER {W} AS l2 FROM x),
+      w AS (SELECT * FROM f WHERE l{most} IS NOT NULL)"""
+    parts, fits, finals = [steps], [], []
+    for lags in range(most + 1):
+        for name, rows, out in (("a", "w", fits), ("b", f"g{lags}", finals)):
+            if name == "b":
+                parts.append(f"g{lags} AS (SELECT * FROM f WHERE {f'l{lags}' if lags else 'd'} IS NOT NULL)")
+            ctes, select = adf_fit_sql(f"{name}{lags}_", rows, lags)
+            parts.append(ctes)
+            out.append(select)
+    best = f"best AS (SELECT k, arg_min(lags, n * ln(sse / n) + 2 * (lags + 2)) AS lags FROM ({' UNION ALL '.join(fits)}) GROUP BY k)"
+    return f""", {', '.join(parts)}, {best}, z AS (SELECT k, n, CAST(lags AS BIGINT) AS lags, t AS adf_statistic, -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS critical_value
+      FROM ({' UNION ALL '.join(finals)}) JOIN best USING (k, lags)) SELECT *, adf_statistic < critical_value AS adf_stationary FROM z"""
+
+
+@register("j10_adf_lag_by_aic", HOURLY + adf_auto_sql(2), dec="adf_statistic:5 critical_value")
+def _(spark, sf):
+    return op.adf_statistic(hourly(spark, sf), K, None, T, V, most_lags=2)
+
+
 def acov_sql(lags):
     return f"""n AS (SELECT k, v - avg(v) OVER (PARTITION BY k) AS e, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY k) AS n FROM s),
      c AS (SELECT a.k, any_value(a.n) AS n, l.lag, sum(a.e * b.e) AS c FROM n a, (SELECT unnest(range({lags + 1})) AS lag) l, n b
