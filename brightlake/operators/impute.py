@@ -153,19 +153,13 @@ def impute_by_column(df: DataFrame, plan: Mapping[str, str]) -> DataFrame:
 # ``df`` holds one row per (key, time step): series.prepare_series collapses raw rows first. A long
 # series is cut into ranges, and each range hands its last known value on.
 
-def _series_window(key: Sequence[str], ts: str):
-    return Window.partitionBy(*[col(k) for k in key]).orderBy(col(ts))
-
-
 def _nearest(df: DataFrame, key: Sequence[str], ts: str, known: Mapping[str, Column], forward: bool, long: bool) -> DataFrame:
     """Add per entry the last known value up to each row, or the first one from it on."""
     if long:
         return halo.carried(df, key, ts, {n: (c, "last") for n, c in known.items()}, forward)
-    if forward:
-        w = _series_window(key, ts).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.last(c, True).over(w) for n, c in known.items()})
-    w = _series_window(key, ts).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({n: F.first(c, True).over(w) for n, c in known.items()})
+    # looking ahead is looking back in falling time: a frame up to the last row would be read anew for every row
+    w = Window.partitionBy(*[col(k) for k in key]).orderBy(col(ts) if forward else col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({n: F.last(c, True).over(w) for n, c in known.items()})
 
 
 def _filled(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str], forward: bool) -> DataFrame:
