@@ -1,8 +1,12 @@
 """Ordered running totals and exact quantiles that no single task has to sort.
 
-Small inputs (row count checked) use Spark's own window and ``percentile``. Beyond the bound the
-rows are range-partitioned on (keys, order), each partition is summed, and the partition sums give
-every row its offset: the only ordered windows left run inside one range partition.
+Running totals of few rows (counted) use a plain window. Beyond the bound the rows are range-partitioned on
+(keys, order), each partition is summed, and the partition sums give every row its offset: the only
+ordered windows left run inside one range partition.
+
+Quantiles are found by selection in two scans: a sketch brackets every wanted rank, then the values inside
+the brackets are counted one by one and those between brackets all together. Only the counts inside the
+brackets, a few thousandths of the rows, are put in order.
 """
 
 from __future__ import annotations
@@ -11,8 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from brightlake.functions.columns import col, num, stack_rows, unpivot
-from brightlake.session import materialize
+from brightlake.functions.columns import col, num, unpivot
+from brightlake.session import materialize, small_side
 
 SMALL_ROWS = 2_000_000
 
@@ -80,6 +84,11 @@ def value_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), a
     return tall.groupBy(*[col(k) for k in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+ACCURACY = 2000
+#: Half the width of a bracket, in shares of the rows: twice the largest error of the sketch's ranks.
+MARGIN = 2.0 / ACCURACY
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -88,49 +97,64 @@ def quantiles(
     small: int = SMALL_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: (by..., column, q0, q1, ...) in the order of probs."""
-    rows = df.count()
-    by = list(by)
-    names = [f"q{i}" for i in range(len(probs))]
-    if rows <= small:
-        source = df
-        for key in by:
-            source = source.where(col(key).isNotNull())
-        wide = source.groupBy(*[col(k) for k in by]).agg(
-            *[F.percentile(num(c), [float(p) for p in probs]).alias(f"_p{i}") for i, c in enumerate(columns)]
-        )
-        return stack_rows(
-            wide,
-            [
-                {"column": F.lit(c)} | {n: F.try_element_at(F.col(f"_p{i}"), F.lit(j + 1)) for j, n in enumerate(names)}
-                for i, c in enumerate(columns)
-            ],
-            by,
-        )
-    cells = running_totals(
-        value_cells(df, columns, by), [*by, "column"], "value", ["n"], rows=rows * len(columns), small=small
+    by, names = list(by), [f"q{i}" for i in range(len(probs))]
+    keys = [col(k) for k in by]
+    values = [f"_v{i}" for i in range(len(columns))]
+    wide = df.select(*keys, *[num(c).alias(v) for c, v in zip(columns, values)])
+    for key in by:
+        wide = wide.where(col(key).isNotNull())
+    brackets = _merged([(max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)) for p in sorted(set(map(float, probs)))])
+    marks = sorted({m for bracket in brackets for m in bracket} - {0.0, 1.0})
+    sketches = [F.percentile_approx(v, marks or [0.5], ACCURACY).alias(f"_c{i}") for i, v in enumerate(values)]
+    named = F.explode(F.array(*map(F.lit, columns))).alias("column")
+    if by:
+        groups = small_side(wide.groupBy(*keys).agg(*sketches))
+        every, wide = groups.select(*keys, named), wide.join(groups, by)
+        point = lambda i, m: F.col(f"_c{i}")[marks.index(m)]
+    else:
+        found, every = wide.agg(*sketches).first(), df.sparkSession.range(1).select(named)
+        point = lambda i, m: F.lit(found[i][marks.index(m)] if found[i] else None).cast("double")
+
+    def cell(i: int, column: str):
+        x = F.col(f"_v{i}")
+        inside, gap = F.lit(False), F.lit(0)
+        for lo, hi in brackets:
+            inside = inside | ((x >= point(i, lo) if lo > 0 else F.lit(True)) & (x <= point(i, hi) if hi < 1 else F.lit(True)))
+            gap = gap + (F.when(x > point(i, hi), 1).otherwise(0) if hi < 1 else 0)
+        return F.struct(F.lit(column).alias("column"), x.alias("at"), F.when(~inside, gap).alias("gap"))
+
+    tall = wide.select(*keys, F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("_e"))
+    tall = tall.select(*keys, "_e.*").where("at IS NOT NULL")
+    # a value inside a bracket is a cell of its own, the values of a gap are one
+    cells = tall.withColumn("value", F.when(F.col("gap").isNull(), F.col("at"))).groupBy(*keys, "column", "gap", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("at")
     )
+    cells = running_totals(materialize(cells), [*by, "column"], "at", ["n"], small=small)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
 
     def at(rank):
-        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
+        return F.max(F.when((first <= rank) & (rank <= last), F.when(F.col("gap").isNotNull(), missed.cast("double")).otherwise(F.col("value"))))
 
     picks = []
     for i, p in enumerate(probs):
         place = F.lit(float(p)) * (F.col("n_total") - 1)
-        picks += [
-            at(F.floor(place)).alias(f"_lo{i}"),
-            at(F.ceil(place)).alias(f"_hi{i}"),
-            F.max(place - F.floor(place)).alias(f"_w{i}"),
-        ]
-    found = cells.groupBy(*[col(k) for k in by], "column").agg(*picks)
-    return found.select(
-        *[col(k) for k in by],
-        "column",
-        *[
-            (F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n)
-            for i, n in enumerate(names)
-        ],
-    )
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_w{i}")]
+    # a column without values has a row of nulls
+    chosen = every.join(cells.groupBy(*keys, "column").agg(*picks), [*by, "column"], "left")
+    between = lambda i: F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+    return chosen.select(*keys, "column", *[between(i).alias(n) for i, n in enumerate(names)])
+
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Ascending brackets with those that overlap made one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in brackets:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
 def quantile_row(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brightlake.operators import density, neighbors
 from brightlake.operators.inference import uniformity_ks
 from brightlake.operators.relate import correlation
+from brightlake.plans import running
 from brightlake.plans.nearest import k_nearest
 from brightlake.plans.running import quantiles, running_totals
 from brightlake.plans.sampling import lowest_by_hash
@@ -46,6 +47,33 @@ def test_quantiles_large_equals_small(spark, by):
     assert rows(quantiles(df, cols, probs, by)) == rows(quantiles(df, cols, probs, by, small=0))
 
 
+@pytest.mark.parametrize("accuracy", [2000, 20])
+def test_quantiles_equal_sorting(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(running, "ACCURACY", accuracy)
+    monkeypatch.setattr(running, "MARGIN", 2.0 / accuracy)
+    rng = random.Random(5)
+    kinds = {"smooth": lambda: rng.gauss(0, 1), "heavy": lambda: math.exp(4 * rng.gauss(0, 1)), "ties": lambda: float(rng.choice([1, 1, 1, 2, 9])), "gaps": lambda: rng.choice([None, float("nan"), rng.random()]), "none": lambda: None}
+    data = [(rng.choice("ab"), *[f() for f in kinds.values()]) for _ in range(6000)] + [("c", 1.0, 2.0, 3.0, None, None)]
+    df = spark.createDataFrame(data, "g string, " + ", ".join(f"{k} double" for k in kinds)).repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.5, 0.9, 1.0]
+    for by in ([], ["g"]):
+        got = {(r["g"] if by else None, r["column"]): [r[f"q{i}"] for i in range(len(probs))] for r in quantiles(df, list(kinds), probs, by).collect()}
+        assert len(got) == (3 if by else 1) * len(kinds)
+        for (g, c), q in got.items():
+            at = 1 + list(kinds).index(c)
+            x = [r[at] for r in data if (g is None or r[0] == g) and r[at] is not None and not math.isnan(r[at])]
+            assert q == (pytest.approx(np.quantile(x, probs).tolist(), rel=1e-12, abs=1e-12) if x else [None] * len(probs))
+
+
+def test_only_brackets_are_put_in_order(spark, monkeypatch):
+    seen = []
+    totals = running.running_totals
+    monkeypatch.setattr(running, "running_totals", lambda cells, *a, **b: seen.append(cells.count()) or totals(cells, *a, **b))
+    df = spark.range(200_000).select(F.xxhash64("id").cast("double").alias("x"))
+    quantiles(df, ["x"], [0.25, 0.5, 0.75]).collect()
+    assert seen[0] <= 200_000 * 3 * 0.004
+
+
 def test_quantiles_hot_value(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 1200, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
     got = quantiles(df, ["x"], [0.1, 0.5], small=0).first()
