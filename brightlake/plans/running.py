@@ -84,7 +84,7 @@ def value_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), a
     return tall.groupBy(*[col(k) for k in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-ACCURACY = 2000
+ACCURACY = 1000
 #: Half the width of a bracket, in shares of the rows: twice the largest error of the sketch's ranks.
 MARGIN = 2.0 / ACCURACY
 
@@ -106,30 +106,29 @@ def quantiles(
     brackets = _merged([(max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)) for p in sorted(set(map(float, probs)))])
     marks = sorted({m for bracket in brackets for m in bracket} - {0.0, 1.0})
     sketches = [F.percentile_approx(v, marks or [0.5], ACCURACY).alias(f"_c{i}") for i, v in enumerate(values)]
-    named = F.explode(F.array(*map(F.lit, columns))).alias("column")
+    # a row per value: the number of its column, and the points of that column's brackets
+    tall = wide.unpivot(keys, [F.col(v) for v in values], "_name", "at").where("at IS NOT NULL")
+    tall = tall.select(*keys, F.substring("_name", 3, 9).cast("int").alias("_at"), "at")
+    named = F.posexplode(F.array(*map(F.lit, columns))).alias("_at", "column")
     if by:
         groups = small_side(wide.groupBy(*keys).agg(*sketches))
-        every, wide = groups.select(*keys, named), wide.join(groups, by)
-        point = lambda i, m: F.col(f"_c{i}")[marks.index(m)]
+        every = groups.select(*keys, named)
+        points = groups.select(*keys, F.posexplode(F.array(*[F.col(f"_c{i}") for i in range(len(columns))])).alias("_at", "_points"))
+        tall = tall.join(small_side(points), [*by, "_at"])
+        point = lambda m: F.col("_points")[marks.index(m)]
     else:
         found, every = wide.agg(*sketches).first(), df.sparkSession.range(1).select(named)
-        point = lambda i, m: F.lit(found[i][marks.index(m)] if found[i] else None).cast("double")
-
-    def cell(i: int, column: str):
-        x = F.col(f"_v{i}")
-        inside, gap = F.lit(False), F.lit(0)
-        for lo, hi in brackets:
-            inside = inside | ((x >= point(i, lo) if lo > 0 else F.lit(True)) & (x <= point(i, hi) if hi < 1 else F.lit(True)))
-            gap = gap + (F.when(x > point(i, hi), 1).otherwise(0) if hi < 1 else 0)
-        return F.struct(F.lit(column).alias("column"), x.alias("at"), F.when(~inside, gap).alias("gap"))
-
-    tall = wide.select(*keys, F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("_e"))
-    tall = tall.select(*keys, "_e.*").where("at IS NOT NULL")
+        point = lambda m: F.array(*[F.lit(x[marks.index(m)] if x else None).cast("double") for x in found])[F.col("_at")]
+    x, inside, gap = F.col("at"), F.lit(False), F.lit(0)
+    for lo, hi in brackets:
+        inside = inside | ((x >= point(lo) if lo > 0 else F.lit(True)) & (x <= point(hi) if hi < 1 else F.lit(True)))
+        gap = gap + (F.when(x > point(hi), 1).otherwise(0) if hi < 1 else 0)
     # a value inside a bracket is a cell of its own, the values of a gap are one
-    cells = tall.withColumn("value", F.when(F.col("gap").isNull(), F.col("at"))).groupBy(*keys, "column", "gap", "value").agg(
+    cells = tall.select(*keys, "_at", "at", F.when(~inside, gap).alias("gap"))
+    cells = cells.withColumn("value", F.when(F.col("gap").isNull(), F.col("at"))).groupBy(*keys, "_at", "gap", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("at")
     )
-    cells = running_totals(materialize(cells), [*by, "column"], "at", ["n"], small=small)
+    cells = running_totals(materialize(cells), [*by, "_at"], "at", ["n"], small=small)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
     missed = F.raise_error(F.lit("a quantile lies outside its bracket"))
 
@@ -141,7 +140,7 @@ def quantiles(
         place = F.lit(float(p)) * (F.col("n_total") - 1)
         picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_w{i}")]
     # a column without values has a row of nulls
-    chosen = every.join(cells.groupBy(*keys, "column").agg(*picks), [*by, "column"], "left")
+    chosen = every.join(cells.groupBy(*keys, "_at").agg(*picks), [*by, "_at"], "left")
     between = lambda i: F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
     return chosen.select(*keys, "column", *[between(i).alias(n) for i, n in enumerate(names)])
 
