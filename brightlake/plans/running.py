@@ -105,7 +105,9 @@ def quantiles(
         wide = wide.where(col(key).isNotNull())
     brackets = _merged([(max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)) for p in sorted(set(map(float, probs)))])
     marks = sorted({m for bracket in brackets for m in bracket} - {0.0, 1.0})
-    sketches = [F.percentile_approx(v, marks or [0.5], ACCURACY).alias(f"_c{i}") for i, v in enumerate(values)]
+    # of few values a bracket would be narrower than the places of two neighbours: all of them are put in order
+    enough = lambda v: F.count(v) * MARGIN >= 4
+    sketches = [F.when(enough(v), F.percentile_approx(v, marks or [0.5], ACCURACY)).alias(f"_c{i}") for i, v in enumerate(values)]
     # a row per value: the number of its column, and the points of that column's brackets
     tall = wide.unpivot(keys, [F.col(v) for v in values], "_name", "at").where("at IS NOT NULL")
     tall = tall.select(*keys, F.substring("_name", 3, 9).cast("int").alias("_at"), "at")
@@ -124,7 +126,7 @@ def quantiles(
         inside = inside | ((x >= point(lo) if lo > 0 else F.lit(True)) & (x <= point(hi) if hi < 1 else F.lit(True)))
         gap = gap + (F.when(x > point(hi), 1).otherwise(0) if hi < 1 else 0)
     # a value inside a bracket is a cell of its own, the values of a gap are one
-    cells = tall.select(*keys, "_at", "at", F.when(~inside, gap).alias("gap"))
+    cells = tall.select(*keys, "_at", "at", F.when(~F.coalesce(inside, F.lit(True)), gap).alias("gap"))
     cells = cells.withColumn("value", F.when(F.col("gap").isNull(), F.col("at"))).groupBy(*keys, "_at", "gap", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("at")
     )

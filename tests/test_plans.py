@@ -47,7 +47,15 @@ def test_quantiles_large_equals_small(spark, by):
     assert rows(quantiles(df, cols, probs, by)) == rows(quantiles(df, cols, probs, by, small=0))
 
 
-@pytest.mark.parametrize("accuracy", [2000, 20])
+def test_quantiles_of_few_rows(spark):
+    data = [(n, float(i * i % 37)) for n in range(1, 60) for i in range(n)]
+    df = spark.createDataFrame(data, "g int, x double")
+    probs = [0.01, 0.25, 0.37, 0.5, 0.75, 0.99]
+    for r in quantiles(df, ["x"], probs, ["g"]).collect():
+        assert [r[f"q{i}"] for i in range(len(probs))] == pytest.approx(np.quantile([x for g, x in data if g == r["g"]], probs).tolist())
+
+
+@pytest.mark.parametrize("accuracy", [2000, 50])
 def test_quantiles_equal_sorting(spark, monkeypatch, accuracy):
     monkeypatch.setattr(running, "ACCURACY", accuracy)
     monkeypatch.setattr(running, "MARGIN", 2.0 / accuracy)
