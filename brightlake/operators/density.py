@@ -1,9 +1,13 @@
-"""DBSCAN on a grid, exact, in two or three dimensions at most.
+"""DBSCAN on a grid, exact, in any number of dimensions.
 
 The grid side is eps / sqrt(d), so two points of one cell are always neighbours. Hence a cell with
 ``min_samples`` points is dense: all its points are core and in one cluster, and none of its pairs is
 ever looked at. Only points of thin cells count their neighbours, each against the cells in reach.
 
+Up to ``OFFSET_AXES`` dimensions the cells in reach are a fixed list of offsets. Its length grows as a power of the
+dimensions, so beyond that they are looked up among the occupied cells: these form a tree by halving, and pairs of
+tree nodes whose bounding boxes lie within eps are followed down, from one node at the top to pairs of cells.
+
 Clusters are components of the graph of core cells. Whether two near cells are connected is decided on
 bounding boxes of ever finer sub-cells: boxes close enough prove the link, boxes too far apart disprove
 it, and only the undecided ones are split again, at last down to single points. So two crowded cells
@@ -23,7 +27,7 @@ from brightlake.operators.reduce import scaled_columns
 from brightlake.plans.running import running_totals
 from brightlake.session import materialize
 
-MAX_AXES = 3
+OFFSET_AXES = 3
 LABEL = "cluster"
 SPLIT = 8
 LEVELS = 5
@@ -46,20 +50,61 @@ def _offsets(d: int) -> Column:
     return F.array(*[F.array(*[F.lit(x).cast("long") for x in o]) for o in keep])
 
 
-def _shifted(df: DataFrame, d: int, names: Sequence[str], out: Sequence[str]) -> DataFrame:
-    """One row per neighbouring cell, its key in ``out``."""
+def _box_gap(lo: Sequence[Column], hi: Sequence[Column], olo: Sequence[Column], ohi: Sequence[Column]) -> Column:
+    """Square of the least distance between points of two boxes."""
+    zero = [F.lit(0.0)] * len(lo)
+    return _square([F.greatest(F.lit(0.0), ol - h, l - oh) for l, h, ol, oh in zip(lo, hi, olo, ohi)], zero)
+
+
+def near_cells(points: DataFrame, axes: Sequence[str], cell: Sequence[str], eps: float) -> DataFrame:
+    """(cell..., _h...): every pair of occupied cells, both ways and each with itself, whose points' boxes lie within eps.
+
+    A node of the tree is a block of 2^level cells a side. A pair of nodes is replaced by the pairs of their halves that are near
+    enough, so a level holds no more pairs than are near one another, and no cell is compared with those far away.
+    """
+    d = range(len(axes))
+    other = [f"_h{i}" for i in d]
+    ends = points.agg(*[F.min(c).alias(f"l{i}") for i, c in enumerate(cell)], *[F.max(c).alias(f"h{i}") for i, c in enumerate(cell)]).first()
+    if ends["l0"] is None:
+        return points.select(*cell, *[F.col(c).alias(o) for c, o in zip(cell, other)])
+    levels = max((ends[f"h{i}"] - ends[f"l{i}"]).bit_length() for i in d)
+    # a node is named by one array, so joins have one key whatever the number of dimensions
+    boxes = points.groupBy(F.array(*[F.col(c) - F.lit(ends[f"l{i}"]) for i, c in enumerate(cell)]).alias("node"))
+    boxes = materialize(boxes.agg(*[F.min(col(x)).alias(f"lo{i}") for i, x in enumerate(axes)], *[F.max(col(x)).alias(f"hi{i}") for i, x in enumerate(axes)]))
+    top = F.array(*[F.lit(0).cast("long") for _ in d])
+    pairs = points.sparkSession.range(1).select(top.alias("a"), top.alias("b"))
+    names = [f"{e}{i}" for e in ("lo", "hi") for i in d]
+    gap = _box_gap(*[[F.col(f"{e}{i}") for i in d] for e in ("lo", "hi", "olo", "ohi")])
+    for level in range(levels - 1, -1, -1):
+        tree = boxes.groupBy(F.transform("node", lambda c: F.shiftright(c, level)).alias("node"))
+        tree = tree.agg(*[F.min(f"lo{i}").alias(f"lo{i}") for i in d], *[F.max(f"hi{i}").alias(f"hi{i}") for i in d])
+        up = F.transform("node", lambda c: F.shiftright(c, 1))
+        left = tree.select(up.alias("a"), F.col("node").alias("x"), *names)
+        right = tree.select(up.alias("b"), F.col("node").alias("y"), *[F.col(n).alias(f"o{n}") for n in names])
+        once = (F.col("a") != F.col("b")) | (F.col("x") <= F.col("y"))  # of one node with itself each pair of halves once
+        met = pairs.join(left, "a").join(right, "b").where(once & (gap <= eps * eps))
+        pairs = materialize(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    both = pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    back = lambda side, out: [(F.col(side)[i] + F.lit(ends[f"l{i}"])).alias(o) for i, o in enumerate(out)]
+    return materialize(both.select(*back("a", cell), *back("b", other)))
+
+
+def _shifted(df: DataFrame, d: int, names: Sequence[str], out: Sequence[str], near: DataFrame | None = None) -> DataFrame:
+    """One row per neighbouring cell, its key in ``out``: by the offsets, or by the table of near cells."""
+    if near is not None:
+        return df.join(near.select(*names, *[F.col(f"_h{i}").alias(o) for i, o in enumerate(out)]), list(names))
     moved = df.withColumn("_o", F.explode(_offsets(d)))
     return moved.withColumns({o: F.col(n) + F.element_at("_o", i + 1) for i, (n, o) in enumerate(zip(names, out))}).drop("_o")
 
 
-def _core_points(points: DataFrame, axes: list[str], cell: list[str], eps: float, min_samples: int, salt: int) -> DataFrame:
+def _core_points(points: DataFrame, axes: list[str], cell: list[str], eps: float, min_samples: int, salt: int, close_cells: DataFrame | None) -> DataFrame:
     """Distinct points with their weight and whether they are core."""
     d = len(axes)
     weights = points.groupBy(*cell).agg(F.sum("_n").alias("_w"))
     placed = points.join(weights, cell)
     thin = placed.where(F.col("_w") < min_samples).drop("_w")
     near = [f"_h{i}" for i in range(d)]
-    asks = _shifted(thin.select(*axes, *cell), d, cell, near).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    asks = _shifted(thin.select(*axes, *cell), d, cell, near, close_cells).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     asks = asks.select(*[col(a).alias(f"_p{a}") for a in axes], *near, "_salt")
     # the crowded side is spread over salts, the thin side (under min_samples rows a cell) is repeated
     have = points.select(*axes, "_n", *[F.col(c).alias(h) for c, h in zip(cell, near)]).withColumn(
@@ -88,7 +133,7 @@ def _boxes(core: DataFrame, axes: list[str], cell: list[str], side: float, level
     )
 
 
-def _cell_links(core: DataFrame, axes: list[str], cell: list[str], eps: float, side: float) -> DataFrame:
+def _cell_links(core: DataFrame, axes: list[str], cell: list[str], eps: float, side: float, close_cells: DataFrame | None) -> DataFrame:
     """Pairs of core cells with at least one pair of core points within eps, each way round once."""
     d = len(axes)
     other = [f"_h{i}" for i in range(d)]
@@ -105,7 +150,7 @@ def _cell_links(core: DataFrame, axes: list[str], cell: list[str], eps: float, s
         )
         ahead = F.struct(*[F.col(c) for c in cell]) < F.struct(*[F.col(o) for o in other])
         if undecided is None:
-            met = _shifted(left, d, cell, other).where(ahead).join(right, other)
+            met = _shifted(left, d, cell, other, close_cells).where(ahead).join(right, other)
         else:
             up = lambda names: [F.floor(F.col(n) / F.lit(SPLIT)).cast("long") for n in names]
             parents, oparents = [f"_pu{i}" for i in range(d)], [f"_pv{i}" for i in range(d)]
@@ -116,10 +161,7 @@ def _cell_links(core: DataFrame, axes: list[str], cell: list[str], eps: float, s
             [F.greatest(F.abs(F.col(f"ohi_{a}") - F.col(f"lo_{a}")), F.abs(F.col(f"hi_{a}") - F.col(f"olo_{a}"))) for a in axes],
             [F.lit(0.0)] * d,
         )
-        near = _square(
-            [F.greatest(F.lit(0.0), F.col(f"olo_{a}") - F.col(f"hi_{a}"), F.col(f"lo_{a}") - F.col(f"ohi_{a}")) for a in axes],
-            [F.lit(0.0)] * d,
-        )
+        near = _box_gap(*[[F.col(f"{e}_{a}") for a in axes] for e in ("lo", "hi", "olo", "ohi")])
         scored = met.withColumns({"_far": far, "_close": near}).where(F.col("_close") <= eps * eps)
         scored = materialize(scored.select(*pair, *sub, *osub, (F.col("_far") <= eps * eps).alias("_sure")))
         proven = scored.where("_sure").select(*pair).distinct()
@@ -174,15 +216,16 @@ def dbscan_points(df: DataFrame, axes: Sequence[str], eps: float = 0.5, min_samp
     """
     axes = list(axes)
     d = len(axes)
-    if not 1 <= d <= MAX_AXES:
-        raise ValueError(f"dbscan works on 1 to {MAX_AXES} columns, not {d}")
+    if not d:
+        raise ValueError("dbscan needs a column")
     side = eps / math.sqrt(d) * (1 - 1e-12)
     cell = [f"_g{i}" for i in range(d)]
     points = df.select(*[num(a).alias(a) for a in axes]).dropna().groupBy(*axes).agg(F.count(F.lit(1)).alias("_n"))
     points = materialize(points.withColumns(dict(zip(cell, _cells(axes, side)))))
-    marked = materialize(_core_points(points, axes, cell, eps, min_samples, salt))
+    close_cells = near_cells(points, axes, cell, eps) if d > OFFSET_AXES else None
+    marked = materialize(_core_points(points, axes, cell, eps, min_samples, salt, close_cells))
     core = marked.where("core").select(*axes, *cell)
-    links = _cell_links(core, axes, cell, eps, side)
+    links = _cell_links(core, axes, cell, eps, side, close_cells)
     # cells are named by their smallest core point, so the smallest name of a component orders clusters
     names = materialize(core.groupBy(*cell).agg(F.min(F.struct(*axes)).alias("id")))
     here = names.select(*cell, F.col("id").alias("a"))
@@ -195,7 +238,7 @@ def dbscan_points(df: DataFrame, axes: Sequence[str], eps: float = 0.5, min_samp
     inside = marked.where("core").join(cell_label, cell)
     loose = marked.where("NOT core")
     near = [f"_h{i}" for i in range(d)]
-    asks = _shifted(loose.select(*axes, *cell), d, cell, near).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    asks = _shifted(loose.select(*axes, *cell), d, cell, near, close_cells).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     asks = asks.select(*[col(a).alias(f"_p{a}") for a in axes], *near, "_salt")
     have = inside.select(*axes, LABEL, *[F.col(c).alias(h) for c, h in zip(cell, near)]).withColumn(
         "_salt", F.pmod(F.xxhash64(*axes), F.lit(salt)).cast("int")

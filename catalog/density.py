@@ -68,6 +68,48 @@ def _(spark, sf):
     return de.dbscan(df, EPS, MIN, ["c_acctbal", "c_nationkey"]).select("c_custkey", "cluster")
 
 
+def dbscan_sql(source, key, columns, eps, least):
+    """Brute force over all pairs of the scaled columns."""
+    scaled = ", ".join(f"({e} - avg({e}) OVER ()) / stddev_pop({e}) OVER () AS x{i}" for i, e in enumerate(columns))
+    square = " + ".join(f"pow(a.x{i} - b.x{i}, 2)" for i in range(len(columns)))
+    point = ", ".join(f"x{i} := z.x{i}" for i in range(len(columns)))
+    return f"""WITH RECURSIVE z AS (SELECT {key} AS id, {scaled} FROM {source}), p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM z a, z b WHERE {square} <= {eps * eps}),
+    core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= {least}), e AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (FROM core) AND b IN (FROM core)),
+    r(id, seen) AS (SELECT id, id FROM core UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+    comp AS (SELECT r.id, min(struct_pack({point})) AS root FROM r JOIN z ON z.id = r.seen GROUP BY 1),
+    num AS (SELECT root, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS cluster FROM (SELECT DISTINCT root FROM comp)),
+    lab AS (SELECT id, cluster FROM comp JOIN num USING (root)),
+    bord AS (SELECT p.a AS id, min(cluster) AS cluster FROM p JOIN lab ON lab.id = p.b WHERE p.a NOT IN (FROM core) GROUP BY 1)
+    SELECT z.id AS {key}, coalesce(lab.cluster, bord.cluster, -1) AS cluster FROM z LEFT JOIN lab ON lab.id = z.id LEFT JOIN bord ON bord.id = z.id"""
+
+
+FIVE = ["p_size", "p_retailprice", "p_partkey", "length(p_name)", "length(p_type)"]
+
+
+@register("l10_dbscan_five_columns", dbscan_sql("part", "p_partkey", FIVE, 0.6, 6))
+def _(spark, sf):
+    df = table(spark, sf, "part").selectExpr("p_partkey", *[f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(FIVE)])
+    return de.dbscan(df, 0.6, 6, [f"x{i}" for i in range(5)]).select("p_partkey", "cluster")
+
+
+CROWDED = ["CASE WHEN c_custkey % 2 = 0 THEN c_acctbal / 1e6 ELSE c_acctbal END", "CASE WHEN c_custkey % 2 = 0 THEN c_nationkey / 1e3 ELSE c_nationkey END"]
+
+
+@register("l10_dbscan_crowded_cell", dbscan_sql("customer", "c_custkey", CROWDED, EPS, MIN))
+def _(spark, sf):
+    df = table(spark, sf, "customer").selectExpr("c_custkey", *[f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(CROWDED)])
+    return de.dbscan(df, EPS, MIN, ["x0", "x1"]).select("c_custkey", "cluster")
+
+
+@register(
+    "l10_dbscan_five_columns_sizes",
+    f"SELECT cluster, count(*) AS size FROM ({dbscan_sql('part', 'p_partkey', FIVE, 0.6, 6)}) WHERE cluster >= 0 GROUP BY 1",
+)
+def _(spark, sf):
+    df = table(spark, sf, "part").selectExpr(*[f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(FIVE)])
+    return de.dbscan_centres(de.dbscan(df, 0.6, 6, [f"x{i}" for i in range(5)]), ["x0"]).select("cluster", "size")
+
+
 @register("l10_dbscan_centres")
 def _(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")

@@ -147,6 +147,11 @@ def _(spark, sf):
     return cl.compare_clusterers(table(spark, sf, "part"), 3, PART)
 
 
+@register("l15_compare_with_dbscan")
+def _(spark, sf):
+    return cl.compare_clusterers(table(spark, sf, "part"), 3, PART, algorithms=("kmeans", "hierarchical", "gmm", "dbscan"), eps=0.3)
+
+
 PROF = """SELECT g AS cluster, '{c}' AS "column", count(*) AS size, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
  (avg({c}) - (SELECT avg({c}) FROM l)) / (SELECT stddev_samp({c}) FROM l) AS z_score, median({c}) AS median FROM l GROUP BY g"""
 

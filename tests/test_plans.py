@@ -184,13 +184,29 @@ def brute_dbscan(p, eps, m):
     return label
 
 
-@pytest.mark.parametrize("seed,d", [(1, 2), (2, 2), (3, 3), (4, 1)])
+@pytest.mark.parametrize("seed,d", [(1, 2), (2, 2), (3, 3), (4, 1), (5, 5)])
 def test_dbscan_matches_brute_force(spark, seed, d):
     rnd = np.random.default_rng(seed)
     parts = [rnd.normal(c, 0.25, size=(70, d)) for c in (0.0, 1.3, 4.0)]
     p = np.concatenate([*parts, np.tile(rnd.normal(2.2, 0.1, size=(1, d)), (60, 1)), rnd.uniform(-2, 6, size=(40, d))]).round(3)
-    axes = ["x", "y", "z"][:d]
+    axes, eps = ["x", "y", "z", "u", "v"][:d], 0.3 if d < 4 else 0.5
     df = spark.createDataFrame([tuple(float(v) for v in r) for r in p], ", ".join(f"{a} double" for a in axes))
-    got = {tuple(r[a] for a in axes): r["cluster"] for r in density.dbscan_points(df, axes, 0.3, 6).collect()}
-    want = brute_dbscan(p, 0.3, 6)
+    got = {tuple(r[a] for a in axes): r["cluster"] for r in density.dbscan_points(df, axes, eps, 6).collect()}
+    want = brute_dbscan(p, eps, 6)
     assert [got[tuple(map(float, r))] for r in p] == want
+
+
+def test_near_cells_equal_all_pairs(spark):
+    rnd = np.random.default_rng(9)
+    p = rnd.normal(0, 2, size=(150, 4))
+    axes, cell = list("abcd"), [f"_g{i}" for i in range(4)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in p], axes).withColumns({g: F.floor(F.col(a) / 0.4).cast("long") for g, a in zip(cell, axes)})
+    got = {tuple(r) for r in density.near_cells(df, axes, cell, 0.9).collect()}
+    grid = np.floor(p / 0.4).astype(int)
+    boxes = {}
+    for g, x in zip(map(tuple, grid.tolist()), p):
+        boxes.setdefault(g, []).append(x)
+    ends = {g: (np.min(x, axis=0), np.max(x, axis=0)) for g, x in boxes.items()}
+    gap = lambda a, b: (np.maximum(0, np.maximum(a[0] - b[1], b[0] - a[1])) ** 2).sum()
+    assert got == {(*g, *h) for g in ends for h in ends if gap(ends[g], ends[h]) <= 0.81}
+    assert density.near_cells(df.limit(0), axes, cell, 0.9).collect() == []
