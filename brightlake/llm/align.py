@@ -35,7 +35,7 @@ from brightlake.llm.common import slices, whole_texts
 from brightlake.session import stored
 
 SLICE_BYTES = 1 << 20
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 192 << 20
 FREQUENT = 1 << 20
 PAIRS_HELD = 1 << 21  # pairs that a task counts before it passes them on
 #: Splitting rule of the byte-level vocabulary: a fixed value.
