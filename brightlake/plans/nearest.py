@@ -1,111 +1,298 @@
-"""Exact k nearest neighbours as a distributed block join.
+"""Exact k nearest neighbours over k-d boxes, best box first.
 
-Points are cut into strips along one axis at approximate quantiles, and strips that are still too
-large into chunks by hash. A query first meets the points of its own strip, which bounds the distance
-of its k-th neighbour; it is then sent only to the strips that bound can reach. A task compares one
-bounded block of queries with one bounded block of points in NumPy and returns k rows per query, so
-pairs are never written out, no group is unbounded, and nothing is cut off: the result is exact.
+Points are cut into boxes of about ``block`` points: in every pass each box that is still too large is
+split at the quartiles of its widest axis, and points without that coordinate go to a box of their own,
+so a box also knows which coordinates its points lack. A query first meets the closest boxes that hold
+k points, which bounds the distance of its k-th neighbour; it is then copied only to the other boxes
+within that bound. In a box the points come first in the sort order and are held, the queries stream past
+them. Points are copied only for a box that over SHARE queries visit. Pairs are never written out, and
+nothing is cut off: the result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brightlake.functions.columns import col
 from brightlake.session import materialize
 
 BLOCK = 4000
-MAX_STRIPS = 1024
-
-
-def _edges(points: DataFrame, axis: str, rows: int, block: int) -> list[float]:
-    """Cut values between strips: at most MAX_STRIPS driver values."""
-    strips = min(MAX_STRIPS, max(1, rows // block))
-    if strips == 1:
-        return [-float("inf"), float("inf")]
-    cuts = points.approxQuantile(axis, [i / strips for i in range(1, strips)], 0.2 / strips)
-    return [-float("inf"), *sorted(set(cuts)), float("inf")]
-
-
-def _strip(df: DataFrame, axis: str, edges: list[float], name: str) -> DataFrame:
-    """Strip number of a value; a missing value has strip -1."""
-    if len(edges) == 2:
-        return df.withColumn(name, F.when(col(axis).isNull(), -1).otherwise(0))
-    cut = Bucketizer(splits=edges, inputCol=axis, outputCol="_b", handleInvalid="keep").transform(df)
-    return cut.withColumn(name, F.when(col(axis).isNull(), -1).otherwise(F.col("_b").cast("int"))).drop("_b")
-
-
-def _chunks(df: DataFrame, strip: str, edges: list[float], block: int) -> list[int]:
-    """Number of chunks per strip, strip -1 first."""
-    sizes = {r[strip]: r["count"] for r in df.groupBy(strip).count().collect()}
-    return [max(1, -(-sizes.get(s, 0) // block)) for s in range(-1, len(edges) - 1)]
-
-
-def _compare(key: Sequence[str], qid: str, axes: list[str], value: str, k: int):
-    """Cogrouped blocks to the k best points of each query, missing coordinates scaled out."""
-
-    def block(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = {qid: [], "distance": [], "value": []}
-        if len(queries) and len(points):
-            points = points.sort_values(value, kind="stable")  # equal distances go to the smaller value
-            p = points[axes].to_numpy(dtype=float)
-            pv = points[value].to_numpy()
-            known_p = (~np.isnan(p)).astype(float)
-            whole = bool(known_p.all())
-            for start in range(0, len(queries), 256):
-                part = queries.iloc[start : start + 256]
-                x = part[axes].to_numpy(dtype=float)
-                known = ~np.isnan(x)
-                gap = np.zeros((len(x), len(p)))
-                for i in range(len(axes)):
-                    d = x[:, i, None] - p[None, :, i]
-                    gap += np.nan_to_num(d * d)
-                if not (whole and known.all()):
-                    shared = known.astype(float) @ known_p.T
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        gap = np.where(shared > 0, gap * len(axes) / shared, np.inf)
-                n = min(k, len(p))
-                best = np.argpartition(gap, n - 1, axis=1)[:, :n]
-                worst = np.take_along_axis(gap, best, axis=1).max(axis=1)
-                for r in np.flatnonzero((gap <= worst[:, None]).sum(axis=1) > n):
-                    tied = np.flatnonzero(gap[r] <= worst[r])
-                    best[r] = tied[np.argsort(gap[r, tied], kind="stable")[:n]]
-                dist = np.take_along_axis(gap, best, axis=1)
-                keep = np.isfinite(dist)
-                rows = np.repeat(part[qid].to_numpy(), keep.sum(axis=1))
-                out[qid].append(rows)
-                out["distance"].append(np.sqrt(dist[keep]))
-                out["value"].append(pv[best[keep]])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
-
-    return block
-
-
-def _meet(queries: DataFrame, points: DataFrame, p_chunks: list[int], edges: list[float], qid: str, axes: list[str], value: str, k: int, block: int) -> DataFrame:
-    """Top k per query and block. ``queries`` carry a ``_s`` strip to visit."""
-    q_chunks = _chunks(queries, "_s", edges, block)
-    pc, qc = F.array(*[F.lit(c) for c in p_chunks]), F.array(*[F.lit(c) for c in q_chunks])
-    at = F.col("_s") + 2
-    left = queries.select(
-        qid, *axes, "_s",
-        F.pmod(F.xxhash64(F.col(qid), F.lit(1)), F.element_at(qc, at)).cast("int").alias("_q"),
-        F.explode(F.sequence(F.lit(0), F.element_at(pc, at) - 1)).alias("_p"),
+MAX_BOXES = 4096  # rows of the driver's table of boxes; larger boxes are dealt by hash
+PASSES = 16
+WAYS = 4  # parts of a box per pass
+SHARE = 64_000  # queries of one box that a task answers
+
+
+@dataclass
+class Split:
+    """Inner node: the box is cut along one axis; ``missing`` takes rows without that coordinate."""
+
+    axis: int
+    cuts: np.ndarray
+    kids: list[int]
+    missing: int
+
+
+class Boxes:
+    """Tree of boxes. Per node: bounds, axes all of whose rows lack a coordinate, and number of points."""
+
+    def __init__(self, axes: int):
+        self.splits: dict[int, Split] = {}
+        self.low = [np.full(axes, -np.inf)]
+        self.high = [np.full(axes, np.inf)]
+        self.absent = [np.zeros(axes, bool)]
+        self.size = [0]
+
+    def split(self, box: int, axis: int, cuts: np.ndarray) -> None:
+        kids = []
+        ends = [self.low[box][axis], *cuts, self.high[box][axis]]
+        for i in range(len(cuts) + 2):
+            low, high, absent = self.low[box].copy(), self.high[box].copy(), self.absent[box].copy()
+            if i <= len(cuts):
+                low[axis], high[axis] = ends[i], ends[i + 1]
+            else:
+                absent[axis] = True
+            kids.append(len(self.low))
+            self.low.append(low)
+            self.high.append(high)
+            self.absent.append(absent)
+            self.size.append(0)
+        self.splits[box] = Split(axis, np.asarray(cuts, float), kids[:-1], kids[-1])
+
+    def leaves(self) -> list[int]:
+        return [b for b in range(len(self.low)) if b not in self.splits and self.size[b]]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Leaf of every row of coordinates (NaN: missing)."""
+        at = np.zeros(len(x), np.int32)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            box, rows = todo.pop()
+            s = self.splits.get(box)
+            if s is None:
+                at[rows] = box
+                continue
+            v = x[rows, s.axis]
+            part = np.where(np.isnan(v), len(s.kids), np.searchsorted(s.cuts, v, side="right"))
+            for i, kid in enumerate([*s.kids, s.missing]):
+                if (inside := rows[part == i]).size:
+                    todo.append((kid, inside))
+        return at
+
+    def nearest(self, x: np.ndarray, leaves: list[int]) -> np.ndarray:
+        """Least possible distance of each query to each leaf; infinite where no coordinate is shared."""
+        low, high = np.array([self.low[b] for b in leaves]), np.array([self.high[b] for b in leaves])
+        there = ~np.array([self.absent[b] for b in leaves])
+        known = ~np.isnan(x)
+        gap = np.zeros((len(x), len(leaves)))
+        for i in range(x.shape[1]):
+            v = np.where(known[:, i], x[:, i], 0.0)[:, None]
+            d = np.maximum(np.maximum(low[None, :, i] - v, v - high[None, :, i]), 0.0)
+            gap += np.where(known[:, i, None] & there[None, :, i], d * d, 0.0)
+        shared = known.astype(float) @ there.T.astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(shared > 0, np.sqrt(gap * x.shape[1] / shared), np.inf)
+
+
+def matrix(batch: pa.RecordBatch, axes: Sequence[str]) -> np.ndarray:
+    """Coordinates of a batch, NaN where missing."""
+    return np.column_stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in axes])
+
+
+def _placed(points: DataFrame, axes: list[str], boxes: Boxes) -> DataFrame:
+    """Points with their box ``_s``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(boxes.find(matrix(b, axes)), pa.int32())], [*b.schema.names, "_s"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInArrow(run, f"{kinds}, _s int")
+
+
+def _cuts(row, axis: int) -> np.ndarray:
+    """Distinct cut points above the least value; just above it where the quartiles all equal it."""
+    found = np.unique([c for c in row[f"_q{axis}"] or [] if c > row[f"_l{axis}"]])
+    if not len(found) and row[f"_l{axis}"] < row[f"_h{axis}"]:
+        found = np.array([np.nextafter(row[f"_l{axis}"], np.inf)])
+    return found
+
+
+def build_boxes(points: DataFrame, axes: list[str], weights: Sequence[int], block: int) -> Boxes:
+    """Split until no box holds over ``block`` points. ``weights``: on how many queries an axis is known;
+    axes that no query knows are never cut. The driver sees one row per box."""
+    boxes = Boxes(len(axes))
+    useful = [i for i, w in enumerate(weights) if w]
+    parts = [i / WAYS for i in range(1, WAYS)]
+    stats = [
+        s
+        for i in useful
+        for s in (
+            F.count(axes[i]).alias(f"_c{i}"),
+            F.min(axes[i]).alias(f"_l{i}"),
+            F.max(axes[i]).alias(f"_h{i}"),
+            F.percentile_approx(axes[i], parts, 1000).alias(f"_q{i}"),
+        )
+    ]
+    for turn in range(PASSES + 1):
+        rows = _placed(points, axes, boxes).groupBy("_s").agg(F.count(F.lit(1)).alias("_n"), *stats).collect()
+        for b in range(len(boxes.size)):
+            boxes.size[b] = 0
+        for r in rows:
+            boxes.size[r["_s"]] = r["_n"]
+        room = (MAX_BOXES - len(rows)) // WAYS
+        grew = False
+        for r in sorted(rows, key=lambda r: -r["_n"])[: max(room, 0) if turn < PASSES else 0]:
+            if r["_n"] <= block:
+                break
+            best = None
+            for i in useful:
+                c, q = r[f"_c{i}"], r[f"_q{i}"]
+                if not c or (r[f"_l{i}"] == r[f"_h{i}"] and c == r["_n"]):
+                    continue  # nothing to cut: no value, or one value in all rows
+                wide = np.nan_to_num(np.array([q[-1] - q[0], r[f"_h{i}"] - r[f"_l{i}"]])) * weights[i]
+                best = max(best or (-1.0, -1.0, 0), (float(wide[0]), float(wide[1]), i))
+            if best:
+                boxes.split(r["_s"], best[2], _cuts(r, best[2]))
+                grew = True
+        if not grew:
+            return boxes
+    return boxes
+
+
+def _first(bound: np.ndarray, sizes: np.ndarray, k: int, turn: np.ndarray) -> np.ndarray:
+    """Boxes each query meets first: the closest ones that hold k points together. Equally close boxes
+    are taken in an order that starts at another box for each query, so none becomes hot."""
+    n = bound.shape[1]
+    order = (np.arange(n)[None, :] + (turn % n)[:, None]) % n
+    rolled = np.take_along_axis(bound, order, axis=1)
+    rank = np.take_along_axis(order, np.argsort(rolled, axis=1, kind="stable"), axis=1)
+    held = sizes[rank]
+    first = np.zeros(bound.shape, bool)
+    np.put_along_axis(first, rank, np.cumsum(held, axis=1) - held < k, axis=1)
+    return first & np.isfinite(bound)
+
+
+def _visits(queries: DataFrame, qid: str, axes: list[str], boxes: Boxes, k: int, reach: bool) -> DataFrame:
+    """Queries once per box to visit: the first ones, or with ``reach`` the others within ``_r``."""
+    leaves = boxes.leaves()
+    numbers, sizes = np.array(leaves, np.int32), np.array([boxes.size[b] for b in leaves], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                b = batch.slice(start, 512)
+                turn = pd.util.hash_array(b.column(qid).to_numpy(zero_copy_only=False)) >> np.uint64(33)
+                bound = boxes.nearest(matrix(b, axes), leaves)
+                go = _first(bound, sizes, k, turn.astype(np.int64))
+                if reach:
+                    r = b.column("_r").to_numpy(zero_copy_only=False).astype(float)
+                    go = ~go & np.isfinite(bound) & ~(bound > np.where(np.isnan(r), np.inf, r)[:, None])
+                row, leaf = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([*b.select(names).take(pa.array(row)).columns, pa.array(numbers[leaf])], [*names, "_s"])
+
+    names = [qid, *axes]
+    kinds = ", ".join(f"`{n}` {queries.schema[n].dataType.simpleString()}" for n in names)
+    return queries.mapInArrow(run, f"{kinds}, _s int")
+
+
+def _best_of(x: np.ndarray, p: np.ndarray, known_p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and positions of the k best points, ties to the earlier point."""
+    known = ~np.isnan(x)
+    gap = np.zeros((len(x), len(p)))
+    for i in range(p.shape[1]):
+        d = x[:, i, None] - p[None, :, i]
+        gap += np.nan_to_num(d * d)
+    if not (known_p.all() and known.all()):
+        shared = known.astype(float) @ known_p.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.where(shared > 0, gap * p.shape[1] / shared, np.inf)
+    n = min(k, len(p))
+    best = np.argpartition(gap, n - 1, axis=1)[:, :n]
+    worst = np.take_along_axis(gap, best, axis=1).max(axis=1)
+    for r in np.flatnonzero((gap <= worst[:, None]).sum(axis=1) > n):
+        tied = np.flatnonzero(gap[r] <= worst[r])
+        best[r] = tied[np.argsort(gap[r, tied], kind="stable")[:n]]
+    return np.take_along_axis(gap, best, axis=1), best
+
+
+def _meet(visits: DataFrame, points: DataFrame, boxes: Boxes, qid: str, axes: list[str], value: str, k: int, block: int) -> DataFrame:
+    """Top k per query and block. ``points`` carry box and chunk, ``visits`` the box."""
+    asked = {r["_s"]: r["count"] for r in visits.groupBy("_s").count().collect()}
+    chunks, shares = np.ones(len(boxes.size), int), np.ones(len(boxes.size), int)
+    for b in range(len(boxes.size)):
+        chunks[b] = _chunk_count(boxes, b, block)
+        shares[b] = max(1, -(-asked.get(b, 0) // SHARE))
+    many_chunks, many_shares = _per_box(chunks), _per_box(shares)
+    left = visits.select(
+        "_s",
+        F.explode(F.sequence(F.lit(0), many_chunks - 1)).alias("_p"),
+        F.pmod(F.xxhash64(F.col(qid), F.lit(1)), many_shares).cast("int").alias("_g"),
+        F.lit(1).alias("_side"),
+        col(qid).alias("_id"),
+        F.lit(None).cast(points.schema[value].dataType).alias("_value"),
+        *[col(a).alias(f"_x{i}") for i, a in enumerate(axes)],
     )
-    # fresh aliases: both sides may descend from one frame, which a cogroup cannot tell apart
     right = points.select(
-        *[col(c).alias(c) for c in [*axes, value, "_s", "_p"]], F.explode(F.sequence(F.lit(0), F.element_at(qc, at) - 1)).alias("_q")
-    )
-    key = ["_s", "_p", "_q"]
-    return (
-        left.groupBy(*key)
-        .cogroup(right.groupBy(*key))
-        .applyInPandas(_compare(key, qid, axes, value, k), _shape(queries, points, qid, value))
+        "_s",
+        "_p",
+        F.explode(F.sequence(F.lit(0), many_shares - 1)).alias("_g"),
+        F.lit(0).alias("_side"),
+        F.lit(None).cast(visits.schema[qid].dataType).alias("_id"),
+        col(value).alias("_value"),
+        *[col(a).alias(f"_x{i}") for i, a in enumerate(axes)],
     )
+    key = ["_s", "_p", "_g"]
+    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "_side", "_value")
+    coordinates = [f"_x{i}" for i in range(len(axes))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, values, ready = None, [], [], None
+        for b in batches:
+            keys = np.column_stack([b.column(c).to_numpy() for c in [*key, "_side"]])
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                part = b.slice(start, end - start)
+                if tuple(keys[start, :3]) != now:
+                    now, held, values, ready = tuple(keys[start, :3]), [], [], None
+                if keys[start, 3] == 0:
+                    held.append(matrix(part, coordinates))
+                    values.append(part.column("_value"))
+                elif held:
+                    if ready is None:
+                        p = np.concatenate(held)
+                        ready = p, (~np.isnan(p)).astype(float), pa.concat_arrays(values)
+                    p, known_p, pv = ready
+                    for at in range(0, part.num_rows, 256):
+                        some = part.slice(at, 256)
+                        gap, best = _best_of(matrix(some, coordinates), p, known_p, k)
+                        keep = np.isfinite(gap)
+                        row = np.repeat(np.arange(len(gap)), keep.sum(axis=1))
+                        yield pa.RecordBatch.from_arrays(
+                            [some.column("_id").take(pa.array(row)), pa.array(np.sqrt(gap[keep])), pv.take(pa.array(best[keep]))], [qid, "distance", "value"]
+                        )
+
+    return both.mapInArrow(run, _shape(visits, points, qid, value))
+
+
+def _chunk_count(boxes: Boxes, box: int, block: int) -> int:
+    """Parts by hash of a box that could not be cut further; boxes up to twice the block stay whole."""
+    return 1 if boxes.size[box] <= 2 * block else -(-boxes.size[box] // block)
+
+
+def _per_box(numbers: np.ndarray):
+    """Column: the number of the row's box ``_s``, where only numbers above one are written out."""
+    many = [(b, int(n)) for b, n in enumerate(numbers) if n > 1]
+    if not many:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(v) for pair in many for v in pair])
+    return F.coalesce(F.try_element_at(table, F.col("_s")), F.lit(1))
 
 
 def _shape(queries: DataFrame, points: DataFrame, qid: str, value: str) -> str:
@@ -134,37 +321,22 @@ def k_nearest(
         collapsed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(k).cast("long"))))).drop("_n")
     )
     queries = materialize(queries.select(qid, *[col(a) for a in axes]))
-    known = lambda df: df.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(a)).alias(f"_c{i}") for i, a in enumerate(axes)]).first()
-    gaps, asked = known(points), known(queries)
-    if not gaps["n"]:
+    asked = queries.agg(*[F.count(col(a)).alias(f"_c{i}") for i, a in enumerate(axes)]).first()
+    boxes = build_boxes(points, axes, [asked[f"_c{i}"] for i in range(len(axes))], block)
+    if not boxes.leaves():
         return spark.createDataFrame([], _shape(queries, points, qid, value) + ", rank int")
-    # the axis that most queries have, then most points
-    axis = axes[max(range(len(axes)), key=lambda i: (asked[f"_c{i}"], gaps[f"_c{i}"]))]
-    gappy = gaps[f"_c{axes.index(axis)}"] < gaps["n"]
-    edges = _edges(points, axis, gaps["n"], block)
-    placed = _strip(points, axis, edges, "_s")
-    p_chunks = _chunks(placed, "_s", edges, block)
-    per_strip = F.element_at(F.array(*[F.lit(c) for c in p_chunks]), F.col("_s") + 2)
-    placed = placed.withColumn("_p", F.pmod(F.xxhash64(*[col(a) for a in axes], col(value), F.col("_i")), per_strip).cast("int"))
-
-    home = _strip(queries, axis, edges, "_s")
-    near = materialize(_best(_meet(home, placed, p_chunks, edges, qid, axes, value, k, block), qid, k).drop("rank"))
-    if len(edges) == 2 and not gappy and asked[f"_c{axes.index(axis)}"] == asked["n"]:
-        return _best(near, qid, k)
-    # the k-th distance so far bounds the strips worth a visit; without k points all of them are
+    chunks = _per_box(np.array([_chunk_count(boxes, b, block) for b in range(len(boxes.size))]))
+    spread = F.pmod(F.xxhash64(*[col(a) for a in axes], col(value), F.col("_i")), chunks).cast("int")
+    placed = _placed(points, axes, boxes).withColumn("_p", spread)
+
+    home = materialize(_visits(queries, qid, axes, boxes, k, reach=False))
+    found = _meet(home, placed, boxes, qid, axes, value, k, block)
+    if len(boxes.leaves()) == 1:
+        return _best(found, qid, k)
+    near = materialize(_best(found, qid, k).drop("rank"))
+    # the k-th distance so far bounds the boxes worth a visit; without k points all of them are
     reach = near.groupBy(qid).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance") * (1 + 1e-9)).alias("_r"))
-    bounded = home.withColumnRenamed("_s", "_home").join(reach, qid, "left")
-    last = len(edges) - 2
-    low = F.when(col(axis).isNull() | F.col("_r").isNull(), float("-inf")).otherwise(col(axis) - F.col("_r"))
-    high = F.when(col(axis).isNull() | F.col("_r").isNull(), float("inf")).otherwise(col(axis) + F.col("_r"))
-    cuts = edges[1:-1]
-    inner = F.array(*[F.lit(e) for e in cuts]) if cuts else F.array().cast("array<double>")
-    bounded = bounded.withColumns({"_lo": low, "_hi": high})
-    first_strip = F.size(F.filter(inner, lambda e: e < F.col("_lo")))
-    last_strip = F.size(F.filter(inner, lambda e: e <= F.col("_hi")))
-    visits = F.sequence(first_strip, F.least(last_strip, F.lit(last)))
-    if gappy:
-        visits = F.concat(F.array(F.lit(-1)), visits)
-    rest = bounded.withColumn("_s", F.explode(visits)).where(F.col("_s") != F.col("_home"))
-    far = _meet(rest.select(qid, *axes, "_s"), placed, p_chunks, edges, qid, axes, value, k, block)
+    bounded = queries.join(reach, qid, "left")
+    rest = materialize(_visits(bounded, qid, axes, boxes, k, reach=True))
+    far = _meet(rest, placed, boxes, qid, axes, value, k, block)
     return _best(near.unionByName(far), qid, k)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from brightlake.operators import density, neighbors
 from brightlake.operators.inference import uniformity_ks
 from brightlake.operators.relate import correlation
 from brightlake.plans import running
+from brightlake.plans import nearest
 from brightlake.plans.nearest import k_nearest
 from brightlake.plans.running import quantiles, running_totals
 from brightlake.plans.sampling import lowest_by_hash
@@ -141,6 +143,57 @@ def test_nearest_matches_brute_force(spark, hot):
         assert sorted(got[i]) == pytest.approx(sorted(dist[i])[:6])
 
 
+@pytest.mark.parametrize("most", [nearest.MAX_BOXES, 12])
+def test_nearest_with_gaps_and_few_boxes(spark, monkeypatch, most):
+    monkeypatch.setattr(nearest, "MAX_BOXES", most)  # beyond it boxes are dealt by hash
+    monkeypatch.setattr(nearest, "SHARE", 25)
+    rnd = np.random.default_rng(12)
+    pts, qs = rnd.normal(size=(900, 4)), rnd.normal(size=(80, 4))
+    pts[rnd.random(pts.shape) < 0.2] = np.nan
+    qs[rnd.random(qs.shape) < 0.2] = np.nan
+    qs[:, 3] = np.nan
+    qs[0] = np.nan
+    cell = lambda v: None if np.isnan(v) else float(v)
+    axes = ["a", "b", "c", "d"]
+    points = spark.createDataFrame([(*map(cell, r), f"p{i:03d}") for i, r in enumerate(pts)], "a double, b double, c double, d double, value string")
+    queries = spark.createDataFrame([(i, *map(cell, r)) for i, r in enumerate(qs)], "qid long, a double, b double, c double, d double")
+    got = {}
+    for r in k_nearest(queries, points, axes, 5, block=40).collect():
+        got.setdefault(r["qid"], []).append((round(r["distance"], 9), r["value"]))
+    for i, x in enumerate(qs):
+        both = ~np.isnan(x) & ~np.isnan(pts)
+        n = both.sum(axis=1)
+        gap = np.where(both, (x - pts) ** 2, 0).sum(axis=1)
+        want = sorted((round(float(np.sqrt(g * 4 / m)), 9), f"p{j:03d}") for j, (g, m) in enumerate(zip(gap, n)) if m)[:5]
+        assert sorted(got.get(i, [])) == want
+
+
+def test_nearest_of_nothing(spark):
+    empty = spark.createDataFrame([], "x double, y double, value double")
+    some = spark.createDataFrame([(1, 0.0, None)], "qid long, x double, y double")
+    assert k_nearest(some, empty, ["x", "y"], 3).count() == 0
+    assert k_nearest(some.limit(0), empty.unionByName(spark.createDataFrame([(1.0, 2.0, 3.0)], empty.schema)), ["x", "y"], 3).count() == 0
+
+
+def test_queries_visit_few_boxes(spark):
+    rnd = np.random.default_rng(3)
+    pts = rnd.random((20_000, 3))
+    points = spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y", "z"])).repartition(4)
+    boxes = nearest.build_boxes(points, ["x", "y", "z"], [1, 1, 1], 500)
+    leaves = boxes.leaves()
+    sizes = [boxes.size[b] for b in leaves]
+    assert sum(sizes) == len(pts) and max(sizes) <= 500
+    at = boxes.find(pts)
+    assert [int((at == b).sum()) for b in leaves] == sizes
+    # no point is closer than its box, and few boxes are within the reach of the fifth neighbour
+    bound = boxes.nearest(pts[:300], leaves)
+    dist = np.sqrt(((pts[:300, None] - pts[None]) ** 2).sum(axis=2))
+    for i, b in enumerate(leaves):
+        assert (bound[:, i] <= dist[:, at == b].min(axis=1) + 1e-12).all()
+    fifth = np.sort(dist, axis=1)[:, 4]
+    assert (bound <= fifth[:, None]).sum(axis=1).mean() < 2.5
+
+
 def test_knn_imputation_matches_brute_force(spark):
     rnd = np.random.default_rng(8)
     data = rnd.normal(size=(300, 3))
