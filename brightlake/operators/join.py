@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightlake.functions.columns import col, ratio, short_form, stack_rows
+from brightlake.plans.skew import Ways, hot_keys, split_join
 
 SUFFIXES = {"both": ("_left", "_right"), "left": ("", "_right"), "right": ("_left", "")}
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
@@ -47,12 +48,16 @@ def merge(
     how: str = "inner",
     clash: str = "both",
     salt: int | None = None,
+    hot: tuple[Ways | None, Ways | None] = (None, None),
 ) -> DataFrame:
     """Equi-join in which null keys match each other.
 
+    Hot keys are found and split by themselves (``plans/skew.py``), for all four types and on both
+    sides; ``hot`` hands over what is known of either side already.
+
     Keys of one name give one column, coalesced in right and outer merges; keys of different names
     are both kept. ``clash`` names the remaining shared columns: ``both`` sides suffixed, or the
-    ``left`` or ``right`` side keeps the plain name. ``salt`` splits hot keys.
+    ``left`` or ``right`` side keeps the plain name. ``salt`` spreads every key over so many sub-keys instead.
     """
     pairs = key_pairs(on)
     same = [a for a, b in pairs if a == b]
@@ -61,18 +66,28 @@ def merge(
     lname = {c: c + (ls if c in shared else "") for c in left.columns}
     rname = {c: (f"_right_key_{c}" if c in same else c + (rs if c in shared else "")) for c in right.columns}
     left, right = left.withColumnsRenamed(lname), right.withColumnsRenamed(rname)
-    condition = reduce(lambda x, y: x & y, [col(lname[a]).eqNullSafe(col(rname[b])) for a, b in pairs])
     kind = HOW[how]
-    joined = _salted(left, right, condition, kind, salt) if salt and salt > 1 else left.join(right, condition, kind)
+    if salt and salt > 1:
+        condition = reduce(lambda x, y: x & y, [col(lname[a]).eqNullSafe(col(rname[b])) for a, b in pairs])
+        joined = _salted(left, right, condition, kind, salt)
+    else:
+        joined = split_join(left, right, [(lname[a], rname[b]) for a, b in pairs], kind, *hot)
     if how in ("right", "outer"):
         joined = joined.withColumns({k: F.coalesce(col(k), col(f"_right_key_{k}")) for k in same})
     return joined.drop(*[f"_right_key_{k}" for k in same])
 
 
 def merge_chain(first: DataFrame, steps: Sequence[tuple[DataFrame, str | Sequence]], how: str = "left") -> DataFrame:
-    """Merge further tables one after the other: steps of (table, keys)."""
-    for other, on in steps:
-        first = merge(first, other, on, how)
+    """Merge further tables one after the other: steps of (table, keys).
+
+    Hot keys on columns of the first table are looked for in it alone and all at once, so a step does
+    not run the steps before it again.
+    """
+    keys = [[a for a, _ in key_pairs(on)] for _, on in steps]
+    own = [i for i, names in enumerate(keys) if how in ("inner", "left") and set(names) <= set(first.columns)]
+    known = dict(zip(own, hot_keys(first, [keys[i] for i in own]))) if own else {}
+    for i, (other, on) in enumerate(steps):
+        first = merge(first, other, on, how, hot=(known.get(i), None))
     return first
 
 
@@ -80,9 +95,12 @@ def denormalize(
     facts: DataFrame,
     dimensions: Sequence[tuple[DataFrame, str, Sequence[str]]],
 ) -> DataFrame:
-    """Left-join the chosen columns of each (dimension, key, columns) to the facts."""
+    """Left-join the chosen columns of each (dimension, key, columns) to the facts. Hot keys of the facts'
+    own columns are found in one aggregate."""
+    own = [key for _, key, _ in dimensions if key in facts.columns]
+    known = dict(zip(own, hot_keys(facts, [[key] for key in own]))) if own else {}
     for dim, key, columns in dimensions:
-        facts = merge(facts, dim.select(col(key), *[col(c) for c in columns]), key, "left", clash="left")
+        facts = merge(facts, dim.select(col(key), *[col(c) for c in columns]), key, "left", clash="left", hot=(known.get(key), None))
     return facts
 
 
@@ -184,13 +202,13 @@ def pivot_table(
 def only_in_first(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct non-null keys of ``a`` that do not occur in ``b``."""
     keys = a.select(col(column)).where(col(column).isNotNull()).distinct()
-    return keys.join(b.select(col(column)), column, "left_anti")
+    return keys.join(b.select(col(column)).distinct(), column, "left_anti")
 
 
 def in_both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct non-null keys that occur in both."""
     keys = a.select(col(column)).where(col(column).isNotNull()).distinct()
-    return keys.join(b.select(col(column)), column, "left_semi")
+    return keys.join(b.select(col(column)).distinct(), column, "left_semi")
 
 
 def stack_tables(tables: Sequence[DataFrame]) -> DataFrame:
