@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -107,10 +108,11 @@ def forecast_metrics(forecast: DataFrame, by: Sequence[str]) -> DataFrame:
 # ---- exponential smoothing ---------------------------------------------------------------------
 
 def smooth(
-    x: np.ndarray, horizon: int, alpha: float, beta: float, gamma: float, phi: float,
-    trend: str | None, seasonal: str | None, m: int,
-) -> tuple[float, np.ndarray]:
-    """Sum of squared one-step errors and forecasts of one series for given weights."""
+    x: np.ndarray, horizon: int, weights: np.ndarray, trend: str | None, seasonal: str | None, m: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of squared one-step errors and forecasts of one series, for every row of weights
+    (alpha, beta, gamma, phi) in one pass over its steps."""
+    alpha, beta, gamma, phi = np.asarray(weights, dtype=float).T
     level = float(x[:m].mean()) if seasonal else float(x[0])
     slope = 0.0
     if trend == "add":
@@ -118,41 +120,45 @@ def smooth(
     elif trend == "mul":
         top, base = (x[m : 2 * m].mean(), x[:m].mean()) if seasonal else (x[1], x[0])
         slope = float((top / base) ** (1.0 / (m if seasonal else 1))) if base else 1.0
-    if trend and not seasonal:  # one step before the first value
-        level = level - phi * slope if trend == "add" else level / slope**phi if slope else level
-    season = [0.0] * m
+    season = np.zeros((m, len(alpha)))
     if seasonal:
-        season = list(x[:m] - level) if seasonal == "add" else list(x[:m] / level)
-    error = 0.0
+        season += (x[:m] - level if seasonal == "add" else x[:m] / level)[:, None]
+    level, slope = np.full(len(alpha), level), np.full(len(alpha), slope)
+    if trend and not seasonal:  # one step before the first value
+        level = level - phi * slope if trend == "add" else np.divide(level, slope**phi, out=level.copy(), where=slope != 0)
+    error = np.zeros(len(alpha))
 
-    def ahead(lv: float, sl: float, steps: float) -> float:
+    def ahead(lv: np.ndarray, sl: np.ndarray, steps) -> np.ndarray:
         if trend == "add":
             return lv + sl * steps
         return lv * sl**steps if trend == "mul" else lv
 
+    def share(value, base: np.ndarray, otherwise) -> np.ndarray:
+        return np.where(base != 0, value / np.where(base != 0, base, 1.0), otherwise)
+
     for t, value in enumerate(x):
         base = ahead(level, slope, phi)
         s = season[t % m] if seasonal else 0.0
         guess = base * s if seasonal == "mul" else base + s
         error += (value - guess) ** 2
-        clean = value / s if seasonal == "mul" and s else value - s if seasonal == "add" else value
+        clean = share(value, s, value) if seasonal == "mul" else value - s
         new = alpha * clean + (1 - alpha) * base
         if trend == "add":
             slope = beta * (new - level) + (1 - beta) * phi * slope
         elif trend == "mul":
-            slope = beta * (new / level if level else 1.0) + (1 - beta) * slope**phi
+            slope = beta * share(new, level, 1.0) + (1 - beta) * slope**phi
         if seasonal == "add":
             season[t % m] = gamma * (value - base) + (1 - gamma) * s
         elif seasonal == "mul":
-            season[t % m] = gamma * (value / base if base else 1.0) + (1 - gamma) * s
+            season[t % m] = gamma * share(value, base, 1.0) + (1 - gamma) * s
         level = new
-    out, reach = [], 0.0
+    out, reach = [], np.zeros(len(alpha))
     for h in range(1, horizon + 1):
-        reach += phi**h if phi < 1 else 1.0
+        reach = reach + np.where(phi < 1, phi**h, 1.0)
         base = ahead(level, slope, reach)
         s = season[(len(x) + h - 1) % m] if seasonal else 0.0
         out.append(base * s if seasonal == "mul" else base + s)
-    return error, np.array(out)
+    return error, np.array(out).reshape(horizon, len(alpha)).T
 
 
 GRID = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
@@ -160,20 +166,25 @@ COARSE = (0.05, 0.2, 0.5)
 
 
 def _best_smooth(x, horizon, trend, seasonal, m, damped, alpha):
-    """Smallest one-step error on a grid of weights, then on a finer one around it."""
+    """Weights, error and forecasts: smallest one-step error on a grid, then on a finer one around it."""
     alphas = GRID if alpha is None else (alpha,)
     betas = COARSE if trend else (0.0,)
     gammas = COARSE if seasonal else (0.0,)
     phis = (0.8, 0.9, 0.98) if damped and trend else (1.0,)
-    run = lambda a, b, g, p: smooth(x, horizon, a, b, g, p, trend, seasonal, m)
-    best = min(product(alphas, betas, gammas, phis), key=lambda w: run(*w)[0])
+
+    def run(grid):
+        grid = np.array(list(grid))
+        with np.errstate(all="ignore"):
+            error, guess = smooth(x, horizon, grid, trend, seasonal, m)
+        at = int(np.argmin(np.where(np.isnan(error), np.inf, error)))
+        return grid[at], float(error[at]), guess[at]
+
+    best = run(product(alphas, betas, gammas, phis))
     if alpha is None:
+        w = best[0]
         near = lambda v, on: sorted({min(0.99, max(0.01, v * f)) for f in (0.7, 0.85, 1.0, 1.15, 1.3)}) if on else (v,)
-        best = min(
-            product(near(best[0], True), near(best[1], bool(trend)), near(best[2], bool(seasonal)), (best[3],)),
-            key=lambda w: run(*w)[0],
-        )
-    return best, *run(*best)
+        best = run(product(near(w[0], True), near(w[1], bool(trend)), near(w[2], bool(seasonal)), (w[3],)))
+    return best
 
 
 def ets_label(trend: str | None, seasonal: str | None, period: int, damped: bool) -> str:
@@ -215,13 +226,54 @@ def _with_season(rows: DataFrame, train: DataFrame, key: Sequence[str], seasonal
     return rows.join(seasons(train, key, period), list(key))
 
 
+def _can_smooth(x: np.ndarray, seasonal: str | None, m: int) -> bool:
+    return len(x) >= max(2, 2 * m if seasonal else 2)
+
+
 def _smoothed(x: np.ndarray, steps: int, trend, seasonal, m: int, damped: bool, alpha) -> tuple[np.ndarray, str]:
     """Forecasts and label; a series shorter than two seasons takes its mean."""
-    fits = len(x) >= max(2, 2 * m if seasonal else 2)
+    fits = _can_smooth(x, seasonal, m)
     guess = _best_smooth(x, steps, trend, seasonal, m, damped, alpha)[2] if fits else np.full(steps, x.mean())
     return guess, ets_label(trend, seasonal, m, damped)
 
 
+def criteria(n: Column, sse: Column, k: Column) -> dict[str, Column]:
+    """Akaike's and Schwarz's criterion of a fit with ``k`` parameters, constants left out; null for an exact fit."""
+    fit = F.when((n > 0) & (sse > 0), n * F.log(sse / n))
+    return {"aic": fit + 2 * k, "bic": fit + k * F.log(n)}
+
+
+def smoothing_fit(
+    series: DataFrame, key: Sequence[str], trend: str | None = None, seasonal: str | None = None,
+    period: int | None = None, damped: bool = False, alpha: float | None = None,
+    test_size: float = 0.2, n_test: int | None = None, ts: str = TS, value: str = VALUE,
+) -> DataFrame:
+    """(key..., model, n, alpha, beta, gamma, phi, sse, parameters, aic, bic) of the fit on each training part.
+
+    ``parameters`` counts level and trend with a weight and a start each, one start per season, and the damping.
+    A series shorter than two seasons has no weights and no error.
+    """
+    parts = split_series(series, key, test_size, n_test, ts, value)
+    train = parts.where(~F.col("is_test"))
+    sized = _with_season(train, train, key, seasonal, period)
+    fields = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in key)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, m = pdf.sort_values("i")[VALUE].to_numpy(dtype=float), int(pdf["_p"].iloc[0])
+        w, sse = [None] * 4, None
+        if _can_smooth(x, seasonal, m):
+            w, sse, _ = _best_smooth(x, 0, trend, seasonal, m, damped, alpha)
+        used = [True, bool(trend), bool(seasonal), bool(damped and trend)]
+        row = {c: pdf[c].iloc[0] for c in key} | {"model": ets_label(trend, seasonal, m, damped), "n": len(x)}
+        row |= {c: v if on else None for c, v, on in zip(("alpha", "beta", "gamma", "phi"), w, used)}
+        return pd.DataFrame([row | {"sse": sse, "parameters": 2 + 2 * bool(trend) + (m if seasonal else 0) + used[3]}])
+
+    out = sized.select(*cols(key), VALUE, "i", "_p").groupBy(*cols(key)).applyInPandas(
+        one, f"{fields}, model string, n long, alpha double, beta double, gamma double, phi double, sse double, parameters long"
+    )
+    return out.withColumns(criteria(F.col("n"), F.col("sse"), F.col("parameters")))
+
+
 # ---- autoregression ----------------------------------------------------------------------------
 
 def _difference_once(df: DataFrame, key: Sequence[str], column: str) -> Column:
@@ -230,29 +282,99 @@ def _difference_once(df: DataFrame, key: Sequence[str], column: str) -> Column:
 
 def ar_forecast(
     series: DataFrame, key: Sequence[str], p: int = 1, d: int = 1,
-    test_size: float = 0.2, n_test: int | None = None, ts: str = TS, value: str = VALUE,
+    test_size: float = 0.2, n_test: int | None = None, ts: str = TS, value: str = VALUE, q: int = 0,
 ) -> DataFrame:
-    """Autoregression of order p on the d-times differenced series by least squares.
+    """Autoregression of order p on the d-times differenced series by least squares, with ``q``
+    moving-average terms if asked for (Hannan and Rissanen's regressions).
 
     The sums of every key's normal equations are one Spark aggregate; what reaches Python is one
     row per key: these sums, the last p differences and the last values to integrate from.
     """
     parts = split_series(series, key, test_size, n_test, ts, value)
-    out = _autoregressed(parts.where(~F.col("is_test")), _test_rows(parts, key), key, p, d)
+    out = _autoregressed(parts.where(~F.col("is_test")), _test_rows(parts, key), key, p, d, q)
     return out.select(*cols(key), TS, "h", "actual", "forecast", "model")
 
 
-def _autoregressed(train: DataFrame, horizon: DataFrame, key: Sequence[str], p: int, d: int) -> DataFrame:
-    """Add ``forecast`` and ``model`` to ``horizon`` rows; the forecast is null where a series is too short for a fit."""
-    train = train.withColumns({"_d0": F.col(VALUE), "_n": F.count(F.lit(1)).over(whole(key))})
+def ar_fit(
+    series: DataFrame, key: Sequence[str], p: int = 1, d: int = 1, q: int = 0,
+    test_size: float = 0.2, n_test: int | None = None, ts: str = TS, value: str = VALUE,
+) -> DataFrame:
+    """(key..., model, n, intercept, ar, ma, sse, parameters, aic, bic) of the fit on each training part.
+
+    ``parameters`` counts the coefficients. A series too short for a fit has no coefficients and no error.
+    """
+    train = split_series(series, key, test_size, n_test, ts, value).where(~F.col("is_test"))
+    sums, _ = _arma_sums(train, key, p, d, q)
+    beta = F.col("_beta")
+    out = _solved(sums, key, 1 + p + q).select(
+        *cols(key), F.lit(ar_label(p, d, q)).alias("model"), F.col("n"),
+        F.element_at(beta, 1).alias("intercept"), F.slice(beta, 2, p).alias("ar"), F.slice(beta, 2 + p, q).alias("ma"),
+        "sse", F.when(beta.isNotNull(), F.lit(1 + p + q).cast("long")).alias("parameters"),
+    )
+    keys = train.select(*cols(key)).distinct()
+    return keys.join(out, list(key), "left").withColumns({"model": F.lit(ar_label(p, d, q)), "n": F.coalesce("n", F.lit(0).cast("long"))}).withColumns(
+        criteria(F.col("n"), F.col("sse"), F.col("parameters"))
+    )
+
+
+def ar_label(p: int, d: int, q: int) -> str:
+    return f"arma_{p}_{d}_{q}" if q else f"ar_{p}_{d}"
+
+
+def _solve(xx, xy) -> np.ndarray:
+    b = np.asarray(xy, dtype=float)
+    return np.linalg.lstsq(np.asarray(xx, dtype=float).reshape(len(b), len(b)), b, rcond=None)[0]
+
+
+def _solved(sums: DataFrame, key: Sequence[str], terms: int) -> DataFrame:
+    """Add the coefficients ``_beta`` and the sum of squared errors to normal sums; null with fewer rows than terms."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            betas, errors = [], []
+            for n, xx, xy, yy in zip(pdf["n"], pdf["xx"], pdf["xy"], pdf["yy"]):
+                beta = _solve(xx, xy) if n >= terms else None
+                betas.append(beta)
+                errors.append(None if beta is None else max(0.0, float(yy - beta @ np.asarray(xy, dtype=float))))
+            yield pdf[[*key, "n"]].assign(_beta=betas, sse=errors)
+
+    fields = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in key)
+    return sums.select(*cols(key), "n", "xx", "xy", "yy").mapInPandas(run, f"{fields}, n long, _beta array<double>, sse double")
+
+
+def _arma_sums(train: DataFrame, key: Sequence[str], p: int, d: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Normal sums of the step on its last p steps and last q shocks, and the rows with ``_d0`` to ``_d<d>``
+    and the shock ``_e``.
+
+    Shocks are the residuals of a longer autoregression of p + q + 5 steps, null before it can be applied.
+    """
+    rows = train.withColumns({"_d0": F.col(VALUE), "_n": F.count(F.lit(1)).over(whole(key))})
     for k in range(1, d + 1):
-        train = train.withColumn(f"_d{k}", _difference_once(train, key, f"_d{k - 1}"))
+        rows = rows.withColumn(f"_d{k}", _difference_once(rows, key, f"_d{k - 1}"))
+    top = f"_d{d}"
+    longest = p + q + 5 if q else p
+    lags = [f"_x{j}" for j in range(1, longest + 1)]
+    rows = rows.withColumns({f"_x{j}": F.lag(col(top), j).over(by_time(key)) for j in range(1, longest + 1)})
+    if not q:
+        return normal_sums(rows, key, top, lags), rows.withColumn("_e", F.lit(None).cast("double"))
+    first = _solved(normal_sums(rows, key, top, lags), key, longest + 1).select(*cols(key), "_beta")
+    guess = F.element_at("_beta", 1)
+    for j, lag in enumerate(lags):
+        guess = guess + F.element_at("_beta", j + 2) * F.col(lag)
+    rows = rows.join(first, list(key)).withColumn("_e", F.col(top) - guess).drop("_beta")
+    rows = rows.withColumns({f"_s{j}": F.lag("_e", j).over(by_time(key)) for j in range(1, q + 1)})
+    return normal_sums(rows, key, top, [*lags[:p], *[f"_s{j}" for j in range(1, q + 1)]]), rows
+
+
+def _autoregressed(train: DataFrame, horizon: DataFrame, key: Sequence[str], p: int, d: int, q: int = 0) -> DataFrame:
+    """Add ``forecast`` and ``model`` to ``horizon`` rows; the forecast is null where a series is too short for a fit."""
+    sums, rows = _arma_sums(train, key, p, d, q)
+    if q:
+        sums = sums.where(F.col("n") >= 1 + p + q)
     top = f"_d{d}"
-    lagged = train.withColumns({f"_x{j}": F.lag(col(top), j).over(by_time(key)) for j in range(1, p + 1)})
-    sums = normal_sums(lagged, key, top, [f"_x{j}" for j in range(1, p + 1)])
-    ends = train.withColumn("_back", F.col("_n") - F.col("i")).where(F.col("_back") <= max(p, 1))
+    ends = rows.withColumn("_back", F.col("_n") - F.col("i")).where(F.col("_back") <= max(p, q, 1))
     tail = ends.groupBy(*cols(key)).agg(
-        F.sort_array(F.collect_list(F.struct("_back", F.col(top).alias("v")))).alias("_tail"),
+        F.sort_array(F.collect_list(F.struct("_back", F.col(top).alias("v"), F.col("_e").alias("e")))).alias("_tail"),
         *[F.max(F.when(F.col("_back") == 1, col(f"_d{k}"))).alias(f"_end{k}") for k in range(d)],
     )
     steps = horizon.groupBy(*cols(key)).agg(F.count(F.lit(1)).alias("_steps"))
@@ -263,14 +385,14 @@ def _autoregressed(train: DataFrame, horizon: DataFrame, key: Sequence[str], p:
         for pdf in batches:
             frames = []
             for row in pdf.to_dict("records"):
-                b = np.asarray(row["xy"], dtype=float)
-                beta = np.linalg.lstsq(np.asarray(row["xx"], dtype=float).reshape(len(b), len(b)), b, rcond=None)[0]
+                beta = _solve(row["xx"], row["xy"])
                 recent = [t["v"] for t in row["_tail"]][:p]
+                shocks = [t["e"] for t in row["_tail"]][:q]
                 ends = [row[f"_end{k}"] for k in range(d)]
                 guess = []
                 for _ in range(int(row["_steps"])):
-                    step = float(beta[0] + sum(c * v for c, v in zip(beta[1:], recent)))
-                    recent = [step, *recent][:p]
+                    step = float(beta[0] + sum(c * v for c, v in zip(beta[1:], [*recent, *shocks])))
+                    recent, shocks = [step, *recent][:p], [0.0, *shocks][:q]  # no shock is expected ahead
                     for k in reversed(range(d)):
                         ends[k] = step = ends[k] + step
                     guess.append(step)
@@ -279,17 +401,22 @@ def _autoregressed(train: DataFrame, horizon: DataFrame, key: Sequence[str], p:
                 yield pd.concat(frames)
 
     guesses = state.mapInPandas(roll, f"{fields}, h long, forecast double")
-    return horizon.join(guesses, [*key, "h"], "left").withColumn("model", F.lit(f"ar_{p}_{d}"))
+    return horizon.join(guesses, [*key, "h"], "left").withColumn("model", F.lit(ar_label(p, d, q)))
 
 
 # ---- comparison and the future -----------------------------------------------------------------
 
-def compare_models(forecasts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
-    """Errors of every model, best RMSE first within a key."""
+def compare_models(forecasts: Sequence[DataFrame], key: Sequence[str], fits: Sequence[DataFrame] = ()) -> DataFrame:
+    """Errors of every model, best RMSE first within a key. With ``fits`` (``smoothing_fit``, ``ar_fit``) also
+    ``aic`` and ``bic``, null for models without a fit."""
     table = forecasts[0]
     for f in forecasts[1:]:
         table = table.unionByName(f)
-    return forecast_metrics(table, [*key, "model"]).orderBy(*cols(key), "rmse", "model")
+    errors = forecast_metrics(table, [*key, "model"])
+    if fits:
+        known = [f.select(*cols(key), "model", "aic", "bic") for f in fits]
+        errors = errors.join(reduce(DataFrame.unionByName, known), [*key, "model"], "left")
+    return errors.orderBy(*cols(key), "rmse", "model")
 
 
 def future_dates(last: Column, steps: int, freq: str) -> Column:

@@ -390,6 +390,54 @@ def _(spark, sf):
     return fc.ar_forecast(daily(spark, sf), K, 1, 1, ts=T, value=V)
 
 
+SES_FIT = """, f AS (SELECT a.k, a.i, any_value(a.v) - sum(CASE WHEN b.i = 0 THEN pow(0.7, a.i - 1) ELSE 0.3 * pow(0.7, a.i - 1 - b.i) END * b.v) AS e
+     FROM sp a JOIN sp b ON a.k = b.k AND b.i < a.i WHERE a.i < a.cut GROUP BY a.k, a.i),
+    g AS (SELECT k, count(*) + 1 AS n, sum(e * e) AS sse FROM f GROUP BY k)"""
+
+
+@register(
+    "j27_smoothing_fit",
+    DAILY + SPLIT + SES_FIT + """ SELECT k, 'ets' AS model, n, CAST(0.3 AS DOUBLE) AS alpha, CAST(NULL AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS gamma,
+    CAST(NULL AS DOUBLE) AS phi, n * ln(sse / n) + 4 AS aic, n * ln(sse / n) + 2 * ln(n) AS bic FROM g""",
+    dec="aic:4 bic:4",
+)
+def _(spark, sf):
+    fit = fc.smoothing_fit(daily(spark, sf), K, alpha=0.3, ts=T, value=V)
+    return fit.select(*K, "model", "n", "alpha", "beta", "gamma", "phi", "aic", "bic")
+
+
+AR_FIT = """, d AS (SELECT k, i, v - lag(v) OVER (PARTITION BY k ORDER BY i) AS dv FROM sp WHERE i < cut),
+    x AS (SELECT *, lag(dv) OVER (PARTITION BY k ORDER BY i) AS x FROM d),
+    h AS (SELECT k, regr_count(dv, x) AS n, regr_intercept(dv, x) AS a, regr_slope(dv, x) AS b, regr_syy(dv, x) - regr_sxy(dv, x) * regr_sxy(dv, x) / regr_sxx(dv, x) AS sse FROM x GROUP BY k)"""
+
+
+@register(
+    "j28_ar_fit",
+    DAILY + SPLIT + AR_FIT + " SELECT k, 'ar_1_1' AS model, CAST(n AS BIGINT) AS n, a AS intercept, b AS ar1, n * ln(sse / n) + 4 AS aic, n * ln(sse / n) + 2 * ln(n) AS bic FROM h",
+    dec="intercept:4 ar1 aic:4 bic:4",
+)
+def _(spark, sf):
+    fit = fc.ar_fit(daily(spark, sf), K, ts=T, value=V)
+    return fit.select(*K, "model", "n", "intercept", F.col("ar")[0].alias("ar1"), "aic", "bic")
+
+
+@register("j28_arma_forecast")
+def _(spark, sf):
+    return fc.ar_forecast(daily(spark, sf), K, 2, 1, q=1, ts=T, value=V)
+
+
+@register(
+    "j29_compare_models_criteria",
+    DAILY + SPLIT + SES_FIT + AR_FIT + """ SELECT k, 'ets' AS model, n * ln(sse / n) + 4 AS aic, n * ln(sse / n) + 2 * ln(n) AS bic FROM g
+    UNION ALL SELECT k, 'ar_1_1', n * ln(sse / n) + 4, n * ln(sse / n) + 2 * ln(n) FROM h UNION ALL SELECT DISTINCT k, 'last', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM sp""",
+    dec="aic:4 bic:4",
+)
+def _(spark, sf):
+    s, at = daily(spark, sf), {"ts": T, "value": V}
+    runs = [fc.naive_forecast(s, K, "last", **at), fc.exponential_smoothing(s, K, alpha=0.3, **at), fc.ar_forecast(s, K, **at)]
+    return fc.compare_models(runs, K, [fc.smoothing_fit(s, K, alpha=0.3, **at), fc.ar_fit(s, K, **at)]).select(*K, "model", "aic", "bic")
+
+
 @register(
     "j29_compare_models",
     " UNION ALL ".join(f"SELECT k, model, {METRICS} FROM ({DAILY + q}) GROUP BY k, model" for q in NAIVE.values()),
