@@ -17,7 +17,11 @@ Links are confirmed on full sets, and only links that can join two classes are l
    are formed, so the members of a group of copies are never paired with each other.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Fewer
-than five words make one shingle. Rows with equal doc_id are copies of a node: give each row its own id.
+than five words make one shingle; very long texts are hashed whole, their sets are the largest thing a task
+holds. Nodes are word sequences, numbered by the operator, so ids need not be unique: every row gives one row,
+rows of one id with different texts belong to the class of their own text, and repeated rows to the same one. A row without id
+counts as a document named null, which sorts behind all others: its class is named by the smallest id in it and
+is null only if no row of the class has one. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,6 +168,24 @@ def bucket_keys(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sign").mapInArrow(run, schema)
 
 
+def candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text): one text for each of the wanted nodes (seq, rep, node), under its node."""
+    schema = _schema(docs.schema["doc_id"].dataType, ("text", T.StringType()), ("seq", T.BinaryType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            seqs = [sequence_key(word_hashes(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(seqs, pa.binary())], schema.names)
+
+    wanted = small_side(wanted)
+    named = whole_texts(docs).join(wanted.select("rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").mapInArrow(run, schema)
+    nodes = wanted.withColumnRenamed("seq", "_seq")
+    found = named.join(nodes, (F.col("seq") == F.col("_seq")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.col("node").alias("doc_id"), "text")
+    found = stored(found, "candidates")
+    n = found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("nodes")).first()
+    return found if n["rows"] == n["nodes"] else stored(found.dropDuplicates(["doc_id"]), "candidates")  # rows equal in id and words
+
+
 def distance(a, b):
     """Number of differing 16-bit values of two signatures given as arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
@@ -228,14 +250,15 @@ def classes_of(reps: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    texts = whole_texts(docs)
     rows = stored(signed(docs), "signatures")
     groups = rows.where("seq is not null").groupBy("seq").agg(F.min("doc_id").alias("rep"), F.any_value("sign").alias("sign"))
-    groups = stored(groups, "representatives")
-    reps = groups.select(F.col("rep").alias("doc_id"), "sign")
+    # a node is the number of its word sequence, fixed once it is written; up to the end doc_id is the node
+    groups = stored(groups.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    reps = groups.select(F.col("node").alias("doc_id"), "sign")
     shared, near = by_hubs(bucket_keys(reps), reps)
     # only representatives that share a bucket are looked at again
-    texts = stored(texts.join(small_side(shared.select("doc_id").distinct()), "doc_id", "left_semi"), "candidates")
+    seen = shared.select(F.col("doc_id").alias("node")).distinct()
+    texts = candidates(docs, groups.select("seq", "rep", "node").join(seen, "node"))
     # the nearest hub first: most copies are settled by one comparison
     links = None
     tested = near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
@@ -251,9 +274,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_docs = shared.join(spread.select("key"), "key", "left_semi").select("doc_id").distinct()
     more = materialize(rest(open_docs, classes, texts, percent))
     links = links.unionByName(confirmed(more, texts, percent))
-    classes = classes_of(reps, links)
-    # the class is named by its smallest doc_id, which is the representative of its own copies
-    named = groups.select("seq", "rep").join(classes, F.col("rep") == F.col("doc_id")).select("seq", "root")
-    return rows.join(named, "seq", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), (F.coalesce("root", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+    placed = groups.join(classes_of(reps, links), F.col("node") == F.col("doc_id")).select("seq", "rep", "root")
+    # the class is named by its smallest doc_id
+    names = placed.groupBy("root").agg(F.min("rep").alias("name"))
+    named = placed.join(names, "root").select("seq", "name")
+    component = F.coalesce("name", "doc_id")
+    return rows.join(named, "seq", "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -343,6 +343,34 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (2, 2, True)]
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    rows = planted(8, seed=5)
+    own = brute_classes(rows)
+    # every third row has no id, others share one of seven: the class of a row is that of its own text
+    ids = [None if i % 3 == 0 else i % 7 for i, _ in rows]
+    rows2 = [(d, t) for d, (_, t) in zip(ids, rows)] + [(ids[5], rows[5][1]), (ids[5], rows[5][1]), (None, None), (3, ""), (None, rows[0][1])]
+    owner = [own[i][1] for i, _ in rows] + [own[5][1]] * 2 + [None, None, own[0][1]]
+    least = {}
+    for root, (d, _) in zip(owner, rows2):
+        if root is not None and d is not None:
+            least[root] = min(d, least.get(root, d))
+    want = []
+    for root, (d, t) in zip(owner, rows2):
+        name = d if root is None else least.get(root)
+        want.append((d, brute_classes([(0, t or "")])[0][0], name, name == d))
+    df = spark.createDataFrame(rows2, "doc_id long, text string")
+    got = [tuple(r) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_of_long_texts(spark):
+    words = [f"w{i * 7919 % 50021}" for i in range(60_000)]
+    near = words[:50] + ["x"] * 20 + words[70:]
+    far = words[:20_000] + [f"v{i}" for i in range(40_000)]
+    df = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate([words, near, far])], "doc_id int, text string, node int")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(5)
     for errors in (0, 12, 2 * neardup.CHUNKS - 1):
