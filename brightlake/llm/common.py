@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightlake.session import materialize
+from brightlake.session import stored
 
 SLICE_BYTES = 4 << 20
 
@@ -82,11 +82,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over the undirected links (a, b); nodes with links only.
 
     Every round takes the smallest root among the neighbours and then follows the root's own root, so
-    chains halve; a round's table is checkpointed in the shared folder. Stops when nothing changes.
+    chains halve; a round's table is written to the shared folder as Parquet, which computes it once. Stops when nothing changes.
     """
     links = links.select("a", "b").where("a <> b")
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
     while True:
         near = (
             both.join(roots.select(F.col("node").alias("b"), "root"), "b")
@@ -98,7 +98,7 @@ def components(links: DataFrame) -> DataFrame:
         hooks = step.groupBy(F.col("root").alias("node")).agg(F.min("next").alias("hook"))
         moved = step.join(hooks, "node", "left").select("node", "root", F.least("next", F.coalesce("hook", "next")).alias("next"))
         jump = moved.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        after = materialize(moved.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("far", "next")).alias("root")))
+        after = stored(moved.join(jump, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("far", "next")).alias("root")), "roots")
         changed = after.where("root <> was").limit(1).count()
         roots = after.select("node", "root")
         if not changed:

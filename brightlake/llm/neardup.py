@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from brightlake.llm.common import components, slices, whole_texts
-from brightlake.session import materialize, small_side, stored
+from brightlake.session import small_side, stored
 
 SHINGLE = 5
 CHUNKS = 12
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def by_hubs(keys: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys of buckets with several members, and pairs (a, hub) within the signature distance d."""
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(keys.join(sizes, "key"))
+    shared = stored(keys.join(sizes, "key"), "buckets")
     weight = shared.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     order = F.struct("weight", F.xxhash64("doc_id"))
     hubs = shared.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", order).alias("hub"))
@@ -216,7 +216,7 @@ def by_hubs(keys: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("a", "b", distance("x", "y").alias("d"))
         .where(F.col("d") < 2 * CHUNKS)
     )
-    return shared, materialize(near)
+    return shared, stored(near, "near")
 
 
 def rest(open_docs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +234,7 @@ def rest(open_docs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
         "doc_id", "size", alone.alias("alone"), F.posexplode(F.slice("order", 1, (first - alone).cast("int"))).alias("at", "x")
     )
     heads = heads.select("doc_id", "size", (F.col("at") + F.col("alone")).alias("at"), F.col("x.shingle").alias("shingle"))
-    heads = materialize(heads.join(classes, "doc_id"))
+    heads = stored(heads.join(classes, "doc_id"), "heads")
     a = heads.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("at").alias("pa"), F.col("root").alias("ra"), "shingle")
     b = heads.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("at").alias("pb"), F.col("root").alias("rb"), "shingle")
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
@@ -263,16 +263,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = None
     tested = near.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     for turn in range(ROUNDS):
-        tested = materialize(tested.select("a", "b"))
-        good = materialize(confirmed(tested, texts, percent))
-        links = good if links is None else materialize(links.unionByName(good))
-        classes = materialize(classes_of(reps, links))
+        tested = stored(tested.select("a", "b"), "pairs")
+        good = stored(confirmed(tested, texts, percent), "links")
+        links = good if links is None else links.unionByName(good)
+        classes = stored(classes_of(reps, links), "classes")
         near = near.join(tested, ["a", "b"], "left_anti")
         of = lambda c: classes.select(F.col("doc_id").alias(c), F.col("root").alias(f"r{c}"))
         tested = near.join(of("a"), "a").join(of("b"), "b").where("ra <> rb")
     spread = shared.join(classes, "doc_id").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_docs = shared.join(spread.select("key"), "key", "left_semi").select("doc_id").distinct()
-    more = materialize(rest(open_docs, classes, texts, percent))
+    more = stored(rest(open_docs, classes, texts, percent), "pairs")
     links = links.unionByName(confirmed(more, texts, percent))
     placed = groups.join(classes_of(reps, links), F.col("node") == F.col("doc_id")).select("seq", "rep", "root")
     # the class is named by its smallest doc_id
