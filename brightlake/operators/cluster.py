@@ -9,12 +9,13 @@ import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from brightlake.functions.columns import categorical_columns, col, num, numeric_columns, percent, stack_rows
-from brightlake.operators.reduce import FEATURES, feature_matrix
+from brightlake.operators.reduce import FEATURES, feature_matrix, scaled_columns
 from brightlake.plans.running import quantiles
-from brightlake.session import small_side
+from brightlake.plans.spanning import Tree, spanning_tree, tree_parts
+from brightlake.session import BROADCAST_ROWS, small_side
 
 LABEL = "cluster"
 MAX_CENTRES = 2000
@@ -75,6 +76,43 @@ def hierarchical(df: DataFrame, n: int = 3, columns: Sequence[str] | None = None
     return _in_order(model.transform(data), model.clusterCenters())[0].drop(FEATURES)
 
 
+def _linkage_tree(df: DataFrame, names: Sequence[str], scaler: str | None) -> tuple[DataFrame, list[str], Tree]:
+    """Rows with the axes of their points (gaps filled and scaled, or as they are) and the tree of these."""
+    axes = [f"_f_{c}" for c in names]
+    wide = scaled_columns(df, names, scaler) if scaler else df.withColumns({a: num(c) for a, c in zip(axes, names)})
+    return wide, axes, spanning_tree(wide, axes)
+
+
+def single_linkage(df: DataFrame, n: int = 3, columns: Sequence[str] | None = None, scaler: str | None = "standard") -> DataFrame:
+    """Bottom-up merging of the closest clusters until ``n`` are left, exact: ``df`` with a ``cluster`` column,
+    numbered by the centres.
+
+    The spanning tree of the scaled points, without its n - 1 longest edges. Fewer distinct points than ``n``
+    give a cluster each; a row without coordinates has none.
+    """
+    if n < 1:
+        raise ValueError("at least one cluster")
+    names = list(columns or numeric_columns(df))
+    wide, axes, tree = _linkage_tree(df, names, scaler)
+    longest = tree.edges.orderBy(F.desc("distance"), F.desc("a"), F.desc("b")).limit(n - 1).select("a", "b")
+    parts = tree_parts(tree.points.select("id"), tree.edges.join(longest, ["a", "b"], "left_anti"))
+    placed = tree.points.join(parts, "id")
+    centre = F.array(*[F.round(F.try_divide(F.sum(col(a) * F.col("n")), F.sum("n")), 9) for a in axes])
+    order = Window.orderBy("_c", "root")  # one row per cluster
+    numbers = placed.groupBy("root").agg(centre.alias("_c")).select("root", (F.row_number().over(order) - 1).alias(LABEL))
+    labels = placed.join(F.broadcast(numbers) if n <= BROADCAST_ROWS else numbers, "root").select(*[col(a) for a in axes], LABEL)
+    kept = [c for c in df.columns if c != LABEL]
+    return wide.drop(LABEL).join(labels, axes, "left").select(*[col(c) for c in kept], LABEL)
+
+
+def linkage_heights(df: DataFrame, columns: Sequence[str] | None = None, scaler: str | None = "standard", last: int = 30) -> DataFrame:
+    """(clusters, distance): at which distance single linkage comes down to that many clusters, for its ``last``
+    merges: the upper part of a dendrogram."""
+    tree = _linkage_tree(df, list(columns or numeric_columns(df)), scaler)[2]
+    top = tree.edges.select("distance").orderBy(F.desc("distance")).limit(last)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("distance"))).alias("clusters"), "distance")
+
+
 def _gmm_fit(data: DataFrame, n: int, seed: int):
     return GaussianMixture(k=n, seed=seed, featuresCol=FEATURES, maxIter=100).fit(data)
 

@@ -132,6 +132,48 @@ def _(spark, sf):
     return cl.hierarchical(table(spark, sf, "part").select("p_partkey", *PART), 3, PART)
 
 
+# In one column the tree joins neighbouring values, and clusters end at the widest gaps.
+GAPS = """v AS (SELECT DISTINCT o_totalprice AS x FROM orders),
+    g AS (SELECT x, x - lag(x) OVER (ORDER BY x) AS gap FROM v),
+    r AS (SELECT x, gap, row_number() OVER (ORDER BY gap DESC NULLS LAST, x DESC) AS k FROM g)"""
+
+
+@register(
+    "l12_single_linkage",
+    f"""WITH {GAPS}, e AS (SELECT x FROM r WHERE k <= 4 AND gap IS NOT NULL)
+    SELECT o_orderkey, (SELECT count(*) FROM e WHERE e.x <= o_totalprice) AS cluster FROM orders""",
+)
+def _(spark, sf):
+    out = cl.single_linkage(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 5, ["o_totalprice"], scaler=None)
+    return out.select("o_orderkey", F.col("cluster").cast("long").alias("cluster"))
+
+
+@register(
+    "l12_linkage_heights",
+    f"WITH {GAPS} SELECT CAST(k AS INT) AS clusters, gap AS distance FROM r WHERE k <= 30 AND gap IS NOT NULL",
+    dec="distance:4",
+)
+def _(spark, sf):
+    return cl.linkage_heights(table(spark, sf, "orders"), ["o_totalprice"], scaler=None)
+
+
+@register(
+    "l12_linkage_two_columns",
+    f"""WITH RECURSIVE p AS (SELECT s_suppkey AS id, {std('s_acctbal', 'supplier')} AS x, {std('s_nationkey', 'supplier')} AS y FROM supplier),
+    d AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS far FROM p a JOIN p b ON a.id <> b.id),
+    t AS (SELECT [min(id)] AS done, CAST(NULL AS DOUBLE) AS far FROM p
+        UNION ALL
+        SELECT list_append(n.done, n.b), n.far FROM (
+            SELECT t.done, d.b, d.far, row_number() OVER (ORDER BY d.far, d.b) AS k FROM t, d
+            WHERE list_contains(t.done, d.a) AND NOT list_contains(t.done, d.b)) n WHERE k = 1)
+    SELECT CAST(row_number() OVER (ORDER BY far DESC) AS INT) AS clusters, far AS distance FROM t WHERE far > 0
+    QUALIFY clusters <= 30""",
+    dec="distance",
+)
+def _(spark, sf):
+    return cl.linkage_heights(table(spark, sf, "supplier"), ["s_acctbal", "s_nationkey"])
+
+
 @register("l13_gmm")
 def _(spark, sf):
     return cl.gmm(table(spark, sf, "part").select("p_partkey", *PART), 2, PART)
