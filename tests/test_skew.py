@@ -97,3 +97,37 @@ def test_keys_of_other_types_join_plainly(spark):
     right = spark.createDataFrame([(1.0, 5)], "b double, y int")
     assert not skew.comparable(left, right, [("a", "b")])
     assert rows(skew.split_join(left, right, [("a", "b")], "inner", {1: 2}, {})) == Counter({("1", 1, 1.0, 5): 1})
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("swap", [False, True])
+def test_keys_with_many_pairs_are_split(spark, kind, swap, monkeypatch):
+    # no key holds many rows, but key 0 and null give 200 * 20 pairs each
+    big = spark.range(1000).select(F.when(F.col("id") % 5 == 1, None).otherwise(F.col("id") % 5).alias("a"), F.col("id").alias("x"))
+    small = spark.range(80).select(F.when(F.col("id") % 4 == 1, None).otherwise(F.col("id") % 4 * F.lit(3)).alias("b"), F.col("id").alias("y"))
+    left, right, on = (small, big, [("b", "a")]) if swap else (big, small, [("a", "b")])
+    want = rows(left.join(right, F.col("a").eqNullSafe(F.col("b")), kind))
+    monkeypatch.setattr(skew, "PAIRS", 500)
+    hot, rest, many = skew.crowded(*(skew.hot_keys(df, [[k]])[0] for df, k in ((left, on[0][0]), (right, on[0][1]))))
+    assert many and sorted((rest if swap else hot).values()) == [8, 8] and not (hot if swap else rest)
+    got = skew.split_join(left, right, on, kind)
+    assert rows(got) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = skew.split_join(left, right, on, "inner").where("a = 0").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 4000 and len(tasks) > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_salted_rows_are_joined_by_many_tasks(spark):
+    # a side small enough for a broadcast must not leave the salted rows in the task that reads them
+    left = spark.range(800).select(F.lit(1).alias("k"), F.col("id").alias("x")).coalesce(1)
+    right = spark.range(10).select(F.lit(1).alias("k"), F.col("id").alias("y"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in ("inner", "left", "right", "outer"):
+            tasks = join.merge(left, right, "k", how, salt=8).groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in tasks) == 8000 and len(tasks) > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
