@@ -95,7 +95,7 @@ def single_linkage(df: DataFrame, n: int = 3, columns: Sequence[str] | None = No
     names = list(columns or numeric_columns(df))
     wide, axes, tree = _linkage_tree(df, names, scaler)
     longest = tree.edges.orderBy(F.desc("distance"), F.desc("a"), F.desc("b")).limit(n - 1).select("a", "b")
-    parts = tree_parts(tree.points.select("id"), tree.edges.join(longest, ["a", "b"], "left_anti"))
+    parts = tree_parts(tree.points.select("id"), tree.edges.join(longest, ["a", "b"], "left_anti"), tree.chain)
     placed = tree.points.join(parts, "id")
     centre = F.array(*[F.round(F.try_divide(F.sum(col(a) * F.col("n")), F.sum("n")), 9) for a in axes])
     order = Window.orderBy("_c", "root")  # one row per cluster

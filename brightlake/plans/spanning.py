@@ -7,6 +7,9 @@ outgoing edge. The edges still open inside boxes, or a probe into the closest fo
 and only points within that bound of a box with foreign points look into it. Components are joined along the
 chosen edges until one is left; each round at least halves them.
 
+In one column the tree joins every value to the next (``Tree.chain``): no boxes and no rounds, but the order of the
+values, inside range partitions and across their ends. Its components are runs of that order.
+
 Equal lengths are ordered by the two points, which are numbered in the order of their coordinates, so the
 tree does not depend on how rows are dealt to tasks.
 """
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightlake.functions.columns import col, num
 from brightlake.plans.nearest import SHARE, Boxes, _chunk_count, _per_box, _placed, build_boxes, matrix
@@ -33,10 +36,11 @@ INSIDE = 1 - 1e-12  # an edge must be shorter than the way to the border by more
 
 @dataclass
 class Tree:
-    """``points``: (id, axes..., n copies); ``edges``: (a, b, distance) with a < b."""
+    """``points``: (id, axes..., n copies); ``edges``: (a, b, distance) with a < b; ``chain``: ids in order are the tree."""
 
     points: DataFrame
     edges: DataFrame
+    chain: bool = False
 
 
 def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -246,6 +250,31 @@ def _foreign(visits: DataFrame, points: DataFrame, axes: list[str], boxes: Boxes
     return both.mapInArrow(run, f"root long, {EDGE}")
 
 
+def _range() -> Column:
+    """Range partition of an id, from ``monotonically_increasing_id``: later partitions hold larger ids."""
+    return F.shiftright("id", 33).alias("_p")
+
+
+def _chain(points: DataFrame, axis: str) -> DataFrame:
+    """(a, b, distance) of every value and the next. Only the ends of the range partitions meet in one window."""
+    rows = points.select("id", col(axis).alias("x"), _range()).withColumn("_e", F.struct("id", "x"))
+    ends = rows.groupBy("_p").agg(F.max("_e").alias("_e"))  # a row per range partition
+    ends = ends.select("_p", F.lag("_e").over(Window.orderBy("_p")).alias("_l"))
+    before = F.coalesce(F.lag("_e").over(Window.partitionBy("_p").orderBy("id")), F.col("_l"))
+    steps = rows.join(F.broadcast(ends), "_p").select("id", "x", before.alias("_b")).where(F.col("_b").isNotNull())
+    return steps.select(F.col("_b.id").alias("a"), F.col("id").alias("b"), (F.col("x") - F.col("_b.x")).alias("distance"))
+
+
+def _runs(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): components of a chain. An id without an edge to the one before begins a component."""
+    joined = edges.select(F.col("b").alias("_b"))
+    rows = stored(ids.join(joined, F.col("id") == F.col("_b"), "left").select("id", _range(), F.when(F.col("_b").isNull(), F.col("id")).alias("_s")))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    begun = rows.groupBy("_p").agg(F.max("_s").alias("_s")).select("_p", F.max("_s").over(earlier).alias("_c"))  # a row per range partition
+    own = F.max("_s").over(Window.partitionBy("_p").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    return stored(rows.join(F.broadcast(begun), "_p").select("id", F.coalesce(own, F.col("_c")).alias("root")))
+
+
 def spanning_tree(df: DataFrame, axes: Sequence[str], block: int = BLOCK) -> Tree:
     """Tree of the distinct points of ``df``. Rows with a missing or infinite coordinate are left out; no
     point or a single one has no edge."""
@@ -258,6 +287,8 @@ def spanning_tree(df: DataFrame, axes: Sequence[str], block: int = BLOCK) -> Tre
     points = known.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
     # numbers rise with the coordinates, however many partitions the sort has
     points = stored(points.orderBy(*axes).withColumn("id", F.monotonically_increasing_id()))
+    if len(axes) == 1:
+        return Tree(points, stored(_chain(points, axes[0])), chain=True)
     boxes = build_boxes(points, axes, [1] * len(axes), block)
     chunks = {b: _chunk_count(boxes, b, block) for b in boxes.leaves()}
     chunked = {b for b, c in chunks.items() if c > 1}
@@ -317,9 +348,11 @@ def _tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"old": ends, "new": ends[[top(i) for i in range(len(ends))]]}).astype("int64")
 
 
-def tree_parts(ids: DataFrame, edges: DataFrame) -> DataFrame:
+def tree_parts(ids: DataFrame, edges: DataFrame, chain: bool = False) -> DataFrame:
     """(id, root): components of a forest (a, b, distance), contracted round by round along the least edges
-    until the edges left are few enough for one task."""
+    until the edges left are few enough for one task. What is left of a ``chain`` needs no rounds."""
+    if chain:
+        return _runs(ids, edges)
     state = ids.select("id", F.col("id").alias("root"))
     edges = stored(edges.select("a", "b", "distance", F.col("a").alias("ra"), F.col("b").alias("rb")))
     while edges.count() > BROADCAST_ROWS:

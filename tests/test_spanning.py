@@ -115,3 +115,27 @@ def test_linkage_heights(spark):
     x = np.array([[0.0], [1.0], [3.0], [7.0], [7.0]])
     rows = cl.linkage_heights(frame(spark, x), ["x0"], scaler=None).orderBy("clusters").collect()
     assert [(r["clusters"], r["distance"]) for r in rows] == [(1, 4.0), (2, 2.0), (3, 1.0)]
+
+
+def test_one_column_needs_no_boxes_and_no_rounds(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("not for one column")
+
+    x = np.round(islands(8, 900, 1), 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several range partitions
+    try:
+        monkeypatch.setattr(spanning, "build_boxes", never)
+        tree = spanning_tree(frame(spark, np.r_[x, x]).repartition(3), ["x0"])
+        assert tree.points.select(F.shiftright("id", 33)).distinct().count() > 3
+        assert lengths(tree) == pytest.approx(dense_lengths(x))
+        kept = tree.edges.where("distance < 0.2")
+        ids = tree.points.select("id")
+        want = {tuple(r) for r in tree_parts(ids, kept).collect()}
+        monkeypatch.setattr(spanning, "_joined", never)
+        monkeypatch.setattr(spanning, "_tops", never)
+        assert {tuple(r) for r in tree_parts(ids, kept, tree.chain).collect()} == want and len({r for _, r in want}) > 3
+        for rows in ([], [(1.5,)]):
+            few = spanning_tree(spark.createDataFrame(rows, "x0 double"), ["x0"])
+            assert few.edges.count() == 0 and tree_parts(few.points.select("id"), few.edges, few.chain).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
