@@ -6,8 +6,8 @@ further words: a line with at most v variable words has v + 1 runs, so one run a
 template share it. Within a group every word of a line has a number of lines with that word there; the words at least as
 frequent as the least of the most frequent ``ALIKE`` (rounded up, in ``least_docs`` lines or more) are constant, the others
 become ``<*>``. How many other lines the leaf holds does not matter. A line takes the template of the most lines among those of
-its groups, if another line has it too; any other line is its own template. A line looks into its ``GROUPS`` largest groups:
-all runs of lines up to 18 words. Templates found in at least ``least_docs`` documents recur: their first line
+its groups, if another line has it too; any other line is its own template. A line looks into all its groups; groups
+of the same lines are one. Templates found in at least ``least_docs`` documents recur: their first line
 (by doc_id, then text, then line number) stays, all others are dropped.
 
 A document is a row's (doc_id, text): rows equal in both count as one and are treated alike. Blank
@@ -26,7 +26,6 @@ LEAST_DOCS = 3
 DEPTH = 3
 ALIKE = 0.75
 LEAST_CONSTANT = 3
-GROUPS = 4
 _VARIABLE = "<*>"
 
 
@@ -57,9 +56,11 @@ def generalised(docs: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame
     begin = lambda i: F.floor(i * further / parts).cast("int")
     run = lambda i: F.xxhash64("leaf", i, F.slice("words", begin(i) + DEPTH + 1, begin(i + 1) - begin(i)))
     runs = kinds.select("h1", "h2", "n", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), run)).alias("group"))
-    sizes = runs.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("lines")).where((F.col("kinds") > 1) & (F.col("lines") >= least_docs))
-    own = runs.join(small_side(sizes.select("group", "lines")), "group").groupBy("h1", "h2")
-    own = own.agg(F.slice(F.sort_array(F.collect_list(F.struct("lines", "group")), False), 1, GROUPS)["group"].alias("groups"))  # a line's runs
+    members = F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("lines"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2")
+    sizes = runs.groupBy("group").agg(*members).where((F.col("kinds") > 1) & (F.col("lines") >= least_docs))
+    # named by its lines, a group that several runs of a long line share is looked into once
+    own = runs.join(small_side(sizes.select("group", F.xxhash64("kinds", "lines", "x1", "x2").alias("same"))), "group").groupBy("h1", "h2")
+    own = own.agg(F.collect_set("same").alias("groups"))  # at most a line's runs
     rows = materialize(kinds.join(own, ["h1", "h2"]).select("h1", "h2", "n", "words", "groups"))
 
     cells = rows.select("h1", "h2", "n", "words", F.explode("groups").alias("group"))

@@ -96,6 +96,23 @@ def test_templates_in_a_crowded_leaf(spark):
     assert [got[len(own) + len(noise) + i] for i in range(3)] == [0, 1, 1]
 
 
+def test_long_lines_look_into_all_their_groups(spark):
+    # forty further words in eleven runs: only the last run is free of variable words, and of each of four
+    # lines five other runs stand in more lines than the template has
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    begin = [i * 40 // 11 for i in range(12)]
+    targets = [[f"v{letters(j)}x{letters(i)}" if i in begin[:10] else f"c{letters(i)}" for i in range(40)] for j in range(4)]
+    rows = [(j, " ".join(["one", "two", "three", *t])) for j, t in enumerate(targets)]
+    for j, t in enumerate(targets):
+        for run in range(5):
+            for k in range(4):
+                own = [f"d{letters(j)}r{letters(run)}k{letters(k)}x{letters(i)}" for i in range(40)]
+                own[begin[run] : begin[run + 1]] = t[begin[run] : begin[run + 1]]
+                rows.append((len(rows), " ".join(["one", "two", "three", *own])))
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, n in got.items() if n} == {1, 2, 3} and len(got) == 84
+
+
 def test_line_dedup_edges(spark, odd):
     got = lines.drop_recurring(odd, least_docs=2).collect()
     assert len(got) == odd.count() and {"score", "n_words", "n_lines", "n_dropped"} <= set(got[0].asDict())
