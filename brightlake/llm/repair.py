@@ -2,7 +2,8 @@
 
 A shard is a run of whole documents in ascending doc_id order with at least ``SHARD_IDS`` ids (the last
 of a range may have fewer). Frequent neighbouring pairs are replaced by nonterminals, round after
-round; a round replaces its ``RULES_A_ROUND`` most frequent pairs at once. Pairs across the end of a
+round, until no pair is left ``LEAST`` times; a round replaces all pairs at least half as frequent as its most frequent
+one, or the ``RULES_A_ROUND`` most frequent ones if these are more. Pairs across the end of a
 document stay apart, so the symbols of one document can be cut out and expanded on their own.
 
 File format: a Parquet table with a row per shard: ``part, shard`` (order of the ids), ``doc_ids,
@@ -28,49 +29,58 @@ from brightlake.llm.common import cut_points, range_of, slices, whole_texts
 
 SHARD_IDS = 1 << 20
 RULES_A_ROUND = 1024
-ROUNDS = 3
 LEAST = 16  # occurrences that make a rule worth its place
 FIRST = 1 << 20  # symbols from here on are nonterminals
 _BINS = 18
+_PASSES = 8  # over places that overlap; what is left after them waits for the next round
 
 
-def compress(ids: np.ndarray, last: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """(symbols, last, rules, rules after each round); ``last`` marks the last symbol of a document."""
     s, rules, sizes = ids.astype(np.uint32), [], []
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         h = (s[:-1] * np.uint32(2654435761) ^ (s[1:] + np.uint32(1)) * np.uint32(2246822519)) >> np.uint32(32 - _BINS)
-        h[last[:-1]] = 0
-        bins = np.bincount(h, minlength=1 << _BINS)
-        bins[0] = 0  # one bin is given up for the pairs across documents
-        least = max(LEAST, int(np.partition(bins, -RULES_A_ROUND)[-RULES_A_ROUND]))
-        at = np.flatnonzero((bins >= least)[h])
-        if not len(at):
-            break
-        pairs = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
-        kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:RULES_A_ROUND]
-        top = top[counts[top] >= LEAST]
-        if not len(top):
+        h[last[:-1]] = 1 << _BINS  # a bin of their own for the pairs across documents
+        bins = np.bincount(h, minlength=(1 << _BINS) + 1)
+        bins[-1] = 0
+        often = min(int(np.partition(bins, -RULES_A_ROUND)[-RULES_A_ROUND]), int(bins.max()) // 2)
+        for least in (max(LEAST, often), LEAST):  # a full bin may hold rare pairs only: then all that can be frequent are counted
+            at = np.flatnonzero((bins >= least)[h])
+            pairs = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+            kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+            top = np.argsort(-counts, kind="stable")
+            top = top[: max(RULES_A_ROUND, int((2 * counts >= counts.max(initial=0)).sum()))]
+            top = top[counts[top] >= LEAST]
+            if len(top):
+                break
+        else:
             break
         number = np.full(len(kinds), -1)
         number[top] = np.arange(len(top))
         good = number[which] >= 0
         at, rank = at[good], number[which[good]]
         # of overlapping places the more frequent pair wins, of equal ones the first
-        touch = np.diff(at) == 1
-        keep = np.ones(len(at), bool)
-        keep[1:] &= ~(touch & (rank[:-1] <= rank[1:]))
-        keep[:-1] &= ~(touch & (rank[1:] < rank[:-1]))
-        at, rank = at[keep], rank[keep]
+        chosen, free = np.zeros(len(at), bool), np.ones(len(at), bool)
+        for _ in range(_PASSES):
+            left = np.flatnonzero(free)
+            if not len(left):
+                break
+            touch, r = np.diff(at[left]) == 1, rank[left]
+            keep = np.ones(len(left), bool)
+            keep[1:] &= ~(touch & (r[:-1] <= r[1:]))
+            keep[:-1] &= ~(touch & (r[1:] < r[:-1]))
+            gone = keep.copy()
+            gone[1:] |= touch & keep[:-1]
+            gone[:-1] |= touch & keep[1:]
+            chosen[left[keep]], free[left[gone]] = True, False
+        at, rank = at[chosen], rank[chosen]
         s[at] = (FIRST + len(rules) // 2 + rank).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         s, last = s[stay], last[stay]
-        chosen = kinds[top]
-        rules += np.column_stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)]).ravel().tolist()
+        made = kinds[top]
+        rules += np.column_stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).ravel().tolist()
         sizes.append(len(rules) // 2)
     return s, last, np.array(rules, np.uint32), sizes
 

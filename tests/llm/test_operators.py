@@ -448,6 +448,18 @@ def test_token_shards_round_trip(spark, docs, odd, library):
         assert repair.document_ids(shard, place).astype("<u4").tobytes() == bytes(whole[doc])
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    # one sequence of 200 ids again and again takes eight rounds of halving
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.r_[np.tile(np.arange(10, 210), 40), rng.integers(1000, 60000, 50), 2] for _ in range(30)]).astype(np.uint32)
+    last = ids == 2
+    s, ends, rules, rounds = repair.compress(ids, last.copy())
+    assert (repair.expand(s.copy(), rules, rounds) == ids).all() and len(rounds) > 3
+    inner = ~ends[:-1]
+    pairs = np.column_stack([s[:-1], s[1:]])[inner]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < repair.LEAST
+
+
 def test_repair_on_runs():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(500), rng.integers(0, 3, 4000), np.tile([1, 2, 3, 4], 600), np.arange(3), np.zeros(0)):
