@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from brightlake.functions.columns import col, is_numeric, num, numeric_columns, ratio
 from brightlake.operators.impute import medians, with_gaps
 from brightlake.plans.sampling import hash_order
-from brightlake.session import materialize
+from brightlake.session import even_shares, materialize
 
 X, Y, TEST = "features", "label", "is_test"
 
@@ -50,6 +50,8 @@ def _fit(data: DataFrame, key: Sequence[str], estimator, classify: bool):
     if classify:
         stages.append(StringIndexer(inputCol=Y, outputCol="_y", stringOrderType="alphabetAsc").fit(data))
     train = data.where(~F.col(TEST))
+    if isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)):
+        train = even_shares(train)
     model = Pipeline(stages=[*stages, estimator]).fit(train)
     scored = model.transform(data.where(TEST))
     if classify:

@@ -20,7 +20,7 @@ from brightlake.functions.columns import (
     stack_rows,
 )
 from brightlake.plans.running import SMALL_ROWS, quantile_row, running_totals, value_cells
-from brightlake.session import BROADCAST_ROWS, materialize
+from brightlake.session import BROADCAST_ROWS, even_shares, materialize
 
 PAIRS_PER_JOB = 500
 
@@ -323,6 +323,7 @@ def forest_importance(
         *[col(c).cast("string").alias(c) for c in texts],
         (num(target) if regression else col(target).cast("string")).alias(target),
     ).dropna()
+    data = even_shares(data)
     stages = []
     for c in texts:
         stages.append(StringIndexer(inputCol=c, outputCol=f"_i_{c}", stringOrderType="alphabetAsc"))

@@ -75,3 +75,13 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+SHARE_ROWS = 100_000
+
+
+def even_shares(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows (counted) if it comes in fewer and larger ones. For fits that keep
+    far more per row than the table does, such as the draws of every tree of a forest."""
+    parts = -(-df.count() // (rows or SHARE_ROWS))
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df

@@ -122,3 +122,19 @@ def test_models_are_compared_with_criteria(spark):
     )
     assert {(r["model"], r["aic"] is None) for r in table.collect()} == {("last", True), ("ar_1_1", False)}
     assert table.where(F.col("rmse").isNull()).count() == 0
+
+
+def test_forests_train_on_even_shares(spark, monkeypatch):
+    # all rows come in one partition: no task may hold the draws of all trees for all of them
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from brightlake import session
+    from brightlake.operators import model, relate
+
+    seen, fit = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, data: seen.append((data.rdd.getNumPartitions(), data.count())) or fit(self, data))
+    monkeypatch.setattr(session, "SHARE_ROWS", 100)
+    df = spark.range(1000).coalesce(1).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 7 * 2.0).alias("y"))
+    assert model.random_forest_regression(model.prepare_ml(df, "y", ["id"]), ["id"], trees=3).count() > 100
+    assert relate.forest_importance(df, "y", ["x"], trees=3).first()["importance"] == pytest.approx(1)
+    assert len(seen) == 2 and all(parts >= rows / 100 for parts, rows in seen)
