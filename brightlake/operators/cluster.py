@@ -6,16 +6,17 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightlake.functions.columns import categorical_columns, col, num, numeric_columns, percent, stack_rows
 from brightlake.operators.reduce import FEATURES, feature_matrix, scaled_columns
+from brightlake.plans.fits import fit_centres, fit_mixtures, pack, quality
 from brightlake.plans.running import quantiles
 from brightlake.plans.spanning import Tree, spanning_tree, tree_parts
-from brightlake.session import BROADCAST_ROWS, small_side
+from brightlake.session import BROADCAST_ROWS, small_side, stored
 
 LABEL = "cluster"
 MAX_CENTRES = 2000
@@ -46,25 +47,36 @@ def silhouette(points: DataFrame, label: str = LABEL, features: str = FEATURES)
     return ClusteringEvaluator(featuresCol=features, predictionCol=label, metricName="silhouette").evaluate(points)
 
 
+def _nearest(axes: Sequence[str], centres: np.ndarray) -> Column:
+    """Number of the nearest centre, the first of equally near ones."""
+    far = F.array(*[sum(((col(a) - F.lit(float(v))) * (col(a) - F.lit(float(v))) for a, v in zip(axes, c)), F.lit(0.0)) for c in centres])
+    return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+
+
 def kmeans(df: DataFrame, k: int = 3, columns: Sequence[str] | None = None, scaler: str = "standard", seed: int = 42) -> DataFrame:
     """``df`` with a ``cluster`` column; clusters are numbered by their centres."""
-    data = feature_matrix(df, columns, scaler)
-    model = KMeans(k=k, seed=seed, featuresCol=FEATURES, maxIter=50).fit(data)
-    return _in_order(model.transform(data), model.clusterCenters())[0].drop(FEATURES)
+    names = list(columns or numeric_columns(df))
+    wide, axes = scaled_columns(df, names, scaler), [f"_f_{c}" for c in names]
+    blocks = pack(wide, axes)
+    try:
+        centres = fit_centres(blocks, len(axes), [k], seed)[k]
+    finally:
+        blocks.unpersist()
+    return _in_order(wide.withColumn("prediction", _nearest(axes, centres)), centres)[0].drop(*axes)
 
 
 def kmeans_centres(df: DataFrame, k: int = 3, columns: Sequence[str] | None = None, scaler: str = "standard", seed: int = 42) -> DataFrame:
     """(cluster, size, one column per feature) in scaled units, with the overall silhouette."""
     names = list(columns or numeric_columns(df))
-    data = working_set(feature_matrix(df, names, scaler).select(FEATURES))
+    axes = [f"_f_{c}" for c in names]
+    blocks = pack(scaled_columns(df, names, scaler), axes)
     try:
-        model = KMeans(k=k, seed=seed, featuresCol=FEATURES, maxIter=50).fit(data)
-        points, centres = _in_order(model.transform(data), model.clusterCenters())
-        sizes = {r[LABEL]: r["count"] for r in points.groupBy(LABEL).count().collect()}
-        score = silhouette(points)
+        centres = fit_centres(blocks, len(axes), [k], seed)[k]
+        found = quality(blocks, len(axes), [centres])[0]
     finally:
-        data.unpersist()
-    rows = [(i, sizes.get(i, 0), *c, score) for i, c in enumerate(centres)]
+        blocks.unpersist()
+    ranked = sorted(zip(centres.tolist(), found["sizes"]), key=lambda c: [round(v, 9) for v in c[0]])
+    rows = [(i, int(n), *c, found["silhouette"]) for i, (c, n) in enumerate(ranked)]
     fields = ", ".join(f"`{c}` double" for c in names)
     return df.sparkSession.createDataFrame(rows, f"cluster int, size long, {fields}, silhouette_squared double")
 
@@ -135,22 +147,19 @@ def _information(log_likelihood: float, k: int, d: int, rows: int) -> tuple[floa
 
 
 def optimal_gmm(df: DataFrame, max_components: int = 10, columns: Sequence[str] | None = None, scaler: str = "standard", seed: int = 42) -> DataFrame:
-    """(n_components, bic, aic, silhouette_squared, is_optimal): the smallest BIC wins."""
+    """(n_components, bic, aic, silhouette_squared, is_optimal): the smallest BIC wins. All mixtures are fitted in the same passes."""
     names = list(columns or numeric_columns(df))
-    data = working_set(feature_matrix(df, names, scaler).select(FEATURES))
+    wide, axes = scaled_columns(df, names, scaler), [f"_f_{c}" for c in names]
+    blocks = pack(wide, axes)
     try:
-        rows, total = [], data.count()
-        for k in range(1, max_components + 1):
-            if k == 1:
-                bic, aic = _single_gaussian(data, len(names), total)
-                rows.append((k, bic, aic, 0.0))
-                continue
-            model = _gmm_fit(data, k, seed)
-            bic, aic = _information(model.summary.logLikelihood, k, len(names), total)
-            points = model.transform(data).withColumnRenamed("prediction", LABEL)
-            rows.append((k, bic, aic, silhouette(points)))
+        total = df.count()
+        rows = [(1, *_single_gaussian(wide, axes, total), 0.0)]
+        if max_components > 1:
+            fits = fit_mixtures(blocks, len(axes), range(2, max_components + 1), seed)
+            scores = quality(blocks, len(axes), [model for model, _ in fits.values()])
+            rows += [(k, *_information(logs, k, len(axes), total), q["silhouette"]) for (k, (_, logs)), q in zip(fits.items(), scores)]
     finally:
-        data.unpersist()
+        blocks.unpersist()
     best = min(rows, key=lambda r: r[1])[0]
     return df.sparkSession.createDataFrame(
         [(*r, r[0] == best) for r in rows],
@@ -158,13 +167,10 @@ def optimal_gmm(df: DataFrame, max_components: int = 10, columns: Sequence[str]
     )
 
 
-def _single_gaussian(data: DataFrame, d: int, rows: int) -> tuple[float, float]:
+def _single_gaussian(wide: DataFrame, axes: Sequence[str], rows: int) -> tuple[float, float]:
     """One component in closed form: its covariance decides the likelihood."""
-    x = data.select(vector_to_array(FEATURES).alias("x"))
-    sums = x.agg(
-        F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(d)]).alias("m"),
-        F.array(*[F.covar_pop(F.element_at("x", i + 1), F.element_at("x", j + 1)) for i in range(d) for j in range(d)]).alias("c"),
-    ).first()
+    d = len(axes)
+    sums = wide.agg(F.array(*[F.covar_pop(col(a), col(b)) for a in axes for b in axes]).alias("c")).first()
     cov = np.array(sums["c"]).reshape(d, d) + 1e-9 * np.eye(d)
     log_likelihood = -0.5 * rows * (d * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + d)
     return _information(log_likelihood, 1, d, rows)
@@ -172,6 +178,19 @@ def _single_gaussian(data: DataFrame, d: int, rows: int) -> tuple[float, float]:
 
 # ---- quality -----------------------------------------------------------------------------------
 
+def _separation(n: np.ndarray, c: np.ndarray, within: float, s: np.ndarray) -> tuple[float | None, float | None]:
+    """(Calinski-Harabasz, Davies-Bouldin) from sizes, centres, squares within and mean distances; null for one cluster, or one a row."""
+    k, total = len(n), n.sum()
+    if not 1 < k < total:
+        return None, None
+    overall = (n[:, None] * c).sum(axis=0) / total
+    between = (n * ((c - overall) ** 2).sum(axis=1)).sum()
+    gap = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(gap, np.inf)
+    ch = float(between / (k - 1) / (within / (total - k))) if within else None
+    return ch, float(np.mean(((s[:, None] + s[None, :]) / gap).max(axis=1)))
+
+
 def centroid_metrics(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin from cluster sums, number of clusters, noise (label -1).
 
@@ -194,14 +213,7 @@ def centroid_metrics(df: DataFrame, label: str, columns: Sequence[str]) -> DataF
     c = np.array([[r[f"_c{i}"] for i in d] for r in table])
     within, s = sum(r["_w"] for r in table), np.array([r["_s"] for r in table])
     k, total = len(table), n.sum()
-    ch = db = None
-    if 1 < k < total:
-        overall = (n[:, None] * c).sum(axis=0) / total
-        between = (n * ((c - overall) ** 2).sum(axis=1)).sum()
-        ch = float(between / (k - 1) / (within / (total - k))) if within else None
-        gap = np.sqrt(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2))
-        np.fill_diagonal(gap, np.inf)
-        db = float(np.mean(((s[:, None] + s[None, :]) / gap).max(axis=1)))
+    ch, db = _separation(n, c, within, s)
     noise = int(sum(r["_n"] for r in table if r[LABEL] == -1))
     return df.sparkSession.createDataFrame(
         [(ch, db, k, noise, float(100.0 * noise / total) if total else 0.0)],
@@ -236,22 +248,18 @@ def optimal_k(
     scaler: str = "standard", seed: int = 42, min_k: int = 2,
 ) -> DataFrame:
     """(n_clusters, silhouette_squared, inertia, calinski_harabasz, davies_bouldin, is_optimal) for
-    every k, chosen by silhouette, elbow, calinski_harabasz or davies_bouldin."""
+    every k, chosen by silhouette, elbow, calinski_harabasz or davies_bouldin. All k are fitted in the same passes."""
     names = list(columns or numeric_columns(df))
-    data = working_set(feature_matrix(df, names, scaler).select(FEATURES))
-    rows = []
+    axes = [f"_f_{c}" for c in names]
+    blocks = pack(scaled_columns(df, names, scaler), axes)
     try:
-        for k in range(min_k, max_k + 1):
-            model = KMeans(k=k, seed=seed, featuresCol=FEATURES, maxIter=50).fit(data)
-            points = model.transform(data).withColumnRenamed("prediction", LABEL)
-            spread = points.withColumn("_x", vector_to_array(FEATURES))
-            wide = spread.select(LABEL, *[F.element_at("_x", i + 1).alias(f"_f{i}") for i in range(len(names))])
-            quality = centroid_metrics(wide, LABEL, [f"_f{i}" for i in range(len(names))]).first()
-            rows.append(
-                (k, silhouette(points), float(model.summary.trainingCost), quality["calinski_harabasz"], quality["davies_bouldin"])
-            )
+        fits = fit_centres(blocks, len(axes), range(min_k, max_k + 1), seed)
+        scores = quality(blocks, len(axes), list(fits.values()))
     finally:
-        data.unpersist()
+        blocks.unpersist()
+    rows = [
+        (k, q["silhouette"], q["inertia"], *_separation(q["n"], q["centre"], q["within"].sum(), q["spread"])) for k, q in zip(fits, scores)
+    ]
     pick = {
         "silhouette": lambda: max(rows, key=lambda r: r[1])[0],
         "elbow": lambda: _elbow([r[0] for r in rows], [r[2] for r in rows]),
@@ -274,35 +282,45 @@ def compare_clusterers(
 ) -> DataFrame:
     """One row of quality figures per algorithm, measured on the scaled features."""
     names = list(columns or numeric_columns(df))
-    data = working_set(feature_matrix(df, names, scaler).select(FEATURES))
+    axes, d = [f"_f_{c}" for c in names], len(names)
+    scaled = scaled_columns(df, names, scaler).select(*axes)
+    blocks, data = pack(scaled, axes), None
     out = None
     try:
         for name in algorithms:
-            if name == "kmeans":
-                model = KMeans(k=n, seed=seed, featuresCol=FEATURES, maxIter=50).fit(data)
-                points = model.transform(data).withColumnRenamed("prediction", LABEL)
-            elif name == "hierarchical":
+            if name in ("kmeans", "gmm"):
+                model = fit_centres(blocks, d, [n], seed)[n] if name == "kmeans" else fit_mixtures(blocks, d, [n], seed)[n][0]
+                q = quality(blocks, d, [model])[0]
+                row = (name, *_separation(q["n"], q["centre"], q["within"].sum(), q["spread"]), len(q["n"]), 0, 0.0, q["silhouette"])
+                part = df.sparkSession.createDataFrame(
+                    [row],
+                    "algorithm string, calinski_harabasz double, davies_bouldin double, n_clusters int, n_noise long, noise_percentage double, silhouette_squared double",
+                )
+                out = part if out is None else out.unionByName(part)
+                continue
+            if name == "hierarchical":
+                if data is None:
+                    data = working_set(scaled.select(array_to_vector(F.array(*[F.col(a) for a in axes])).alias(FEATURES)))
                 model = BisectingKMeans(k=n, seed=seed, featuresCol=FEATURES).fit(data)
-                points = model.transform(data).withColumnRenamed("prediction", LABEL)
-            elif name == "gmm":
-                points = _gmm_fit(data, n, seed).transform(data).withColumnRenamed("prediction", LABEL)
+                points = working_set(model.transform(data).withColumnRenamed("prediction", LABEL))
             elif name == "dbscan":
                 from brightlake.operators.density import dbscan_points
 
-                wide = data.withColumn("_x", vector_to_array(FEATURES))
-                axes = [f"_f{i}" for i in range(len(names))]
-                labelled = dbscan_points(wide.select(*[F.element_at("_x", i + 1).alias(a) for i, a in enumerate(axes)]), axes, eps, min_samples)
+                labelled = dbscan_points(scaled, axes, eps, min_samples)
                 points = labelled.select(LABEL, array_to_vector(F.array(*[F.col(a) for a in axes])).alias(FEATURES))
             else:
                 raise ValueError(f"unknown algorithm: {name}")
             spread = points.withColumn("_x", vector_to_array(FEATURES))
-            wide = spread.select(LABEL, *[F.element_at("_x", i + 1).alias(f"_f{i}") for i in range(len(names))])
-            part = centroid_metrics(wide, LABEL, [f"_f{i}" for i in range(len(names))]).select(
+            wide = spread.select(LABEL, *[F.element_at("_x", i + 1).alias(f"_f{i}") for i in range(d)])
+            part = centroid_metrics(wide, LABEL, [f"_f{i}" for i in range(d)]).select(
                 F.lit(name).alias("algorithm"), "*", F.lit(silhouette(points)).alias("silhouette_squared")
             )
             out = part if out is None else out.unionByName(part)
+            points.unpersist()
     finally:
-        data.unpersist()
+        blocks.unpersist()
+        if data is not None:
+            data.unpersist()
     return out
 
 
@@ -372,6 +390,7 @@ def customer_clusters(df: DataFrame, user: str = "user_id", price: str = "total_
     users = df.where(col(user).isNotNull()).groupBy(col(user)).agg(
         F.sum(num(price)).alias("total_spent"), F.avg(num(price)).alias("avg_order"), F.count(num(price)).alias("purchase_count")
     ).dropna()
+    users = stored(users, "users")  # scaling, two fits and the profiles read it again
     n = users.count()
     if n < 10:
         return cluster_names(customer_profile(users.withColumn(LABEL, F.lit(0)))).where(F.lit(False))
