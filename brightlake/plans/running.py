@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightlake.functions.columns import col, num, unpivot
 from brightlake.session import materialize, small_side
@@ -87,6 +87,8 @@ def value_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), a
 ACCURACY = 1000
 #: Half the width of a bracket, in shares of the rows: twice the largest error of the sketch's ranks.
 MARGIN = 2.0 / ACCURACY
+#: Beyond this many ranks the sketch gets finer with their number, so brackets hold no larger share of the rows.
+FEW_RANKS = 5
 
 
 def quantiles(
@@ -103,11 +105,14 @@ def quantiles(
     wide = df.select(*keys, *[num(c).alias(v) for c, v in zip(columns, values)])
     for key in by:
         wide = wide.where(col(key).isNotNull())
-    brackets = _merged([(max(p - MARGIN, 0.0), min(p + MARGIN, 1.0)) for p in sorted(set(map(float, probs)))])
+    ranks = sorted(set(map(float, probs)))
+    finer = 1 if by else max(1, -(-len(ranks) // FEW_RANKS))
+    accuracy, margin = ACCURACY * finer, MARGIN / finer
+    brackets = _merged([(max(p - margin, 0.0), min(p + margin, 1.0)) for p in ranks])
     marks = sorted({m for bracket in brackets for m in bracket} - {0.0, 1.0})
     # of few values a bracket would be narrower than the places of two neighbours: all of them are put in order
-    enough = lambda v: F.count(v) * MARGIN >= 4
-    sketches = [F.when(enough(v), F.percentile_approx(v, marks or [0.5], ACCURACY)).alias(f"_c{i}") for i, v in enumerate(values)]
+    enough = lambda v: F.count(v) * margin >= 4
+    sketches = [F.when(enough(v), F.percentile_approx(v, marks or [0.5], accuracy)).alias(f"_c{i}") for i, v in enumerate(values)]
     # a row per value: the number of its column, and the points of that column's brackets
     tall = wide.unpivot(keys, [F.col(v) for v in values], "_name", "at").where("at IS NOT NULL")
     tall = tall.select(*keys, F.substring("_name", 3, 9).cast("int").alias("_at"), "at")
@@ -121,12 +126,9 @@ def quantiles(
     else:
         found, every = wide.agg(*sketches).first(), df.sparkSession.range(1).select(named)
         point = lambda m: F.array(*[F.lit(x[marks.index(m)] if x else None).cast("double") for x in found])[F.col("_at")]
-    x, inside, gap = F.col("at"), F.lit(False), F.lit(0)
-    for lo, hi in brackets:
-        inside = inside | ((x >= point(lo) if lo > 0 else F.lit(True)) & (x <= point(hi) if hi < 1 else F.lit(True)))
-        gap = gap + (F.when(x > point(hi), 1).otherwise(0) if hi < 1 else 0)
+    gap = _gap(F.col("at"), [(point(lo) if lo > 0 else None, point(hi) if hi < 1 else None) for lo, hi in brackets])
     # a value inside a bracket is a cell of its own, the values of a gap are one
-    cells = tall.select(*keys, "_at", "at", F.when(~F.coalesce(inside, F.lit(True)), gap).alias("gap"))
+    cells = tall.select(*keys, "_at", "at", gap.alias("gap"))
     cells = cells.withColumn("value", F.when(F.col("gap").isNull(), F.col("at"))).groupBy(*keys, "_at", "gap", "value").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("at")
     )
@@ -147,6 +149,23 @@ def quantiles(
     return chosen.select(*keys, "column", *[between(i).alias(n) for i, n in enumerate(names)])
 
 
+def _gap(x: Column, brackets: list[tuple[Column | None, Column | None]]) -> Column:
+    """How many of the ascending brackets lie below ``x``; null inside one, or if the brackets have no points. ``None`` is an
+    open end. Found by halving, so a value is compared with few of them."""
+
+    def among(first: int, last: int) -> Column:
+        if first == last:  # above bracket first - 1 and not above bracket first
+            if first == len(brackets):
+                return F.lit(first)
+            low = brackets[first][0]
+            return F.lit(None).cast("int") if low is None else F.when(x < low, F.lit(first))
+        mid = (first + last) // 2
+        high = brackets[mid][1]
+        return among(first, mid) if high is None else F.when(x > high, among(mid + 1, last)).otherwise(among(first, mid))
+
+    return among(0, len(brackets))
+
+
 def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Ascending brackets with those that overlap made one."""
     out: list[tuple[float, float]] = []
