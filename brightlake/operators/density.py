@@ -9,9 +9,9 @@ dimensions, so beyond that they are looked up among the occupied cells: these fo
 tree nodes whose bounding boxes lie within eps are followed down, from one node at the top to pairs of cells.
 
 Clusters are components of the graph of core cells. Whether two near cells are connected is decided on
-bounding boxes of ever finer sub-cells: boxes close enough prove the link, boxes too far apart disprove
-it, and only the undecided ones are split again, at last down to single points. So two crowded cells
-never meet point by point.
+bounding boxes of ever finer sub-cells: boxes close enough prove the link, or one core point of each that are, boxes too far
+apart disprove it, and only the undecided ones are split again, at last down to single points. Cells already in one
+component need no further link, so their pairs are left undecided. So two crowded cells never meet point by point.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brightlake.functions.columns import col, num, numeric_columns
 from brightlake.operators.reduce import scaled_columns
 from brightlake.plans.running import running_totals
-from brightlake.session import materialize
+from brightlake.session import materialize, small_side
 
 OFFSET_AXES = 3
 LABEL = "cluster"
 SPLIT = 8
 LEVELS = 5
+CROWDED = 4096  # distinct points of a cell that are dealt over salts
 
 
 def _square(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -97,19 +98,40 @@ def _shifted(df: DataFrame, d: int, names: Sequence[str], out: Sequence[str], ne
     return moved.withColumns({o: F.col(n) + F.element_at("_o", i + 1) for i, (n, o) in enumerate(zip(names, out))}).drop("_o")
 
 
-def _core_points(points: DataFrame, axes: list[str], cell: list[str], eps: float, min_samples: int, salt: int, close_cells: DataFrame | None) -> DataFrame:
+def _crowded(points: DataFrame, cell: list[str], salt: int) -> DataFrame | None:
+    """(cell..., _parts) of the cells whose points are spread; no table if there are none."""
+    cells = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED)
+    cells = small_side(cells.select(*cell, F.least(F.lit(salt), F.ceil(F.col("_n") / CROWDED)).cast("int").alias("_parts")))
+    return cells if cells.limit(1).count() else None
+
+
+def _asked(asks: DataFrame, near: list[str], cell: list[str], crowded: DataFrame | None) -> DataFrame:
+    """Rows with a ``_salt``: one per part of the cell in ``near``."""
+    if crowded is None:
+        return asks.withColumn("_salt", F.lit(0))
+    parts = asks.join(crowded.withColumnsRenamed(dict(zip(cell, near))), near, "left")
+    return parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
+def _dealt(have: DataFrame, near: list[str], axes: list[str], cell: list[str], crowded: DataFrame | None) -> DataFrame:
+    """Points with the ``_salt`` of their part of their cell ``near``."""
+    if crowded is None:
+        return have.withColumn("_salt", F.lit(0))
+    parts = have.join(crowded.withColumnsRenamed(dict(zip(cell, near))), near, "left")
+    return parts.withColumn("_salt", F.pmod(F.xxhash64(*axes), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+
+
+def _core_points(points: DataFrame, axes: list[str], cell: list[str], eps: float, min_samples: int, crowded: DataFrame | None, close_cells: DataFrame | None) -> DataFrame:
     """Distinct points with their weight and whether they are core."""
     d = len(axes)
     weights = points.groupBy(*cell).agg(F.sum("_n").alias("_w"))
     placed = points.join(weights, cell)
     thin = placed.where(F.col("_w") < min_samples).drop("_w")
     near = [f"_h{i}" for i in range(d)]
-    asks = _shifted(thin.select(*axes, *cell), d, cell, near, close_cells).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    asks = _asked(_shifted(thin.select(*axes, *cell), d, cell, near, close_cells), near, cell, crowded)
     asks = asks.select(*[col(a).alias(f"_p{a}") for a in axes], *near, "_salt")
-    # the crowded side is spread over salts, the thin side (under min_samples rows a cell) is repeated
-    have = points.select(*axes, "_n", *[F.col(c).alias(h) for c, h in zip(cell, near)]).withColumn(
-        "_salt", F.pmod(F.xxhash64(*axes), F.lit(salt)).cast("int")
-    )
+    # a crowded cell is spread over salts, the thin side (under min_samples rows a cell) is repeated for it
+    have = _dealt(points.select(*axes, "_n", *[F.col(c).alias(h) for c, h in zip(cell, near)]), near, axes, cell, crowded)
     close = _square([col(f"_p{a}") for a in axes], [col(a) for a in axes]) <= eps * eps
     counts = (
         asks.join(have, [*near, "_salt"])
@@ -129,24 +151,35 @@ def _boxes(core: DataFrame, axes: list[str], cell: list[str], side: float, level
     return (
         core.withColumns({s: c for s, c in zip(sub, _cells(axes, fine))})
         .groupBy(*cell, *sub)
-        .agg(*[F.min(col(a)).alias(f"lo_{a}") for a in axes], *[F.max(col(a)).alias(f"hi_{a}") for a in axes])
+        .agg(
+            *[F.min(col(a)).alias(f"lo_{a}") for a in axes], *[F.max(col(a)).alias(f"hi_{a}") for a in axes],
+            F.min(F.struct(*[col(a).alias(f"x{i}") for i, a in enumerate(axes)])).alias("one"),
+        )
     )
 
 
-def _cell_links(core: DataFrame, axes: list[str], cell: list[str], eps: float, side: float, close_cells: DataFrame | None) -> DataFrame:
-    """Pairs of core cells with at least one pair of core points within eps, each way round once."""
+def _cell_roots(core: DataFrame, names: DataFrame, axes: list[str], cell: list[str], eps: float, side: float, close_cells: DataFrame | None) -> DataFrame:
+    """(id, root) of the cells in ``names``: the components of cells with at least one pair of core points within eps."""
     d = len(axes)
     other = [f"_h{i}" for i in range(d)]
     sub, osub = [f"_u{i}" for i in range(d)], [f"_v{i}" for i in range(d)]
     pair = [*cell, *other]
-    found: list[DataFrame] = []
+    roots = names.select("id", F.col("id").alias("root"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """Components with new pairs of cells: those so far stand for the pairs found before."""
+        here = names.select(*cell, F.col("id").alias("a"))
+        there = names.select(*[F.col(c).alias(o) for c, o in zip(cell, other)], F.col("id").alias("b"))
+        new = links.join(here, cell).join(there, other).select("a", "b")
+        return connected_components(names, new.unionByName(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+
     undecided = None  # pairs of sub-cells still open, by parent level
     for level in range(LEVELS + 1):
         boxes = materialize(_boxes(core, axes, cell, side, level))
         left = boxes
         right = boxes.select(
             *[F.col(c).alias(o) for c, o in zip(cell, other)], *[F.col(u).alias(v) for u, v in zip(sub, osub)],
-            *[F.col(f"{e}_{a}").alias(f"o{e}_{a}") for e in ("lo", "hi") for a in axes],
+            *[F.col(f"{e}_{a}").alias(f"o{e}_{a}") for e in ("lo", "hi") for a in axes], F.col("one").alias("oone"),
         )
         ahead = F.struct(*[F.col(c) for c in cell]) < F.struct(*[F.col(o) for o in other])
         if undecided is None:
@@ -162,33 +195,34 @@ def _cell_links(core: DataFrame, axes: list[str], cell: list[str], eps: float, s
             [F.lit(0.0)] * d,
         )
         near = _box_gap(*[[F.col(f"{e}_{a}") for a in axes] for e in ("lo", "hi", "olo", "ohi")])
-        scored = met.withColumns({"_far": far, "_close": near}).where(F.col("_close") <= eps * eps)
+        touch = _square([F.col(f"one.x{i}") for i in range(d)], [F.col(f"oone.x{i}") for i in range(d)])
+        scored = met.withColumns({"_far": F.least(far, touch), "_close": near}).where(F.col("_close") <= eps * eps)
         scored = materialize(scored.select(*pair, *sub, *osub, (F.col("_far") <= eps * eps).alias("_sure")))
-        proven = scored.where("_sure").select(*pair).distinct()
-        found.append(proven)
-        open_pairs = scored.where("NOT _sure").join(proven, pair, "left_anti")
-        undecided = open_pairs.select(
+        roots = joined(scored.where("_sure").select(*pair).distinct())
+        root = names.join(roots, "id")
+        open_pairs = (
+            scored.where("NOT _sure")
+            .join(root.select(*cell, F.col("root").alias("_ra")), cell)
+            .join(root.select(*[F.col(c).alias(o) for c, o in zip(cell, other)], F.col("root").alias("_rb")), other)
+            .where("_ra <> _rb")
+        )
+        undecided = materialize(open_pairs.select(
             *pair,
             *[F.col(u).alias(f"_pu{i}") for i, u in enumerate(sub)],
             *[F.col(v).alias(f"_pv{i}") for i, v in enumerate(osub)],
-        )
+        ))
         if undecided.limit(1).count() == 0:
-            break
-    else:
-        # what is still open differs by less than side / SPLIT^LEVELS: settle it on the points
-        fine = side / SPLIT**LEVELS
-        a = core.withColumns(dict(zip([f"_pu{i}" for i in range(d)], _cells(axes, fine))))
-        b = core.select(
-            *[F.col(c).alias(o) for c, o in zip(cell, other)],
-            *[c.alias(f"_pv{i}") for i, c in enumerate(_cells(axes, fine))],
-            *[col(x).alias(f"o_{x}") for x in axes],
-        )
-        met = undecided.join(a, [*cell, *[f"_pu{i}" for i in range(d)]]).join(b, [*other, *[f"_pv{i}" for i in range(d)]])
-        found.append(met.where(_square([col(x) for x in axes], [col(f"o_{x}") for x in axes]) <= eps * eps).select(*pair).distinct())
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+            return roots
+    # what is still open differs by less than side / SPLIT^LEVELS: settle it on the points
+    fine = side / SPLIT**LEVELS
+    a = core.withColumns(dict(zip([f"_pu{i}" for i in range(d)], _cells(axes, fine))))
+    b = core.select(
+        *[F.col(c).alias(o) for c, o in zip(cell, other)],
+        *[c.alias(f"_pv{i}") for i, c in enumerate(_cells(axes, fine))],
+        *[col(x).alias(f"o_{x}") for x in axes],
+    )
+    met = undecided.join(a, [*cell, *[f"_pu{i}" for i in range(d)]]).join(b, [*other, *[f"_pv{i}" for i in range(d)]])
+    return joined(met.where(_square([col(x) for x in axes], [col(f"o_{x}") for x in axes]) <= eps * eps).select(*pair).distinct())
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,14 +257,12 @@ def dbscan_points(df: DataFrame, axes: Sequence[str], eps: float = 0.5, min_samp
     points = df.select(*[num(a).alias(a) for a in axes]).dropna().groupBy(*axes).agg(F.count(F.lit(1)).alias("_n"))
     points = materialize(points.withColumns(dict(zip(cell, _cells(axes, side)))))
     close_cells = near_cells(points, axes, cell, eps) if d > OFFSET_AXES else None
-    marked = materialize(_core_points(points, axes, cell, eps, min_samples, salt, close_cells))
+    crowded = _crowded(points, cell, salt)
+    marked = materialize(_core_points(points, axes, cell, eps, min_samples, crowded, close_cells))
     core = marked.where("core").select(*axes, *cell)
-    links = _cell_links(core, axes, cell, eps, side, close_cells)
     # cells are named by their smallest core point, so the smallest name of a component orders clusters
     names = materialize(core.groupBy(*cell).agg(F.min(F.struct(*axes)).alias("id")))
-    here = names.select(*cell, F.col("id").alias("a"))
-    there = names.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(cell)], F.col("id").alias("b"))
-    roots = connected_components(names, links.join(here, cell).join(there, [f"_h{i}" for i in range(d)]).select("a", "b"))
+    roots = _cell_roots(core, names, axes, cell, eps, side, close_cells)
     order = running_totals(roots.select("root").distinct().withColumn("one", F.lit(1)), [], "root", ["one"])
     numbered = roots.join(order, "root").select("id", F.col("one_before").cast("int").alias(LABEL))
     cell_label = materialize(names.join(numbered, "id").select(*cell, LABEL))
@@ -238,11 +270,9 @@ def dbscan_points(df: DataFrame, axes: Sequence[str], eps: float = 0.5, min_samp
     inside = marked.where("core").join(cell_label, cell)
     loose = marked.where("NOT core")
     near = [f"_h{i}" for i in range(d)]
-    asks = _shifted(loose.select(*axes, *cell), d, cell, near, close_cells).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    asks = _asked(_shifted(loose.select(*axes, *cell), d, cell, near, close_cells), near, cell, crowded)
     asks = asks.select(*[col(a).alias(f"_p{a}") for a in axes], *near, "_salt")
-    have = inside.select(*axes, LABEL, *[F.col(c).alias(h) for c, h in zip(cell, near)]).withColumn(
-        "_salt", F.pmod(F.xxhash64(*axes), F.lit(salt)).cast("int")
-    )
+    have = _dealt(inside.select(*axes, LABEL, *[F.col(c).alias(h) for c, h in zip(cell, near)]), near, axes, cell, crowded)
     close = _square([col(f"_p{a}") for a in axes], [col(a) for a in axes]) <= eps * eps
     touched = (
         asks.join(have, [*near, "_salt"])
