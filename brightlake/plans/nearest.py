@@ -27,6 +27,9 @@ MAX_BOXES = 4096  # rows of the driver's table of boxes; larger boxes are dealt
 PASSES = 16
 WAYS = 4  # parts of a box per pass
 SHARE = 64_000  # queries of one box that a task answers
+TASKS = 4  # per core
+LEAF = 64  # points of a box that are looked at together
+GROUP = 16  # queries that look at the same leaves
 
 
 @dataclass
@@ -170,13 +173,28 @@ def _first(bound: np.ndarray, sizes: np.ndarray, k: int, turn: np.ndarray) -> np
     """Boxes each query meets first: the closest ones that hold k points together. Equally close boxes
     are taken in an order that starts at another box for each query, so none becomes hot."""
     n = bound.shape[1]
+    # mostly one box is the closest and holds k points: only the other queries put their boxes in order
+    alone = (bound == bound.min(axis=1)[:, None]).sum(axis=1) == 1
+    closest = bound.argmin(axis=1)
+    alone &= sizes[closest] >= k
+    first = np.zeros(bound.shape, bool)
+    first[np.flatnonzero(alone), closest[alone]] = True
+    rest = np.flatnonzero(~alone)
+    if rest.size:
+        first[rest] = _in_turn(bound[rest], sizes, k, turn[rest])
+    return first & np.isfinite(bound)
+
+
+def _in_turn(bound: np.ndarray, sizes: np.ndarray, k: int, turn: np.ndarray) -> np.ndarray:
+    """The closest boxes that hold k points, of each query's boxes in order."""
+    n = bound.shape[1]
     order = (np.arange(n)[None, :] + (turn % n)[:, None]) % n
     rolled = np.take_along_axis(bound, order, axis=1)
     rank = np.take_along_axis(order, np.argsort(rolled, axis=1, kind="stable"), axis=1)
     held = sizes[rank]
     first = np.zeros(bound.shape, bool)
     np.put_along_axis(first, rank, np.cumsum(held, axis=1) - held < k, axis=1)
-    return first & np.isfinite(bound)
+    return first
 
 
 def _visits(queries: DataFrame, qid: str, axes: list[str], boxes: Boxes, k: int, reach: bool) -> DataFrame:
@@ -222,6 +240,63 @@ def _best_of(x: np.ndarray, p: np.ndarray, known_p: np.ndarray, k: int) -> tuple
     return np.take_along_axis(gap, best, axis=1), best
 
 
+class Held:
+    """Points of a box, cut by halves into leaves of about LEAF, so a query is compared with the few leaves in its reach only."""
+
+    def __init__(self, p: np.ndarray):
+        self.p, self.known = p, (~np.isnan(p)).astype(float)
+        self.leaves: list[np.ndarray] = []
+        # bounds tell distances only where all points lack the same coordinates
+        if len(p) <= 4 * LEAF or not (self.known == self.known[0]).all() or not self.known[0].any():
+            return
+        self.axes = np.flatnonzero(self.known[0])
+        x = p[:, self.axes]
+        todo = [np.arange(len(p))]
+        while todo:
+            rows = todo.pop()
+            wide = np.ptp(x[rows], axis=0)
+            if len(rows) <= LEAF or wide.max() == 0:
+                self.leaves.append(np.sort(rows))
+                continue
+            half = len(rows) // 2
+            rows = rows[np.argpartition(x[rows, wide.argmax()], half)]
+            todo += [rows[:half], rows[half:]]
+        self.low = np.array([x[r].min(axis=0) for r in self.leaves])
+        self.high = np.array([x[r].max(axis=0) for r in self.leaves])
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """Least possible squared distance of each query to each leaf, on the scale of ``_best_of``."""
+        gap, shared = np.zeros((len(x), len(self.leaves))), np.zeros(len(x))
+        for i, a in enumerate(self.axes):
+            v = x[:, a, None]
+            d = np.nan_to_num(np.maximum(np.maximum(self.low[None, :, i] - v, v - self.high[None, :, i]), 0.0))
+            gap += d * d
+            shared += ~np.isnan(x[:, a])
+        return gap * (x.shape[1] / np.maximum(shared, 1))[:, None]
+
+    def best(self, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of queries, squared distances, positions) of the k best points, as ``_best_of`` for all of them."""
+        if not self.leaves:
+            for at in range(0, len(x), 256):
+                rows = np.arange(at, min(at + 256, len(x)))
+                yield (rows, *_best_of(x[rows], self.p, self.known, k))
+            return
+        home = np.concatenate([self.bounds(x[at : at + 256]).argmin(axis=1) for at in range(0, len(x), 256)])
+        order = np.argsort(home, kind="stable")
+        for at in range(0, len(x), GROUP):
+            rows = order[at : at + GROUP]
+            some, near = x[rows], np.unique(home[rows])
+            gap, _ = self._among(some, near, k)
+            reach = gap.max(axis=1) * (1 + 1e-9) if gap.shape[1] >= min(k, len(self.p)) else np.full(len(rows), np.inf)
+            near = np.flatnonzero((self.bounds(some) <= reach[:, None]).any(axis=0))
+            yield (rows, *self._among(some, near, k))
+
+    def _among(self, x: np.ndarray, leaves: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.sort(np.concatenate([self.leaves[i] for i in leaves]))
+        gap, best = _best_of(x, self.p[at], self.known[at], k)
+        return gap, at[best]
+
+
 def _meet(visits: DataFrame, points: DataFrame, boxes: Boxes, qid: str, axes: list[str], value: str, k: int, block: int) -> DataFrame:
     """Top k per query and block. ``points`` carry box and chunk, ``visits`` the box."""
     asked = {r["_s"]: r["count"] for r in visits.groupBy("_s").count().collect()}
@@ -249,7 +324,7 @@ def _meet(visits: DataFrame, points: DataFrame, boxes: Boxes, qid: str, axes: li
         *[col(a).alias(f"_x{i}") for i, a in enumerate(axes)],
     )
     key = ["_s", "_p", "_g"]
-    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "_side", "_value")
+    both = left.unionByName(right).repartition(_share_out(points), *key).sortWithinPartitions(*key, "_side", "_value")
     coordinates = [f"_x{i}" for i in range(len(axes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,21 +341,23 @@ def _meet(visits: DataFrame, points: DataFrame, boxes: Boxes, qid: str, axes: li
                     values.append(part.column("_value"))
                 elif held:
                     if ready is None:
-                        p = np.concatenate(held)
-                        ready = p, (~np.isnan(p)).astype(float), pa.concat_arrays(values)
-                    p, known_p, pv = ready
-                    for at in range(0, part.num_rows, 256):
-                        some = part.slice(at, 256)
-                        gap, best = _best_of(matrix(some, coordinates), p, known_p, k)
+                        ready = Held(np.concatenate(held)), pa.concat_arrays(values)
+                    box, pv = ready
+                    for rows, gap, best in box.best(matrix(part, coordinates), k):
                         keep = np.isfinite(gap)
-                        row = np.repeat(np.arange(len(gap)), keep.sum(axis=1))
+                        row = np.repeat(rows, keep.sum(axis=1))
                         yield pa.RecordBatch.from_arrays(
-                            [some.column("_id").take(pa.array(row)), pa.array(np.sqrt(gap[keep])), pv.take(pa.array(best[keep]))], [qid, "distance", "value"]
+                            [part.column("_id").take(pa.array(row)), pa.array(np.sqrt(gap[keep])), pv.take(pa.array(best[keep]))], [qid, "distance", "value"]
                         )
 
     return both.mapInArrow(run, _shape(visits, points, qid, value))
 
 
+def _share_out(df: DataFrame) -> int:
+    """Tasks of a search. Its rows are narrow and its work is not: left to their bytes, they would be put into one task."""
+    return TASKS * df.sparkSession.sparkContext.defaultParallelism
+
+
 def _chunk_count(boxes: Boxes, box: int, block: int) -> int:
     """Parts by hash of a box that could not be cut further; boxes up to twice the block stay whole."""
     return 1 if boxes.size[box] <= 2 * block else -(-boxes.size[box] // block)
@@ -317,10 +394,10 @@ def k_nearest(
     axes = list(axes)
     spark = points.sparkSession
     collapsed = points.groupBy(*[col(a) for a in axes], col(value)).agg(F.count(F.lit(1)).alias("_n"))
-    points = materialize(
-        collapsed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(k).cast("long"))))).drop("_n")
-    )
-    queries = materialize(queries.select(qid, *[col(a) for a in axes]))
+    copies = collapsed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_n"), F.lit(k).cast("long"))))).drop("_n")
+    tasks = _share_out(points)
+    points = materialize(copies.repartition(tasks, *[col(a) for a in axes], col(value)))
+    queries = materialize(queries.select(qid, *[col(a) for a in axes]).repartition(tasks, col(qid)))
     asked = queries.agg(*[F.count(col(a)).alias(f"_c{i}") for i, a in enumerate(axes)]).first()
     boxes = build_boxes(points, axes, [asked[f"_c{i}"] for i in range(len(axes))], block)
     if not boxes.leaves():
