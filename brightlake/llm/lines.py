@@ -33,12 +33,13 @@ def parsed(docs: DataFrame) -> DataFrame:
     """A row per line that is not blank: document, line number, generalised line, its hash and leaf."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.split("text", "\n").alias("lines"))
     lines = hashed.select("doc_id", "tie", F.posexplode("lines").alias("line", "body"))
-    body = F.trim(F.col("body"))
-    masked = F.when(body.rlike("[0-9]"), F.regexp_replace(body, "[0-9]+", _VARIABLE)).otherwise(body)
-    lines = lines.select("doc_id", "tie", "line", masked.alias("masked")).where("masked <> ''")
+    lines = lines.withColumn("body", F.trim("body")).where("body <> ''")
+    # filters move below what makes their columns: they are on the body, so that no line is generalised for a filter
+    size = F.length("body") - F.length(F.replace("body", F.lit(" "))) + 1
+    masked = F.when(F.col("body").rlike("[0-9]"), F.regexp_replace("body", "[0-9]+", _VARIABLE)).otherwise(F.col("body"))
+    lines = lines.select("doc_id", "tie", "line", size.alias("n_words"), masked.alias("masked"))
     one, two = key128(F.col("masked"))
-    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    lines = lines.select("*", one.alias("h1"), two.alias("h2"), size.alias("n_words"))
+    lines = lines.select("doc_id", "tie", "line", "masked", one.alias("h1"), two.alias("h2"), "n_words")
     return lines.withColumn("leaf", F.xxhash64("n_words", F.substring_index("masked", " ", DEPTH)))
 
 
@@ -61,15 +62,17 @@ def generalised(docs: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame
     # named by its lines, a group that several runs of a long line share is looked into once
     own = runs.join(small_side(sizes.select("group", F.xxhash64("kinds", "lines", "x1", "x2").alias("same"))), "group").groupBy("h1", "h2")
     own = own.agg(F.collect_set("same").alias("groups"))  # at most a line's runs
-    rows = materialize(kinds.join(own, ["h1", "h2"]).select("h1", "h2", "n", "words", "groups"))
+    # numbered: a word of a line in a group is sent with a row number and a place, not with three hashes
+    rows = kinds.join(own, ["h1", "h2"]).select(F.monotonically_increasing_id().alias("row"), "h1", "h2", "n", "words", "groups")
+    rows = materialize(rows)
 
-    cells = rows.select("h1", "h2", "n", "words", F.explode("groups").alias("group"))
-    cells = cells.select("h1", "h2", "n", "group", F.posexplode(F.slice("words", DEPTH + 1, further)).alias("at", "word"))
-    cells = cells.select("h1", "h2", "n", "group", "at", F.xxhash64("group", "at", "word").alias("cell"))
+    cells = rows.select("row", "n", "words", F.posexplode("groups").alias("place", "group"))
+    cells = cells.select("row", "n", "place", "group", F.posexplode(F.slice("words", DEPTH + 1, further)).alias("at", "word"))
+    cells = cells.select("row", "n", "place", "at", F.xxhash64("group", "at", "word").alias("cell"))
     often = small_side(cells.groupBy("cell").agg(F.sum("n").alias("often")).where(F.col("often") >= least_docs))
-    found = cells.select("h1", "h2", "group", "at", "cell").join(often, "cell", "left").groupBy("h1", "h2", "group")
+    found = cells.select("row", "place", "at", "cell").join(often, "cell", "left").groupBy("row", "place")
     found = found.agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("often", F.lit(0)).alias("often")))).alias("often"))  # a line's words
-    found = found.withColumn("often", F.col("often.often")).join(rows.select("h1", "h2", "n", "words"), ["h1", "h2"])
+    found = found.withColumn("often", F.col("often.often")).join(rows.drop("groups"), "row")
     most = F.greatest(F.ceil(further * ALIKE).cast("int"), F.lit(LEAST_CONSTANT))
     found = found.withColumn("least", F.element_at(F.sort_array("often", False), most)).where(F.col("least") >= least_docs)
     rest = F.zip_with(F.slice("words", DEPTH + 1, further), "often", lambda w, x: F.when(x >= F.col("least"), w).otherwise(F.lit(_VARIABLE)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,10 +48,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of the queries begun inside go when these end, not when the driver next collects its garbage.
+
+    Only for queries whose frame nobody runs again: a second run would have to shuffle anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with freed_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 BROADCAST_ROWS = 50_000
@@ -73,7 +90,8 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     pass reads only its columns.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
