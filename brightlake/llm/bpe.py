@@ -16,6 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,17 @@ _WIDE = re.compile("[^\x00-ɏ]")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
 
+def _narrowest(spec: dict) -> str:
+    return "<u2" if max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])]) < 1 << 16 else "<u4"
+
+
+@cache
+def id_type(path: str) -> str:
+    """Narrowest type of the file's ids, without an encoder."""
+    with open(path, encoding="utf-8") as f:
+        return _narrowest(json.load(f))
+
+
 class Splitter:
     """Cuts a text into added tokens and white-space chunks that may be encoded on their own."""
 
@@ -43,7 +55,7 @@ class Splitter:
             spec = json.load(f)
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.decoder = spec.get("decoder")
-        self.id_type = "<u2" if max([*spec["model"]["vocab"].values(), *self.added.values()]) < 1 << 16 else "<u4"
+        self.id_type = _narrowest(spec)
         self.prepare(spec["model"])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.memo: dict[str, bytes] = {c: np.uint32(i).tobytes() for c, i in self.added.items()}
@@ -220,13 +232,20 @@ _HELD: dict[tuple[str, str], Splitter] = {}
 
 
 def held(kind: type[Splitter], path: str) -> Splitter:
-    """One encoder per worker process; its memo of words is bounded."""
+    """One encoder per worker process, the last one asked for; its memo of words is bounded."""
     key = (kind.__name__, path)
     if key not in _HELD:
+        release()
         _HELD[key] = kind(path)
     return _HELD[key]
 
 
+def release() -> None:
+    """Give the encoder's memory back: Spark gives its workers to other operators' tasks later, where it would stay."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Decoder:
     """Ids back to text; the file names no decoder, so tokens are joined by one space."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightlake.session import stored
+from brightlake.session import bounded_batches, stored
 
 SLICE_BYTES = 4 << 20
 
@@ -19,7 +19,8 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:
-    """``doc_id`` and ``text`` (null: empty) of every row; other columns go, so none can clash."""
+    """``doc_id`` and ``text`` (null: empty) of every row; other columns go, so none can clash. Python gets them in small batches."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

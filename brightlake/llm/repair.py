@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from brightlake.llm.bpe import Splitter, held
+from brightlake.llm.bpe import Splitter, held, id_type, release
 from brightlake.llm.common import cut_points, range_of, slices, whole_texts
 
 SHARD_IDS = 1 << 20
@@ -132,7 +132,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, shard_ids: int =
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = held(Splitter, path)
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             ids = [np.frombuffer(x, "<u4").astype(enc.id_type).tobytes() for x in enc.encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(ids, pa.binary())], coded_schema.names)
 
@@ -147,7 +147,8 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, shard_ids: int =
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = held(Splitter, path).id_type
+        release()  # from here on nothing is encoded
+        width = id_type(path)
         size = np.dtype(width).itemsize
         part, shard, doc_ids, ids, n = None, 0, [], [], 0
         for b in slices(batches, "ids"):
@@ -182,6 +183,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        release()
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in ("part", "shard", "doc_ids", "n_tokens", "symbols", "rules", "rounds")}

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from brightlake.llm.bpe import release
 from brightlake.llm.common import slices, whole_texts
 
 FIT_TOXIC = 4000
@@ -168,6 +169,7 @@ def windows(rows: DataFrame, marked: set[str]) -> list[tuple[list[str], list[int
     schema = "words array<string>, labels array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             words_out, labels_out = [], []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
@@ -249,6 +251,7 @@ def fit_curve(rows: DataFrame, field: Field) -> tuple[float, float, float]:
     """Logistic curve of label on log(1 + sum) and maximum over the sample, by Newton steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches, limit=SLICE_BYTES):
             got = score_texts(b.column("text").to_pylist(), field)
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), b.column("toxic")], ["total", "most", "toxic"])
@@ -285,6 +288,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         a, s, m = field.curve
+        release()
         for b in slices(batches, limit=SLICE_BYTES):
             texts = b.column("text").to_pylist()
             scores, spans = [], []

@@ -95,6 +95,20 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Python gets at most ``BATCH_BYTES`` of rows at a time (one row at least), unless the session sets a limit itself.
+
+    Spark's own limit of 64 MB takes several times that of an executor for each task. The setting is read when a
+    query runs, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 SHARE_ROWS = 100_000
 
 

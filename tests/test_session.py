@@ -3,10 +3,13 @@
 import glob
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brightlake.llm import lines
-from brightlake.session import materialize, stored
+from brightlake.llm import bpe, lines
+from brightlake.llm.common import whole_texts
+from brightlake.llm.queries import vocabulary
+from brightlake.session import BATCH_BYTES, materialize, stored
 
 KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -40,3 +43,25 @@ def test_no_line_is_generalised_for_a_filter(spark):
     filters = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
     assert filters and not any("regexp_replace" in x for x in filters)
     assert [r["masked"] for r in plan.collect()] == ["a b c d e f g <*>"]
+
+
+def test_python_gets_texts_in_bounded_batches(spark):
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1 << 20).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = whole_texts(docs).mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 64
+    assert max(r["bytes"] for r in got) <= BATCH_BYTES + (2 << 20)
+
+
+def test_a_worker_holds_one_encoder_at_most():
+    path = vocabulary()
+    assert bpe.id_type(path) == bpe.held(bpe.Splitter, path).id_type
+    assert bpe.held(bpe.Splitter, path) is bpe.held(bpe.Splitter, path)
+    bpe.held(bpe.ForcedBoundaryEncoder, path)
+    assert len(bpe._HELD) == 1
+    bpe.release()
+    assert not bpe._HELD
