@@ -3,10 +3,11 @@
 import glob
 import time
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brightlake.llm import bpe, lines
+from brightlake.llm import bpe, lines, toxicity
 from brightlake.llm.common import whole_texts
 from brightlake.llm.queries import vocabulary
 from brightlake.session import BATCH_BYTES, materialize, stored
@@ -65,3 +66,15 @@ def test_a_worker_holds_one_encoder_at_most():
     assert len(bpe._HELD) == 1
     bpe.release()
     assert not bpe._HELD
+
+
+def test_scoring_gives_the_encoder_back(spark, monkeypatch):
+    class Rows:
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    monkeypatch.setattr(toxicity, "whole_texts", lambda docs: Rows)
+    field = toxicity.Field(*(np.zeros(toxicity.BUCKETS) for _ in range(3)), -20.0, np.zeros((2, 2)))
+    run = toxicity.tag(spark.createDataFrame([(1, "a")], "doc_id long, text string"), field)
+    bpe.held(bpe.Splitter, vocabulary())
+    assert list(run(iter([]))) == []
+    assert not bpe._HELD
