@@ -17,15 +17,18 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from brightlake.llm.common import slices, whole_texts
 
 MEMO_WORDS = 200_000
-LEARN_WORDS = 5_000  # words given to the library at once
+PIECES_HELD = 400_000  # some 35 bytes each
+LONGEST_HELD = 64  # characters; longer runs and chunks hardly recur
 _WIDE = re.compile("[^\x00-ɏ]")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenizer
 
@@ -101,18 +104,8 @@ class Splitter:
         return [b"".join(map(get, c)) for c in cut]
 
     def learn(self, words: list[str]) -> None:
-        """Memoise the library's ids: its merges alone for lower-case words, which are one piece, or all its steps."""
-        memo, tokenize, others = self.memo, self.tok.model.tokenize, []
-        for w in words:
-            if one_piece(w):
-                memo[w] = np.array([t.id for t in tokenize(w if w.isascii() else w.translate(_LETTERS))], "<u4").tobytes()
-            else:
-                others.append(w)
-        fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for i in range(0, len(others), LEARN_WORDS):
-            part = others[i : i + LEARN_WORDS]
-            for w, e in zip(part, fast(part, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        """Memoise the ids of words."""
+        raise NotImplementedError
 
 
 def one_piece(word: str) -> bool:
@@ -124,6 +117,122 @@ def _tail(word: str) -> bool:
     return len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "ɐ"
 
 
+_LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ʯⱥⱦ"  # letters below U+0250 and what lower case makes of them
+_NUMBER = "0-9²³¹¼½¾"
+_WHITE = "\t\n\x0b\x0c\r\x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ {_LETTER}{_NUMBER}]+")
+_RUN = re.compile(f"([^ {_LETTER}][^ {_LETTER}]*(?:(?<=')(?:s|t|re|ve|m|ll|d))?)")  # what stands between words, with the letters that an apostrophe may take
+
+
+class _Apart(dict):
+    """Runs between words with spaces around their pieces."""
+
+    def __missing__(self, run: str) -> str:
+        pieces = _PIECE.findall(run)
+        # letters that no apostrophe took belong to the word behind
+        out = f" {' '.join(pieces)}" if re.match(f"[{_LETTER}]", pieces[-1]) else f" {' '.join(pieces)} "
+        if len(run) <= LONGEST_HELD:
+            self[run] = out
+        return out
+
+
+class PieceEncoder(Splitter):
+    """The library's merges of every distinct piece, put together in numpy.
+
+    Pieces are what the file's splitter gives: words, numerals and what stands between them. Texts below U+0250 are split here,
+    chunks with other letters by the library.
+    """
+
+    def prepare(self, model: dict) -> None:
+        self.apart, self.wide = _Apart(), {}
+        self.known = pa.array(["", *self.added], pa.string())  # "" stands between two spaces
+        self.flat = np.array(list(self.added.values()), self.id_type)
+        self.size = np.array([0] + [1] * len(self.added), np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def learn(self, words: list[str]) -> None:
+        """Memoise the ids that the library's merges give for pieces."""
+        tokenize = self.tok.model.tokenize
+        ids = [[t.id for t in tokenize(w if w.isascii() and w.isprintable() else _lettered(w))] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.id_type, int(size.sum()))])
+
+    def keep(self, which: np.ndarray) -> None:
+        """Cut the memo back to the pieces at hand: the frequent ones are among them."""
+        recent = np.zeros(len(self.size), bool)
+        recent[: 1 + len(self.added)], recent[which] = True, True
+        own = np.flatnonzero(recent)
+        self.known, self.flat, self.size = self.known.take(pa.array(own)), gathered(self.flat, self.start[own], self.size[own]), self.size[own]
+        self.start = np.cumsum(self.size) - self.size
+
+    def spaced(self, text: str) -> str:
+        """The text's pieces, in order, with spaces between them."""
+        if "<|" in text and self.cut:
+            return " ".join(part if part in self.added else self._spaced(part) for part in self.cut.split(text))
+        return self._spaced(text)
+
+    def _spaced(self, text: str) -> str:
+        if text.isascii() or not _WIDE.search(text):
+            return self._narrow(text)
+        if _ODD.search(text):
+            return self._wide(text)
+        return " ".join(" ".join(map(self._wide, chunks)) if wide else self._narrow(" ".join(chunks)) for wide, chunks in groupby(text.split(), lambda c: bool(_WIDE.search(c))))
+
+    def _narrow(self, text: str) -> str:
+        text = text.lower()
+        for c in _WHITE:
+            text = text.replace(c, " ")
+        if len(self.apart) > MEMO_WORDS:
+            self.apart.clear()
+        parts = _RUN.split(text)
+        parts[1::2] = map(self.apart.__getitem__, parts[1::2])
+        return "".join(parts)
+
+    def _wide(self, chunk: str) -> str:
+        out = self.wide.get(chunk)
+        if out is None:
+            normal = self.tok.normalizer.normalize_str(chunk)
+            out = " ".join(normal[i:j] for _, (i, j) in self.tok.pre_tokenizer.pre_tokenize_str(normal))
+            if len(self.wide) > MEMO_WORDS:
+                self.wide.clear()
+            if len(chunk) <= LONGEST_HELD:
+                self.wide[chunk] = out
+        return out
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        rows = pc.split_pattern(pa.array([self.spaced(t) for t in texts], pa.string()), " ")
+        found = pc.index_in(rows.values, value_set=self.known)
+        which = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            new = rows.values.filter(found.is_null()).dictionary_encode()
+            which[which < 0] = len(self.size) + new.indices.to_numpy()
+            self.learn(new.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = self.size[which]
+        upto = np.concatenate([[0], np.cumsum(size)])[rows.offsets.to_numpy()]
+        ids = gathered(self.flat, self.start[which], size)
+        if len(self.size) > PIECES_HELD:
+            self.keep(which)
+        return ids, np.diff(upto)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, size = self.ids(texts)
+        raw, at = ids.astype("<u4").tobytes(), 4 * np.concatenate([[0], np.cumsum(size)])
+        return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``start``, one behind the other."""
+    upto = np.cumsum(size)
+    n = int(upto[-1]) if len(upto) else 0
+    at = np.repeat((start - upto + size).astype(np.int32 if max(n, len(flat)) < 1 << 31 else np.int64), size)
+    at += np.arange(n, dtype=at.dtype)
+    return flat[at]
+
+
 class ForcedBoundaryEncoder(Splitter):
     """The same ids from forced cuts and merges of fragments."""
 
@@ -231,6 +340,10 @@ _LETTERS = {c: "".join(_BYTE_LETTER[b] for b in chr(c).encode()) for c in range(
 _HELD: dict[tuple[str, str], Splitter] = {}
 
 
+def _lettered(word: str) -> str:
+    return "".join(_BYTE_LETTER[b] for b in word.encode())
+
+
 def held(kind: type[Splitter], path: str) -> Splitter:
     """One encoder per worker process, the last one asked for; its memo of words is bounded."""
     key = (kind.__name__, path)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from brightlake.llm.bpe import Splitter, held, id_type, release
+from brightlake.llm.bpe import PieceEncoder, gathered, held, id_type, release
 from brightlake.llm.common import cut_points, range_of, slices, whole_texts
 
 SHARD_IDS = 1 << 20
@@ -40,12 +40,13 @@ def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     s, rules, sizes = ids.astype(np.uint32), [], []
     while len(s) > 1:
         h = (s[:-1] * np.uint32(2654435761) ^ (s[1:] + np.uint32(1)) * np.uint32(2246822519)) >> np.uint32(32 - _BINS)
+        h = h.astype(np.int64)  # once, not for every look-up
         h[last[:-1]] = 1 << _BINS  # a bin of their own for the pairs across documents
         bins = np.bincount(h, minlength=(1 << _BINS) + 1)
         bins[-1] = 0
         often = min(int(np.partition(bins, -RULES_A_ROUND)[-RULES_A_ROUND]), int(bins.max()) // 2)
         for least in (max(LEAST, often), LEAST):  # a full bin may hold rare pairs only: then all that can be frequent are counted
-            at = np.flatnonzero((bins >= least)[h])
+            at = np.flatnonzero((bins >= least).take(h))
             pairs = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
             kinds, which, counts = np.unique(pairs, return_inverse=True, return_counts=True)
             top = np.argsort(-counts, kind="stable")
@@ -78,7 +79,8 @@ def compress(ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
-        s, last = s[stay], last[stay]
+        left = np.flatnonzero(stay)
+        s, last = s.take(left), last.take(left)
         made = kinds[top]
         rules += np.column_stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).ravel().tolist()
         sizes.append(len(rules) // 2)
@@ -93,19 +95,30 @@ def spans_of(rules: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, rounds: list[int]) -> np.ndarray:
-    """The ids again: the rules of the last round first, each round in one pass."""
-    pairs = rules.reshape(-1, 2)
-    for low in [0, *rounds][: len(rounds)][::-1]:
-        hit = symbols >= FIRST + low
-        width = 1 + hit
-        start = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.uint32)
-        out[start] = symbols
-        two = pairs[symbols[hit] - FIRST]
-        out[start[hit]], out[start[hit] + 1] = two[:, 0], two[:, 1]
-        symbols = out
-    return symbols
+def expand(symbols: np.ndarray, rules: np.ndarray, rounds: list[int], spans: np.ndarray | None = None) -> np.ndarray:
+    """The ids again: every rule is expanded once, a round's rules from those before, then every symbol is looked up."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    spans = (spans_of(rules) if spans is None else spans).astype(np.int64)
+    begin = np.cumsum(spans) - spans
+    flat = np.empty(int(spans.sum()), np.uint32)
+
+    def put(into: np.ndarray, parts: np.ndarray) -> None:
+        rule = parts >= FIRST
+        own = parts[rule].astype(np.int64) - FIRST
+        size = np.ones(len(parts), np.int64)
+        size[rule] = spans[own]
+        into[np.repeat(~rule, size)] = parts[~rule]
+        into[np.repeat(rule, size)] = gathered(flat, begin[own], spans[own])
+
+    for low, high in zip([0, *rounds], rounds):
+        put(flat[begin[low] : begin[high - 1] + spans[high - 1]], rules[2 * low : 2 * high])
+    size = np.ones(len(symbols), np.int64)
+    rule = symbols >= FIRST
+    size[rule] = spans[symbols[rule] - FIRST]
+    out = np.empty(int(size.sum()), np.uint32)
+    put(out, symbols)
+    return out
 
 
 def document_ids(shard: dict, place: int) -> np.ndarray:
@@ -131,10 +144,12 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, shard_ids: int =
     coded_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = held(Splitter, path)
-        for b in slices(batches, limit=1 << 20):
-            ids = [np.frombuffer(x, "<u4").astype(enc.id_type).tobytes() for x in enc.encode(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(ids, pa.binary())], coded_schema.names)
+        enc = held(PieceEncoder, path)
+        for b in slices(batches, limit=2 << 20):
+            ids, size = enc.ids(b.column("text").to_pylist())
+            at = (ids.itemsize * np.concatenate([[0], np.cumsum(size)])).astype(np.int32)
+            own = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), own], coded_schema.names)
 
     def close(part, shard, doc_ids, ids, width):
         lengths = np.array([len(x) // np.dtype(width).itemsize + 1 for x in ids])
@@ -174,6 +189,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 2, shard_ids: int =
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(part, shard, place, doc_id, n_tokens, ids) of every document in the shards."""
     shards = spark.read.parquet(path)
+    raw = "symbols rules rounds spans".split()
     kind = shards.schema["doc_ids"].dataType.elementType
     schema = T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -186,16 +202,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         release()
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in ("part", "shard", "doc_ids", "n_tokens", "symbols", "rules", "rounds")}
-                ids = expand(np.frombuffer(row["symbols"], "<u4").copy(), np.frombuffer(row["rules"], "<u4"), np.frombuffer(row["rounds"], "<u4").tolist()).tobytes()
-                at = np.concatenate([[0], np.cumsum(row["n_tokens"])]) * 4
+                row = {c: b.column(c)[i].as_py() for c in ("part", "shard", "doc_ids", "n_tokens", *raw)}
+                symbols, rules, rounds, spans = (np.frombuffer(row[c], "<u4") for c in raw)
+                ids = expand(symbols, rules, rounds.tolist(), spans).astype("<u4", copy=False)
+                at = 4 * np.concatenate([[0], np.cumsum(row["n_tokens"])])
                 n = len(row["doc_ids"])
-                cut = [ids[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, f.type) for v, f in zip(([row["part"]] * n, [row["shard"]] * n, range(n), row["doc_ids"], row["n_tokens"], cut), arrow)], schema=arrow
-                )
+                own = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)])
+                values = [pa.array(v, f.type) for v, f in zip(([row["part"]] * n, [row["shard"]] * n, range(n), row["doc_ids"], row["n_tokens"]), arrow)]
+                yield pa.RecordBatch.from_arrays([*values, own], schema=arrow)
 
-    return shards.select("part", "shard", "doc_ids", "n_tokens", "symbols", "rules", "rounds").mapInArrow(run, schema)
+    return shards.select("part", "shard", "doc_ids", "n_tokens", *raw).mapInArrow(run, schema)
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
