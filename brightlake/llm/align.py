@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from brightlake.llm.bpe import _byte_letters
+from brightlake.llm.bpe import _byte_letters, gathered
 from brightlake.llm.common import slices, whole_texts
 from brightlake.session import stored
 
@@ -63,8 +63,9 @@ class Aligner:
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [piece(i) for i in range(self.b.vocab_size())]
         self.sizes = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
-        self.size_lists = [s.tolist() for s in self.sizes]
-        self.names = [list(map(str, range(len(t)))) for t in (self.a_bytes, self.b_bytes)]
+        self.spelled = [pa.array(t, pa.binary()) for t in (self.a_bytes, self.b_bytes)]
+        numbers = [list(map(str, range(len(t)))) for t in (self.a_bytes, self.b_bytes)]
+        self.names = pa.array([f"{x}{mark}" for own, marks in zip(numbers, (",|", ",;")) for mark in marks for x in own], pa.string())
         self.marked = [np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes)]
         self.n_b = len(self.b_bytes)
         self.width = 2 if max(len(self.a_bytes), self.n_b) < 0xFFFF else 4  # bytes of an id in a window
@@ -87,40 +88,54 @@ class Aligner:
             return [], []
         return a, b
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        """Two runs of ids over the same bytes: text of the groups, their number, and the pairs of the links."""
-        (a_size, b_size), (a_name, b_name), n_b = self.size_lists, self.names, self.n_b
-        i, j, p, q = a[0], b[0], 1, 1
-        gap = a_size[i] - b_size[j]  # of the ends of the two tokens at hand
-        pairs, left, right, groups, n = [i * n_b + j], a_name[i], b_name[j], [], len(a)
-        while True:
-            if gap == 0:
-                groups.append(f"{left}|{right}")
-                if p == n:
-                    return ";".join(groups), len(groups), pairs
-                i, j, p, q = a[p], b[q], p + 1, q + 1
-                gap, left, right = a_size[i] - b_size[j], a_name[i], b_name[j]
-            elif gap < 0:
-                i, p = a[p], p + 1
-                gap += a_size[i]
-                left += "," + a_name[i]
-            else:
-                j, q = b[q], q + 1
-                gap -= b_size[j]
-                right += "," + b_name[j]
-            pairs.append(i * n_b + j)
-
-    def learn(self, windows: list[tuple[list[int], list[int]]]) -> None:
-        """Align windows that the memo lacks."""
-        if not windows:
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids of all texts, numbers of ids of each) of A and of B; as ``tokens`` gives them, with one look at all bytes."""
+        full = [t for t in texts if t]
+        found = [self.a.encode_ordinary(f" {t}") for t in full], [self.b.encode(t, num_threads=1) for t in full]
+        want = [f" {t}".encode("utf-8", "surrogatepass") for t in full]
+        ends = np.cumsum(list(map(len, want)), dtype=np.int64)
+        ids, counts, right = [], [], True
+        for own, sizes, spelled in zip(found, self.sizes, self.spelled):
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            x = np.fromiter(chain.from_iterable(own), np.int64, int(n.sum()))
+            upto = np.concatenate([[0], np.cumsum(sizes[x])])[np.cumsum(n)]
+            right = right and (upto == ends).all() and b"".join(want) == _bytes(spelled.take(pa.array(x)))[0]
+            ids.append(x)
+            counts.append(n)
+        if not right:  # the texts at fault are told one by one
+            pairs = [self.tokens(t) for t in full]
+            counts = [np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1)]
+            ids = [np.fromiter(chain.from_iterable(p[k] for p in pairs), np.int64, int(counts[k].sum())) for k in (0, 1)]
+        out = np.zeros((2, len(texts)), np.int64)
+        out[:, [i for i, t in enumerate(texts) if t]] = counts
+        return ids, list(out)
+
+    def learn(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Align windows that the memo lacks, given one behind the other, with the numbers of their ids."""
+        if not len(n_a):
             return
-        texts, n_groups, pairs = zip(*(self.align(a, b) for a, b in windows))
-        n_links = np.fromiter(map(len, pairs), np.int64, len(pairs))
-        self.held += sum(map(len, texts)) + (8 + 2 * self.width) * int(n_links.sum()) + 250 * len(texts)
+        a_end, b_end = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        at = np.searchsorted(b_end, a_end)
+        a_shut = b_end[at] == a_end  # the last byte of both is shared
+        b_shut = np.zeros(len(b), bool)
+        b_shut[at[a_shut]] = True
+        # every run of bytes between two neighbouring ends is a link of the tokens that hold it
+        ends = np.sort(np.concatenate([a_end, b_end[~b_shut]]), kind="stable")
+        pairs = a[np.searchsorted(a_end, ends)] * self.n_b + b[np.searchsorted(b_end, ends)]
+        groups = np.diff(np.cumsum(a_shut)[np.cumsum(n_a) - 1], prepend=0)
+        n_links = n_a + n_b - groups
+        # in the text, the tokens of B follow those of A group by group
+        a_done, b_done = np.flatnonzero(a_shut) + 1, np.concatenate([[0], np.flatnonzero(b_shut) + 1])
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + b_done[np.cumsum(a_shut) - a_shut]] = a + len(self.a_bytes) * a_shut
+        names[np.arange(len(b)) + a_done[np.cumsum(b_shut) - b_shut]] = 2 * len(self.a_bytes) + b + self.n_b * b_shut
+        raw, offsets = _bytes(self.names.take(pa.array(names)))
+        cut = offsets[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        self.texts += [raw[i:j] for i, j in zip(cut, cut[1:])]
+        self.held += len(raw) + (8 + 2 * self.width) * int(n_links.sum()) + 250 * len(n_a)
         self.start = np.concatenate([self.start, len(self.keys) + np.cumsum(n_links) - n_links])
-        self.n_groups, self.n_links = np.concatenate([self.n_groups, np.array(n_groups, np.int64)]), np.concatenate([self.n_links, n_links])
-        self.keys = np.concatenate([self.keys, np.fromiter(chain.from_iterable(pairs), np.int64, int(n_links.sum()))])
-        self.texts += texts
+        self.n_groups, self.n_links = np.concatenate([self.n_groups, groups]), np.concatenate([self.n_links, n_links])
+        self.keys = np.concatenate([self.keys, pairs])
 
     def cuts(self, a: np.ndarray, b: np.ndarray, lasts: np.ndarray) -> tuple[list[int], list[int]]:
         """Ends of the windows of a run of documents, as numbers of A and of B tokens; ``lasts``: A tokens up to the end of each document."""
@@ -139,25 +154,22 @@ class Aligner:
         """Counts, digest and distinct pairs of every text."""
         if self.held > MEMO_BYTES:
             self.forget()
-        found = [self.tokens(t) for t in texts]
-        n_a, n_b = ([len(f[k]) for f in found] for k in (0, 1))
+        (a, b), (n_a, n_b) = self.encode(texts)
         out = {"n_a": n_a, "n_b": n_b, "n_groups": [0] * len(texts), "n_links": [0] * len(texts), "groups_sha256": [""] * len(texts), "pairs": [b""] * len(texts), "counts": [b""] * len(texts)}
-        if not any(n_a):
+        if not len(a):
             return out
-        ids = [list(chain.from_iterable(f[k] for f in found)) for k in (0, 1)]
-        a, b = (np.fromiter(x, np.int64, len(x)) for x in ids)
-        full = [i for i, n in enumerate(n_a) if n]
-        lasts = np.cumsum([n_a[i] for i in full])
+        full = np.flatnonzero(n_a).tolist()
+        lasts = np.cumsum(n_a[full])
         x, y = self.cuts(a, b, lasts)
         (a_raw, b_raw), w, end = (v.astype(f"<u{self.width}").tobytes() for v in (a, b)), self.width, b"\xff" * self.width
-        keys = [a_raw[w * i : w * j] + end + b_raw[w * k : w * m] for i, j, k, m in zip([0, *x], x, [0, *y], y)]
-        memo, new = self.memo, []
-        for at, key in enumerate(keys):
-            if key not in memo:
-                memo[key] = len(memo)
-                new.append((ids[0][x[at - 1] if at else 0 : x[at]], ids[1][y[at - 1] if at else 0 : y[at]]))
-        self.learn(new)
-        num = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))
+        memo, known = self.memo, len(self.memo)
+        number = memo.setdefault
+        num = np.array([number(a_raw[w * i : w * j] + end + b_raw[w * k : w * m], len(memo)) for i, j, k, m in zip([0, *x], x, [0, *y], y)], np.int64)
+        first = np.unique(num, return_index=True)[1]
+        new = first[num[first] >= known]
+        ends = [np.array([0, *v], np.int64) for v in (x, y)]
+        begin, size = [v[new] for v in ends], [np.diff(v)[new] for v in ends]
+        self.learn(gathered(a, begin[0], size[0]), size[0], gathered(b, begin[1], size[1]), size[1])
         last = np.searchsorted(np.array(x), lasts) + 1  # windows up to the end of each document
         links, groups = np.cumsum(self.n_links[num]), np.cumsum(self.n_groups[num])
         flat = np.arange(links[-1]) + np.repeat(self.start[num] - links + self.n_links[num], self.n_links[num])
@@ -165,16 +177,22 @@ class Aligner:
         before = (0, 0, 0)
         text = self.texts.__getitem__
         numbers = num.tolist()
-        for i, w in zip(full, last.tolist()):
+        for i, w in zip(full, last.tolist()):  # every text ends with the mark between groups
             upto = (w, int(links[w - 1]), int(groups[w - 1]))
             pairs, counts = np.unique(linked[before[1] : upto[1]], return_counts=True)
             out["n_links"][i], out["n_groups"][i] = upto[1] - before[1], upto[2] - before[2]
-            out["groups_sha256"][i] = sha256(";".join(map(text, numbers[before[0] : w])).encode()).hexdigest()
+            out["groups_sha256"][i] = sha256(b"".join(map(text, numbers[before[0] : w]))[:-1]).hexdigest()
             out["pairs"][i], out["counts"][i] = pairs.astype("<u4").tobytes(), counts.astype("<u4").tobytes()
             before = upto
         return out
 
 
+def _bytes(strings: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All strings of a fresh array in one, and where each begins and ends."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1)
+    return strings.buffers()[2].to_pybytes()[: int(offsets[-1])], offsets
+
+
 def held(a_path: str, b_path: str) -> Aligner:
     """One aligner per worker process."""
     if (a_path, b_path) not in _HELD:
