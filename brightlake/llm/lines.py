@@ -35,7 +35,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     lines = hashed.select("doc_id", "tie", F.posexplode("lines").alias("line", "body"))
     lines = lines.withColumn("body", F.trim("body")).where("body <> ''")
     # filters move below what makes their columns: they are on the body, so that no line is generalised for a filter
-    size = F.length("body") - F.length(F.replace("body", F.lit(" "))) + 1
+    size = F.octet_length("body") - F.octet_length(F.replace("body", F.lit(" "))) + 1  # bytes: characters would have to be counted
     masked = F.when(F.col("body").rlike("[0-9]"), F.regexp_replace("body", "[0-9]+", _VARIABLE)).otherwise(F.col("body"))
     lines = lines.select("doc_id", "tie", "line", size.alias("n_words"), masked.alias("masked"))
     one, two = key128(F.col("masked"))
@@ -43,13 +43,18 @@ def parsed(docs: DataFrame) -> DataFrame:
     return lines.withColumn("leaf", F.xxhash64("n_words", F.substring_index("masked", " ", DEPTH)))
 
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(leaf, h1, h2, masked, n): every distinct line and how often it comes. As a key, unlike as a value, the line leaves rows to be hashed, not sorted."""
+    return lines.groupBy("leaf", "h1", "h2", "masked").agg(F.count(F.lit(1)).alias("n"))
+
+
 def generalised(docs: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame:
     """(h1, h2, t1, t2): lines that take a template with variable words, and its hash."""
     long_enough = F.col("n_words") >= DEPTH + LEAST_CONSTANT + 1
     # leaves with two distinct lines and enough in all; exact copies collapse before anything is sent
     leaves = lines.where(long_enough).groupBy("leaf", "h1").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
     leaves = small_side(leaves.where((F.col("kinds") > 1) & (F.col("n") >= least_docs)).select("leaf"))
-    kinds = parsed(docs).where(long_enough).join(leaves, "leaf").groupBy("leaf", "h1", "h2").agg(F.any_value("masked").alias("masked"), F.count(F.lit(1)).alias("n"))
+    kinds = distinct_lines(parsed(docs).where(long_enough).join(leaves, "leaf"))
     kinds = materialize(kinds.withColumn("words", F.split("masked", " ")).drop("masked"))
 
     further = F.size("words") - DEPTH
