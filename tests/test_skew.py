@@ -131,3 +131,37 @@ def test_salted_rows_are_joined_by_many_tasks(spark):
             assert sum(r["count"] for r in tasks) == 8000 and len(tasks) > 2
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_copies_follow_the_rows_and_not_the_pairs(spark, monkeypatch):
+    # 600,000 pairs of one key, each worth a task of its own
+    left, right = spark.range(2000).select(F.lit(1).alias("a"), F.col("id").alias("x")), spark.range(300).select(F.lit(1).alias("b"), F.col("id").alias("y"))
+    made, copied = [], skew._copied
+    monkeypatch.setattr(skew, "PAIRS", 1)
+    monkeypatch.setattr(skew, "_copied", lambda *args: made.append(copied(*args)) or made[-1])
+    joined = skew.split_join(left, right, [("a", "b")], "inner")
+    assert sum(df.count() for df in made) <= 2000 + 300 * 512  # 309,200 with a sub-key for every pair
+    assert joined.count() == 600_000
+
+
+@pytest.mark.parametrize("how, salt", [("left", None)])
+def test_many_pairs_come_in_blocks(spark, how, salt):
+    # 2.2 million pairs: every task has all 1,000 rows of the right side, of which few may lie next to each other
+    left = spark.range(2205).select(F.when(F.col("id") < 2200, None).otherwise(F.col("id")).cast("int").alias("k"), F.col("id").alias("x"))
+    right = spark.range(1003).select(F.when(F.col("id") < 1000, None).otherwise(-F.col("id")).cast("long").alias("k"), F.col("id").alias("y"))
+    got = join.merge(left, right, "k", how, salt=salt).withColumn("at", F.monotonically_increasing_id()).cache()
+    assert got.select("k", "x", "y").distinct().count() == got.count() == 2_200_000 + 5 * (how in ("left", "outer")) + 3 * (how in ("right", "outer"))
+    pairs = got.where("x < 2200 AND y < 1000 AND k IS NULL")
+    near = pairs.groupBy(F.floor(F.col("at") / 4096)).agg(F.count_distinct("y").alias("n")).agg(F.avg("n")).first()[0]
+    assert pairs.count() == 2_200_000 and near < 500
+    got.unpersist()
+
+
+def test_blocks_of_signed_zeros_and_nans(spark, monkeypatch):
+    values = "(VALUES (0.0D), (-0.0D), (double('NaN')), (CAST(NULL AS DOUBLE)), (1.5D)) v(k)"
+    left = spark.sql(f"SELECT k AS a, id AS x FROM {values}, range(50)")
+    right = spark.sql(f"SELECT k AS b, id AS y FROM {values}, range(40) WHERE NOT k <=> 1.5D")
+    monkeypatch.setattr(skew, "PAIRS", 500)
+    for kind in KINDS:
+        got, want = (df.groupBy(F.col("a").cast("string"), F.col("b").cast("string")).count() for df in (skew.split_join(left, right, [("a", "b")], kind), left.join(right, F.col("a").eqNullSafe(F.col("b")), kind)))
+        assert rows(got) == rows(want)
