@@ -144,7 +144,7 @@ def test_copies_follow_the_rows_and_not_the_pairs(spark, monkeypatch):
     assert joined.count() == 600_000
 
 
-@pytest.mark.parametrize("how, salt", [("left", None), ("outer", None), ("right", None), ("outer", 8), ("inner", 8)])
+@pytest.mark.parametrize("how, salt", [("left", None), ("outer", None), ("right", None), ("outer", 8), ("inner", None), ("inner", 8)])
 def test_many_pairs_come_in_blocks(spark, how, salt):
     # 2.2 million pairs: every task has all 1,000 rows of the right side, of which few may lie next to each other
     left = spark.range(2205).select(F.when(F.col("id") < 2200, None).otherwise(F.col("id")).cast("int").alias("k"), F.col("id").alias("x"))
